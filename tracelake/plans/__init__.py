@@ -3,3 +3,4 @@
 from tracelake.plans.registry import ORACLE, QUERIES  # noqa: F401
 from tracelake.plans import q_extract  # noqa: F401,E402
 from tracelake.plans import q_registry  # noqa: F401,E402
+from tracelake.plans import q_score  # noqa: F401,E402

@@ -5,3 +5,4 @@ from tracelake.plans import q_extract  # noqa: F401,E402
 from tracelake.plans import q_registry  # noqa: F401,E402
 from tracelake.plans import q_score  # noqa: F401,E402
 from tracelake.plans import q_sources  # noqa: F401,E402
+from tracelake.plans import q_tokens  # noqa: F401,E402

@@ -149,14 +149,18 @@ def bpe_train(word_counts: DataFrame, n_merges: int, top_k: int = 512, max_batch
              .where(F.size("syms") >= 2).groupBy("syms").agg(F.sum("cnt").alias("cnt")))
     words = words.persist(StorageLevel.MEMORY_AND_DISK)
     merges: list[tuple[str, str, int]] = []
-    rounds = 0
+    rounds, prev = 0, None
     while len(merges) < n_merges:
         n = F.size("syms")
         pairs = words.select(F.explode(F.arrays_zip(F.slice("syms", 1, n - 1).alias("l"),
                                                     F.slice("syms", 2, n - 1).alias("r"))).alias("p"), "cnt")
         counts = pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("cnt").alias("c"))
+        # one job per round: it also materialises this round's persisted word table
         top = [(x["l"], x["r"], int(x["c"])) for x in
                counts.orderBy(F.desc("c"), "l", "r").limit(top_k + 1).collect()]
+        if prev is not None:
+            prev.unpersist()
+            prev = None
         if not top:
             break
         complete = len(top) <= top_k
@@ -167,13 +171,15 @@ def bpe_train(word_counts: DataFrame, n_merges: int, top_k: int = 512, max_batch
             .where(F.size("syms") >= 2)
         rounds += 1
         if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
+            nxt = nxt.checkpoint(eager=True)  # reliable checkpoint: cuts the lineage
+            words.unpersist()
         else:
             nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            nxt.count()
-        words.unpersist()
+            prev = words
         words = nxt
     words.unpersist()
+    if prev is not None:
+        prev.unpersist()
     rows = [(i, a, b, c) for i, (a, b, c) in enumerate(merges[:n_merges])]
     return spark.createDataFrame(rows, "rank int, left string, right string, count long")
 

@@ -7,3 +7,4 @@ from tracelake.plans import q_score  # noqa: F401,E402
 from tracelake.plans import q_sources  # noqa: F401,E402
 from tracelake.plans import q_tokens  # noqa: F401,E402
 from tracelake.plans import q_stream  # noqa: F401,E402
+from tracelake.plans import q_udf  # noqa: F401,E402

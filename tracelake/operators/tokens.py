@@ -288,41 +288,64 @@ def bpe_roundtrip(df: DataFrame, merges: DataFrame, text: str = "text", key: str
 
 def build_token_rows(encoded: DataFrame, max_length: int = 1024, pad_id: int = 0, ids: str = "input_ids") -> DataFrame:
     """Cut to ``max_length`` and right-pad with ``pad_id``; ``attention_mask`` 1 on real
-    tokens; ``labels`` = ids with every pad id -> -100.  Row-local, codegen."""
+    tokens; ``labels`` = ids with every pad id -> -100.
+
+    Built from ``slice`` / ``concat`` / ``array_repeat`` (codegen); the
+    per-element replacement runs only for rows whose real tokens contain the
+    pad id (a literal pad control token in the text)."""
     L = max_length
-    n = F.least(F.size(ids), F.lit(L))
-    padded = F.slice(F.concat(F.col(ids), F.array_repeat(F.lit(pad_id), L)), 1, L)
-    mask = F.transform(F.sequence(F.lit(1), F.lit(L)), lambda i: F.when(i <= F.col("_n"), 1).otherwise(0))
-    return (encoded.withColumn("_n", n).withColumn("input_ids", padded).withColumn("attention_mask", mask)
-            .withColumn("labels", F.transform("input_ids", lambda x: F.when(x == pad_id, -100).otherwise(x)))
-            .drop("_n"))
+    cut = F.slice(F.col(ids), 1, L)
+    n = F.size("_cut")
+    pad = F.array_repeat(F.lit(pad_id), F.lit(L) - n)
+    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(L) - n))
+    fast = F.concat(F.col("_cut"), F.array_repeat(F.lit(-100), F.lit(L) - n))
+    slow = F.transform("input_ids", lambda x: F.when(x == pad_id, -100).otherwise(x))
+    labels = F.when(F.array_contains("_cut", pad_id), slow).otherwise(fast)
+    return (encoded.withColumn("_cut", cut).withColumn("input_ids", F.concat(F.col("_cut"), pad))
+            .withColumn("attention_mask", mask).withColumn("labels", labels).drop("_cut"))
 
 
 def shift_pairs(rows: DataFrame, ids: str = "input_ids", labels: str = "labels") -> DataFrame:
     """Next-token pairs ``(token t, label t+1)`` with ignored (-100) labels removed,
-    as two aligned arrays per row: ``tokens, targets``."""
+    as two aligned arrays per row: ``tokens, targets``.
+
+    Fast path (codegen slices): the ignored labels are exactly a trailing run;
+    otherwise a per-element filter."""
     n = F.size(ids)
+    first = F.array_position(F.col(labels), -100)  # 1-based, 0 = none
+    tail_only = (first == 0) | (F.array_distinct(F.slice(F.col(labels), first, n)) == F.array(F.lit(-100)))
+    keep = F.when(first == 0, n - 1).otherwise(F.greatest(first - 2, F.lit(0)))
     z = F.arrays_zip(F.slice(ids, 1, n - 1).alias("t"), F.slice(labels, 2, n - 1).alias("y"))
     kept = F.filter(z, lambda p: p["y"] != -100)
-    return rows.withColumn("tokens", F.transform(kept, lambda p: p["t"])).withColumn(
-        "targets", F.transform(kept, lambda p: p["y"]))
+    tokens = F.when(tail_only, F.slice(F.col(ids), 1, keep)).otherwise(F.transform(kept, lambda p: p["t"]))
+    targets = F.when(tail_only, F.slice(F.col(labels), 2, keep)).otherwise(F.transform(kept, lambda p: p["y"]))
+    return rows.withColumn("tokens", tokens).withColumn("targets", targets)
 
 
 def pack_sequences(rows: DataFrame, length: int, key: str = "idx", ids: str = "input_ids", n_buckets: int = 64,
                    seed: int = 42) -> DataFrame:
     """Concatenate token rows (per hash bucket, in key order) and cut into full windows
     of ``length``; the remainder of each bucket is dropped.  ``bucket, window,
-    input_ids``.  Offsets come from the bucketed running sum of row lengths
-    (skew-safe), tokens are exploded to (window, slot) and regrouped -- a window
-    holds exactly ``length`` tokens, so no group is unbounded."""
+    input_ids``.
+
+    Offsets come from the bucketed running sum of row lengths (skew-safe).  A
+    row is cut into the few slices that fall into distinct windows (at most
+    ``len / length + 2`` per row, never one row per token); the slices are
+    regrouped per window -- a window holds exactly ``length`` tokens, so no group
+    is unbounded."""
     from tracelake.functions.columns import hash_unit
     from tracelake.operators.common import running_sum
     b = rows.select(key, ids, F.pmod(hash_unit(seed, key), F.lit(n_buckets)).cast("int").alias("bucket"),
                     F.size(ids).cast("long").alias("_len"))
-    r = running_sum(b, ["bucket"], key, "_len", "_end", bucket_rows=65536)
-    e = r.select("bucket", (F.col("_end") - F.col("_len")).alias("_off"), F.posexplode(ids).alias("_p", "tok"))
-    g = e.select("bucket", ((F.col("_off") + F.col("_p")) / length).cast("long").alias("window"),
-                 ((F.col("_off") + F.col("_p")) % length).cast("int").alias("slot"), "tok")
-    w = g.groupBy("bucket", "window").agg(F.array_sort(F.collect_list(F.struct("slot", "tok"))).alias("_w"))
-    return w.where(F.size("_w") == length).select("bucket", "window",
-                                                  F.transform("_w", lambda x: x["tok"]).alias("input_ids"))
+    r = running_sum(b, ["bucket"], key, "_len", "_end", bucket_rows=65536).where(F.col("_len") > 0)
+    off = F.col("_end") - F.col("_len")
+    first_w, last_w = F.floor(off / length), F.floor((F.col("_end") - 1) / length)
+    s = r.select("bucket", ids, off.alias("_off"), "_len",
+                 F.explode(F.sequence(first_w.cast("long"), last_w.cast("long"))).alias("window"))
+    lo = F.greatest(F.col("window") * length, F.col("_off"))
+    hi = F.least((F.col("window") + 1) * length, F.col("_off") + F.col("_len"))
+    piece = F.slice(F.col(ids), (lo - F.col("_off") + 1).cast("int"), (hi - lo).cast("int"))
+    p = s.select("bucket", "window", (lo - F.col("window") * length).alias("_start"), piece.alias("_piece"))
+    w = p.groupBy("bucket", "window").agg(F.array_sort(F.collect_list(F.struct("_start", "_piece"))).alias("_w"))
+    out = w.select("bucket", "window", F.flatten(F.transform("_w", lambda x: x["_piece"])).alias("input_ids"))
+    return out.where(F.size("input_ids") == length)

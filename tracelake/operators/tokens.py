@@ -52,17 +52,26 @@ MARK = "\ue000"
 SPLIT = "\ue001"
 #: marks the last whitespace before a non-space
 MARK_PATTERN = f"({WS})([^{_WS_INNER}])"
-#: GPT-2 pre-token classes over marked text (the mark itself is never matched)
+#: GPT-2 pre-token classes over marked text (the mark itself is never matched) -- RE2 form
 PRETOKEN = ("'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^" + _WS_INNER + "\\p{L}\\p{N}\\x{E000}]+|" + WS + "+")
+#: the same token classes with the published look-ahead (Java form, one regex pass);
+#: equal to PRETOKEN over marked text -- the DuckDB oracle of bpe_word_counts checks it
+PRETOKEN_LOOKAHEAD = ("'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^" + _WS_INNER + "\\p{L}\\p{N}]+|"
+                      + WS + "+(?![^" + _WS_INNER + "])|" + WS + "+")
 
 N_SPECIAL = len(SPECIAL_TOKENS)
 BYTE_BASE = N_SPECIAL
 MERGE_BASE = N_SPECIAL + 256
 
 
-def pretokens(text) -> F.Column:
-    """Array of pre-tokens of a text without control tokens."""
+def pretokens(text, lookahead: bool = True) -> F.Column:
+    """Array of pre-tokens of a text without control tokens.
+
+    ``lookahead`` (default): one pass of the published pattern (Java regex);
+    otherwise the mark + RE2-compatible form used by the SQL oracle."""
     t = F.col(text) if isinstance(text, str) else text
+    if lookahead:
+        return F.regexp_extract_all(t, F.lit(PRETOKEN_LOOKAHEAD), F.lit(0))
     marked = F.regexp_replace(t, F.lit(MARK_PATTERN), F.lit(MARK + "$1$2"))
     return F.regexp_extract_all(marked, F.lit(PRETOKEN), F.lit(0))
 
@@ -75,8 +84,9 @@ def byte_symbols(word) -> F.Column:
 
 def text_pieces(df: DataFrame, text: str, key: str) -> DataFrame:
     """``key, pi, piece, special_id`` -- control tokens split off (atomic)."""
-    parts = F.split(F.regexp_replace(F.col(text), F.lit(ANY_MARKER), F.lit(SPLIT + "$1" + SPLIT)),
-                    java_quote(SPLIT), -1)
+    parts = F.when(F.col(text).contains("<|"), F.split(
+        F.regexp_replace(F.col(text), F.lit(ANY_MARKER), F.lit(SPLIT + "$1" + SPLIT)), java_quote(SPLIT), -1)
+    ).otherwise(F.array(F.col(text)))
     p = df.select(key, F.posexplode(parts).alias("pi", "piece")).where(F.col("piece") != "")
     sid = F.array_position(F.array(*[F.lit(t) for t in SPECIAL_TOKENS]), F.col("piece")) - 1
     return p.withColumn("special_id", F.when(sid >= 0, sid.cast("int")))

@@ -27,6 +27,21 @@ def _wrapped(c) -> tuple[Column, Column]:
     return w, h
 
 
+def wrap(c) -> tuple[Column, Column]:
+    """``(wrapped VARIANT, sentinel)``: materialise both once (a column or a struct
+    field) and read them with ``wrapped_value`` / ``wrapped_ok`` -- inside
+    higher-order lambdas Catalyst does not share common subexpressions."""
+    return _wrapped(c)
+
+
+def wrapped_ok(w, h) -> Column:
+    return F.coalesce(F.try_variant_get(col(w), "$[1]", "string") == col(h), F.lit(False))
+
+
+def wrapped_value(w, h) -> Column:
+    return F.when(F.try_variant_get(col(w), "$[1]", "string") == col(h), F.try_variant_get(col(w), "$[0]", "variant"))
+
+
 def strict_valid(c) -> Column:
     """True iff the text is exactly one JSON value (Python ``json.loads`` accepts it)."""
     w, h = _wrapped(c)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracelake.functions.columns import col, count_literal, py_strip
-from tracelake.functions.jsonx import is_object, strict_parse, strict_valid
+from tracelake.functions.jsonx import is_object, strict_valid, wrap, wrapped_ok, wrapped_value
 from tracelake.functions.markers import (ASSISTANT_HEADER, CALL_END, CALL_SPAN, CALL_START, FLAT_OBJECT,
                                          GREEDY_OBJECT, IM_END, IM_START, NAME_RECOVERY, SPECIAL_TOKENS)
 
@@ -45,10 +45,13 @@ def call_array(text, fallback: bool = False) -> Column:
     arguments ``{}``; bodies with neither, and parsed non-objects, are marked
     ``unparseable`` / ``non_object`` (callers drop them).
     """
+    # each stage materialises its values as struct fields: lambdas share no subexpressions
     parsed = F.transform(call_spans(text, fallback),
                          lambda s, i: F.struct(i.alias("pos"), py_strip(s).alias("raw")))
     parsed = F.transform(parsed, lambda x: F.struct(x["pos"].alias("pos"), x["raw"].alias("raw"),
-                                                    strict_parse(x["raw"]).alias("v")))
+                                                    *[c.alias(n) for c, n in zip(wrap(x["raw"]), ("w", "h"))]))
+    parsed = F.transform(parsed, lambda x: F.struct(x["pos"].alias("pos"), x["raw"].alias("raw"),
+                                                    wrapped_value(x["w"], x["h"]).alias("v")))
 
     def one(x):
         v = x["v"]
@@ -128,13 +131,13 @@ def parse_structured(df: DataFrame, schema: StructType, required=(), text: str =
     ``mode='FAILFAST'`` reproduces the reference's raise on the first bad row.
     Rejects are ``where(~valid)``.
     """
-    j = json_object_text(text)
-    v = strict_parse(j)
-    typed = F.from_json(j, schema)
-    ok = v.isNotNull() & is_object(v)
+    w, h = wrap(F.col("_j"))
+    base = df.select(*keys, json_object_text(text).alias("_j")).select(*keys, "_j", w.alias("_w"), h.alias("_h"))
+    base = base.select(*keys, "_j", wrapped_value("_w", "_h").alias("_v"))
+    ok = F.col("_v").isNotNull() & is_object("_v")
     for r in required:
-        ok = ok & F.try_variant_get(v, f"$.{r}", "variant").isNotNull()
-    out = df.select(*keys, typed.alias("_t"), ok.alias("valid"))
+        ok = ok & F.try_variant_get("_v", f"$.{r}", "variant").isNotNull()
+    out = base.select(*keys, F.from_json("_j", schema).alias("_t"), ok.alias("valid"))
     out = out.select(*keys, *[F.when(F.col("valid"), F.col("_t")[f.name]).alias(f.name) for f in schema.fields],
                      "valid")
     if mode.upper() == "FAILFAST":

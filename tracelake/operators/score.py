@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.columns import py_strip
-from tracelake.functions.jsonx import strict_parse
+from tracelake.functions.jsonx import wrap, wrapped_value
 from tracelake.operators.common import broadcast_if_small
 from tracelake.operators.extract import call_spans, kept_calls
 
@@ -171,7 +171,9 @@ def score_outputs(answers: DataFrame, cases: DataFrame, key: str = "case_id", te
     c = broadcast_if_small(cases.select(key, "expected", "is_list"), max_broadcast_rows)
     j = answers.join(c, key)
     spans = call_spans(text, fallback=True)
-    parsed = F.filter(F.transform(spans, lambda s: strict_parse(py_strip(s))), lambda v: v.isNotNull())
+    raws = F.transform(spans, lambda s: py_strip(s))
+    wrapped = F.transform(raws, lambda r: F.struct(*[c.alias(n) for c, n in zip(wrap(r), ("w", "h"))]))
+    parsed = F.filter(F.transform(wrapped, lambda x: wrapped_value(x["w"], x["h"])), lambda v: v.isNotNull())
     j = j.withColumn("_p", parsed)
     names = F.transform("_p", lambda v: F.try_variant_get(v, "$.name", "string"))
     args = F.transform("_p", lambda v: F.to_json(F.try_variant_get(v, "$.arguments", "variant")))

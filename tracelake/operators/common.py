@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +13,17 @@ BROADCAST_MAX_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint only after counting the side: at most ``max_rows`` rows.
 
-    The count is one cheap job over an already-reduced side (a registry, an
-    allow-list); above the bound the side stays a normal shuffle join.
+    The side (an aggregated registry, an allow-list, distinct-word encodings) is
+    persisted while it is counted, so the join reuses the counted rows instead
+    of computing the side twice; above the bound the cache is dropped and the
+    side stays a normal shuffle join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = cached.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,

@@ -134,35 +134,42 @@ def type_ok(declared, observed):
             | ((declared == "number") & (observed == "integer")))
 
 
-def validate_args(calls: DataFrame, params: DataFrame, keys=("out_id", "pos"), name: str = "name") -> DataFrame:
+def _json_type_of(vt) -> F.Column:
+    """Variant type name -> JSON Schema type (column expression)."""
+    return (F.when(vt.startswith("BIGINT") | vt.startswith("INT"), "integer")
+            .when(vt.startswith("DECIMAL") | vt.startswith("DOUBLE") | vt.startswith("FLOAT"), "number")
+            .when(vt.startswith("STRING"), "string").when(vt.startswith("BOOLEAN"), "boolean")
+            .when(vt.startswith("ARRAY"), "array").when(vt.startswith("OBJECT"), "object")
+            .when(vt.startswith("VOID"), "null"))
+
+
+def validate_args(calls: DataFrame, params: DataFrame, keys=("out_id", "pos"), name: str = "name",
+                  arguments: str = "arguments") -> DataFrame:
     """Per call against its tool's declared parameters (calls to unknown tools skipped):
     ``keys, name, n_missing, n_unknown, n_type_errors, n_enum_errors, valid``.
 
-    Declared parameters are joined to calls by tool name, observed arguments
-    exploded from the call, and both sides full-outer-joined on (call, param);
-    then one aggregation per call (co-partitioned with the join, no new shuffle).
+    Row-local: each call gets its tool's declared-parameter array through one
+    equi join on the tool name (one row per tool: size-checked, then broadcast),
+    and the four checks are array functions over the declared array and the
+    call's argument map -- no explode, no outer join, no shuffle of the calls.
     """
-    p = params.select(F.col("name").alias("_tool"), "param", "type", "enum", "required")
-    tools = p.select("_tool").distinct()
-    known = calls.join(broadcast_if_small(tools), F.col(name) == F.col("_tool"), "left_semi")
-    decl = known.select(*keys, name).join(broadcast_if_small(p), F.col(name) == F.col("_tool")).drop("_tool")
-    obs = call_arguments(known, keys, name)
-    j = decl.alias("d").join(obs.alias("o"), [*keys, "param"], "full_outer")
-    missing = F.col("d.required") & F.col("o.value").isNull()
-    unknown = F.col("d.required").isNull() & F.col("o.value").isNotNull()
-    bad_type = F.col("o.value").isNotNull() & F.col("d.required").isNotNull() & ~type_ok(F.col("d.type"),
-                                                                                           F.col("o.json_type"))
-    bad_enum = (F.col("d.enum").isNotNull() & F.col("o.value").isNotNull()
-                & ~F.array_contains(F.from_json(F.col("d.enum"), "array<string>"),
-                                    F.coalesce(F.get_json_object(F.concat(F.lit("["), F.col("o.value"),
-                                                                          F.lit("]")), "$[0]"), F.lit(""))))
-    agg = j.groupBy(*keys).agg(
-        F.first(F.coalesce(F.col(f"d.{name}"), F.col(f"o.{name}")), ignorenulls=True).alias(name),
-        F.sum(F.when(missing, 1).otherwise(0)).alias("n_missing"),
-        F.sum(F.when(unknown, 1).otherwise(0)).alias("n_unknown"),
-        F.sum(F.when(bad_type, 1).otherwise(0)).alias("n_type_errors"),
-        F.sum(F.when(bad_enum, 1).otherwise(0)).alias("n_enum_errors"))
-    return agg.withColumn("valid", (F.col("n_missing") + F.col("n_unknown") + F.col("n_type_errors")
+    decl = params.groupBy(F.col("name").alias("_tool")).agg(F.collect_list(F.struct(
+        "param", "type", F.from_json("enum", "array<string>").alias("enum"), "required")).alias("_decl"))
+    c = calls.join(broadcast_if_small(decl), F.col(name) == F.col("_tool"), "inner")
+    c = c.withColumn("_args", F.coalesce(F.from_json(arguments, "map<string,variant>"),
+                                         F.create_map().cast("map<string,variant>")))
+    present = lambda d: F.map_contains_key("_args", d["param"])
+    val = lambda d: F.element_at("_args", d["param"])
+    missing = F.size(F.filter("_decl", lambda d: d["required"] & ~present(d)))
+    unknown = F.size(F.filter(F.map_keys("_args"), lambda k: ~F.exists("_decl", lambda d: d["param"] == k)))
+    bad_type = F.size(F.filter("_decl", lambda d: present(d) & ~type_ok(
+        d["type"], _json_type_of(F.schema_of_variant(val(d))))))
+    bad_enum = F.size(F.filter("_decl", lambda d: present(d) & d["enum"].isNotNull() & ~F.array_contains(
+        d["enum"], F.coalesce(F.get_json_object(F.concat(F.lit("["), F.to_json(val(d)), F.lit("]")), "$[0]"),
+                              F.lit("")))))
+    out = c.select(*keys, name, missing.cast("long").alias("n_missing"), unknown.cast("long").alias("n_unknown"),
+                   bad_type.cast("long").alias("n_type_errors"), bad_enum.cast("long").alias("n_enum_errors"))
+    return out.withColumn("valid", (F.col("n_missing") + F.col("n_unknown") + F.col("n_type_errors")
                                     + F.col("n_enum_errors")) == 0)
 
 

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 
-NATIVE = ["extract_tool_calls", "segment_events", "shape_completion", "tool_call_counts", "resolve_tool",
+NATIVE = ["leaderboard", "extract_tool_calls", "segment_events", "shape_completion", "tool_call_counts", "resolve_tool",
           "validate_args", "rpc_correlate", "score_outputs", "category_scores", "topk_ties", "best_so_far",
           "cap_turns", "detect_recovery", "context_budget", "bpe_word_counts", "pack_sequences", "dir_inventory",
           "render_chatml", "infer_arg_schema", "budget_cutoff"]

@@ -9,7 +9,8 @@ expected calls are an ``array<struct<name, arguments>>``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.columns import py_strip
@@ -234,9 +235,15 @@ def leaderboard(avg: DataFrame, models: DataFrame, model: str = "model") -> Data
                    F.when(F.col("native_tool_grammar"), "Native").otherwise("Prompt-wrap").alias("tool_grammar"),
                    F.col("macro_json_valid").alias("ast_valid"), F.col("macro_name_match").alias("tool_match"),
                    F.col("macro_args_match").alias("args_match"))
-    # ranking a per-model table: its size is the number of models
-    w = Window.orderBy(F.desc("args_match"), F.desc("tool_match"), F.desc("ast_valid"))
-    return out.withColumn("rank", F.dense_rank().over(w)).orderBy("rank", model)
+    # dense rank without a global window: the position of the distinct score tuple in
+    # a range-partitioned sort (descending via negated keys), joined back on the scores
+    from tracelake.operators.batches import global_positions
+    keys = ["args_match", "tool_match", "ast_valid"]
+    out = out.persist(StorageLevel.MEMORY_AND_DISK)  # one row per model, read twice below
+    tuples = out.select(*keys).distinct().select(*keys, *[(-F.col(k)).alias(f"_n{k}") for k in keys])
+    pos = global_positions(tuples, [f"_n{k}" for k in keys], keys=keys)
+    ranked = out.join(pos, keys).withColumn("rank", (F.col("pos") + 1).cast("int")).drop("pos")
+    return ranked.orderBy("rank", model)
 
 
 def results_document(cat: DataFrame, avg: DataFrame, models: DataFrame, benchmark: str,

@@ -76,3 +76,13 @@ def test_pack_sequences_keeps_order_and_drops_remainder(spark):
     flat = [t for r in packed for t in r.input_ids]
     allt = [t for i in range(7) for t in range(i * 10, i * 10 + 5)]
     assert len(packed) == 35 // 4 and flat == allt[:len(flat)]
+
+
+def test_encode_modes_agree(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text").limit(40)
+    extra = spark.createDataFrame([(-1, VALIDATION), (-2, "")], "doc_id long, text string")
+    d = docs.unionByName(extra)
+    merges = T.bpe_train(T.bpe_word_counts(docs), 20)
+    a = {r.doc_id: r.ids for r in T.bpe_encode(d, merges, mode="join").collect()}
+    b = {r.doc_id: r.ids for r in T.bpe_encode(d, merges, mode="rows").collect()}
+    assert {k: v for k, v in a.items() if v} == {k: v for k, v in b.items() if v}

@@ -243,11 +243,59 @@ def _encoder(merge_list: list[tuple[str, str]]):
     return encode_word
 
 
-def bpe_encode(df: DataFrame, merges: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Text -> ids (``key, ids``); control tokens atomic; no BOS/EOS added."""
+def token_strings(df: DataFrame, text: str = "text") -> F.Column:
+    """Per text, its pre-tokens in order with control tokens kept as atomic strings
+    (a pre-token never equals a control token: ``<|`` always splits off)."""
+    t = F.col(text)
+    specials = F.array(*[F.lit(x) for x in SPECIAL_TOKENS])
+    pieces = F.filter(F.split(F.regexp_replace(t, F.lit(ANY_MARKER), F.lit(SPLIT + "$1" + SPLIT)),
+                              java_quote(SPLIT), -1), lambda x: x != "")
+    with_markers = F.flatten(F.transform(pieces, lambda x: F.when(F.array_contains(specials, x), F.array(x))
+                                         .otherwise(pretokens(x))))
+    return F.when(t.contains("<|"), with_markers).otherwise(pretokens(t))
+
+
+def bpe_encode(df: DataFrame, merges: DataFrame, text: str = "text", key: str = "doc_id",
+               mode: str = "join") -> DataFrame:
+    """Text -> ids (``key, ids``); control tokens atomic; no BOS/EOS added.
+
+    ``mode='join'`` (default): distinct words are encoded once globally (the
+    Python merge loop sees each word once), hash-joined back (broadcast when the
+    distinct set passes the size check) and re-assembled per text in position
+    order.  ``mode='rows'``: pre-tokens are computed on the JVM as one array per
+    text and each Arrow batch maps them to ids behind a per-task word cache --
+    no shuffle at all; preferable on a cluster where the regroup shuffle costs
+    more than per-task re-encoding of frequent words (measured slightly slower
+    on one node).
+    """
     spark = df.sparkSession
     m = [(x["left"], x["right"]) for x in merges.orderBy("rank").collect()]  # bounded by the vocabulary
     bc = spark.sparkContext.broadcast(m)
+    if mode == "rows":
+        import numpy as np
+        import pyarrow as pa
+        special_ids = {t: i for i, t in enumerate(SPECIAL_TOKENS)}
+
+        def enc_rows(batches):
+            encode_word = _encoder(bc.value)
+            cache: dict[str, list[int]] = {t: [i] for t, i in special_ids.items()}
+            for b in batches:
+                flat, offsets = [], [0]
+                for toks in b.column(1).to_pylist():
+                    for w in toks or ():
+                        v = cache.get(w)
+                        if v is None:
+                            v = encode_word(w)
+                            if len(cache) < 500_000:
+                                cache[w] = v
+                        flat.extend(v)
+                    offsets.append(len(flat))
+                ids = pa.ListArray.from_arrays(pa.array(np.asarray(offsets, dtype=np.int32)),
+                                               pa.array(np.asarray(flat, dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[key, "ids"])
+        key_type = df.schema[key].dataType.simpleString()
+        return df.select(key, token_strings(df, text).alias("_toks")).mapInArrow(
+            enc_rows, f"{key} {key_type}, ids array<int>")
     p = text_pieces(df, text, key)
     specials = p.where(F.col("special_id").isNotNull()).select(
         key, "pi", F.lit(0).alias("wi"), F.array(F.col("special_id")).alias("ids"))
@@ -276,14 +324,15 @@ def bpe_encode(df: DataFrame, merges: DataFrame, text: str = "text", key: str =
 
 def bpe_decode(encoded: DataFrame, voc: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Ids -> text (``key, text``): control tokens come back as their text.
-    The vocabulary side is bounded by the vocabulary size and broadcast."""
-    e = encoded.select(key, F.posexplode(ids).alias("pos", "id"))
-    j = e.join(F.broadcast(voc.select("id", "token_hex")), "id")
+
+    The vocabulary side is bounded by the vocabulary size and broadcast; a text
+    with no ids comes back as ``''`` (``posexplode_outer``), so the encoded
+    input is read once."""
+    e = encoded.select(key, F.posexplode_outer(ids).alias("pos", "id"))
+    j = e.join(F.broadcast(voc.select("id", "token_hex")), "id", "left")
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token_hex"))).alias("_t"))
     hexs = F.array_join(F.transform("_t", lambda x: x["token_hex"]), "")
-    out = g.select(key, F.decode(F.unhex(hexs), "UTF-8").alias("text"))
-    # texts with no tokens at all (empty) come back as ''
-    return encoded.select(key).join(out, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    return g.select(key, F.coalesce(F.decode(F.unhex(hexs), "UTF-8"), F.lit("")).alias("text"))
 
 
 def bpe_roundtrip(df: DataFrame, merges: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm.common import table
+from tracelake.llm.mixing import mix
 from tracelake.llm.packing import pack
+from tracelake.llm.tokenfile import read_tokens, token_files
+from tracelake.llm.warc import archive, read_warc
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -22,3 +25,24 @@ def query(fn):
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into power-of-two sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), end_id=1, max_len=2048, with_ids=False)
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fair-queue mix of all sources to 150 % of the words; what is taken of each document."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC files and read back."""
+    path, _ = archive(table(spark, sf_dir, "pages"))
+    return read_warc(spark, path, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as Re-Pair compressed token files, read back."""
+    path, _ = token_files(table(spark, sf_dir, "documents"), end_id=2)
+    return read_tokens(spark, path, with_ids=False)

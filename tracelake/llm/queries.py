@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracelake.llm import toxicity
 from tracelake.llm.common import table
 from tracelake.llm.mixing import mix
 from tracelake.llm.packing import pack
@@ -46,3 +47,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as Re-Pair compressed token files, read back."""
     path, _ = token_files(table(spark, sf_dir, "documents"), end_id=2)
     return read_tokens(spark, path, with_ids=False)
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by class-conditional Kneser-Ney models."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))

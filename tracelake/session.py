@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,3 +47,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package (once per context), so that a session started in any
+    folder can run its Python tasks; the archive travels by Spark's own file distribution."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracelake_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):
+        to = os.path.join(tempfile.mkdtemp(prefix="tracelake-pkg-"), "tracelake")
+        sc.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(package), os.path.basename(package)))
+    sc._tracelake_shipped = True

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import toxicity
+from tracelake.llm import licenses, toxicity
 from tracelake.llm.common import table
+from tracelake.llm.jaccard import jaccard_components
+from tracelake.llm.linededup import drop_lines
 from tracelake.llm.mixing import mix
 from tracelake.llm.packing import pack
 from tracelake.llm.tokenfile import read_tokens, token_files
@@ -54,3 +56,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by class-conditional Kneser-Ney models."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines whose templates recur across documents."""
+    return drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 90 % of their 3-word shingles."""
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document by ordered sentence rules."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op7_licenses"] = licenses.oracle()

@@ -274,16 +274,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         apply, "doc_id long, held_out boolean, score double, predicted int")
 
 
-_LOADED: dict[int, Model] = {}
+_LOADED: dict[int, tuple] = {}
 
 
 def _loaded(shared) -> Model:
     """One model per Python worker and broadcast, with its word cache."""
-    key = shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else id(shared.value)
-    if key not in _LOADED:
+    value = shared.value
+    if id(value) not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Model(*shared.value)
-    return _LOADED[key]
+        _LOADED[id(value)] = value, Model(*value)
+    return _LOADED[id(value)][1]
 
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import licenses, toxicity
 from tracelake.llm.common import table
+from tracelake.llm.embeddup import near_duplicates
 from tracelake.llm.jaccard import jaccard_components
+from tracelake.llm.learnedann import search
 from tracelake.llm.linededup import drop_lines
 from tracelake.llm.mixing import mix
 from tracelake.llm.packing import pack
@@ -77,3 +79,16 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op7_licenses"] = licenses.oracle()
+
+
+@query
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of cosine 0.95 or more and their components."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@query
+def op10_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)

@@ -49,37 +49,43 @@ def join_cell(x, y, side, across, k, parts, budgets, threshold, cell, wide, rows
     """``i, j`` of the linked pairs of one cell whose home cell and first block this is;
     ``across``: only pairs of different ``side``."""
     a, b = parts[k]
-    own = y[:, a:b].astype(np.float64)
+    own = y[:, a:b]
     sq = (own ** 2).sum(1)
+    one = np.ones_like(sq)
+    # squared distances by one product: |u|^2 + |v|^2 - 2 uv
+    u, v = np.column_stack([own, sq, one]), np.column_stack([-2 * own, one, sq])
     norm = np.sqrt(row_dots(x, x))
     place = np.floor(y[:, a:min(a + 2, b)].astype(np.float64) / wide).astype(np.int64)
     found_i, found_j = [], []
     for lo in range(0, len(x), rows):
         hi = min(lo + rows, len(x))
-        near = sq[lo:hi, None] + sq[None, lo:] - 2 * (own[lo:hi] @ own[lo:].T) <= budgets[k] + 1e-9
-        i, j = np.nonzero(near)
-        i, j = i + lo, j + lo
+        near = u[lo:hi] @ v[lo:].T <= np.float32(budgets[k] + 1e-4)
+        at = np.flatnonzero(near)
+        i, j = at // (len(x) - lo) + lo, at % (len(x) - lo) + lo
         keep = (j > i) & ((side[i] != side[j]) | (not across))
         i, j = i[keep], j[keep]
-        for s in range(0, len(i), 50_000):
-            p, q = i[s:s + 50_000], j[s:s + 50_000]
+        for at in range(0, len(i), 50_000):
+            p, q = i[at:at + 50_000], j[at:at + 50_000]
             ok = (np.maximum(place[p], place[q]) == cell).all(1)
             p, q = p[ok], q[ok]
+            if not len(p):
+                continue
             ok = row_dots(x[p], x[q]) >= threshold * (norm[p] * norm[q])
             p, q = p[ok], q[ok]
             d = (y[p].astype(np.float64) - y[q].astype(np.float64)) ** 2
             ok = d[:, a:b].sum(1) <= budgets[k]
-            for e, (u, v) in enumerate(parts[:k]):
-                ok &= d[:, u:v].sum(1) > budgets[e]
+            for e, (s0, s1) in enumerate(parts[:k]):
+                ok &= d[:, s0:s1].sum(1) > budgets[e]
             found_i.append(p[ok])
             found_j.append(q[ok])
     cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
     return cat(found_i), cat(found_j)
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, block_dims: int = 16, block: int = 6000) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, block_dims: int = 16, block: int = 12_000) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector."""
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding"))
+    kind = np.float32 if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
     good = doubles(rows)
     width = main_width(good)
     good = good.where(F.size("v") == width).select("vec_id", "v", F.xxhash64("v").alias("c"))
@@ -94,7 +100,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, block_dims:
         for b in batches:
             x = matrix(b.column(1), width)
             y = ((x / np.sqrt(row_dots(x, x))[:, None]) @ turn).astype(np.float32)
-            raw, turned = [r.tobytes() for r in x], [r.tobytes() for r in y]
+            raw, turned = [r.tobytes() for r in x.astype(kind)], [r.tobytes() for r in y]
             for k, (lo, hi) in enumerate(parts):
                 z = y[:, lo:min(lo + 2, hi)].astype(np.float64)
                 home, reach = np.floor(z / wide[k]).astype(np.int64), np.floor((z + wide[k] / 2) / wide[k]).astype(np.int64)
@@ -120,7 +126,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, block_dims:
         import pyarrow as pa
 
         k, p, q = (key[n].as_py() for n in range(3))
-        x = np.frombuffer(b"".join(t["x"].to_pylist()), np.float64).reshape(-1, width)
+        x = np.frombuffer(b"".join(t["x"].to_pylist()), kind).reshape(-1, width).astype(np.float64)
         y = np.frombuffer(b"".join(t["y"].to_pylist()), np.float32).reshape(-1, width)
         c, side, w = t["c"].to_numpy(), t["side"].to_numpy(), t["weight"].to_numpy()
         cell = np.array([p, q][:min(2, parts[k][1] - parts[k][0])])

@@ -26,13 +26,13 @@ from tracelake.llm.common import materialise
 from tracelake.llm.vectors import doubles, main_width, matrix, row_dots
 
 
-def neighbour_graph(x: np.ndarray, k: int, rows: int = 1024) -> np.ndarray:
+def neighbour_graph(x: np.ndarray, k: int, rows: int = 256) -> np.ndarray:
     """Indices of the k largest inner products of every row, itself left out."""
     out = []
     for lo in range(0, len(x), rows):
         s = x[lo:lo + rows] @ x.T
         s[np.arange(len(s)), lo + np.arange(len(s))] = -np.inf
-        out.append(np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k])
+        out.append(np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k].copy())
     return np.concatenate(out) if out else np.zeros((0, k), np.int64)
 
 

@@ -22,7 +22,7 @@ def _inverse() -> np.uint64:
 
 def _powers(n: int):
     if "p" not in _POW or len(_POW["p"]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, 1 << 19)
         one = np.ones(1, np.uint64)
         _POW["p"] = np.concatenate([one, np.multiply.accumulate(np.full(m - 1, _BASE, np.uint64))])
         _POW["i"] = np.concatenate([one, np.multiply.accumulate(np.full(m - 1, _inverse(), np.uint64))])
@@ -37,7 +37,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((acc[ends] - acc[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def text_chunks(column, max_bytes: int = 3_000_000):
+def text_chunks(column, max_bytes: int = 500_000):
     """Yield ``(first row, data, bounds)`` over a string column: ``data`` are the bytes
     of rows ``first ..``, row ``k`` of them at ``bounds[k]:bounds[k+1]``.  Nulls are empty.
     A chunk ends at ``max_bytes``, but never inside a row."""

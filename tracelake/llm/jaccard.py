@@ -83,7 +83,7 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64) >> 1, minlength=CLASSES), 65535).astype("<u2").tobytes()
 
 
-def common_shingles(docs: DataFrame, n: int, share: float, max_common: int, part: int = 3_000_000) -> np.ndarray:
+def common_shingles(docs: DataFrame, n: int, share: float, max_common: int, part: int = 1_000_000) -> np.ndarray:
     """Shingles that at least ``share`` of the documents of some part of the corpus hold, least common
     first; all documents are counted.  A shingle with that share overall is among them."""
     def count(batches):
@@ -146,6 +146,14 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, schema)
 
 
+FINE = 512
+
+
+def fine_sketch(s: np.ndarray) -> bytes:
+    """The same with many classes in 8 bits each: sharper, for pairs that are about to be verified."""
+    return np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes()
+
+
 def _possible(na, nb, sa, sb, num, den):
     """Size and sketch windows: pairs that may be linked."""
     na, nb = na.astype(np.int64), nb.astype(np.int64)
@@ -253,13 +261,21 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
         import pyarrow as pa
 
         for b in batches:
-            ids, out = b.column(0).to_pylist(), []
+            ids, out, size = b.column(0).to_pylist(), [], 0
+
+            def batch(out):
+                d, c, x = zip(*out) if out else ((),) * 3
+                return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(c, pa.int64()), pa.array(x, pa.binary())],
+                                                  names=["rep", "c", "set"])
+
             for k, s in ngram_sets(b.column(1), n):
                 if len(s) and ids[k] is not None:
                     out.append((ids[k], class_of(s), s.tobytes()))
-            d, c, x = zip(*out) if out else ((),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(c, pa.int64()), pa.array(x, pa.binary())],
-                                             names=["rep", "c", "set"])
+                    size += s.nbytes
+                if size > 4_000_000:
+                    yield batch(out)
+                    out, size = [], 0
+            yield batch(out)
 
     def sift(batches):
         import pyarrow as pa
@@ -274,6 +290,28 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
     sets = sets.withColumn("p", slot).mapInArrow(sift, "rep long, c long, set binary")
     sets = sets.join(wanted, ["c", "rep"], "left_semi").dropDuplicates(["c"]).select("c", "set")
     sets = materialise(sets, "sets")
+
+    def fine(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = [np.frombuffer(v.as_py(), np.uint64) for v in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) for v in x], pa.int32()),
+                                              pa.array([fine_sketch(v) for v in x], pa.binary())], names=["c", "n", "f"])
+
+    def near(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                fa, fb = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int16) for i in (4, 5))
+                ok = _possible(b.column(2).to_numpy(), b.column(3).to_numpy(), fa, fb, num, den)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    # sketches travel with every pair, whole sets only with the pairs that they leave
+    f = sets.mapInArrow(fine, "c long, n int, f binary")
+    pairs = (pairs.join(f.toDF("a", "na", "fa"), "a").join(f.toDF("b", "nb", "fb"), "b")
+             .select("a", "b", "na", "nb", "fa", "fb").mapInArrow(near, "a long, b long"))
     j = (pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb"))
 
     def exact(batches):

@@ -47,8 +47,12 @@ def repair(ids: np.ndarray, bounds: np.ndarray, min_count: int = 4, min_gain: fl
     left, right, size = [], [], np.ones(base, np.int64)
     total = 0
     while len(seq) > 1 and total < max_rules:
-        open_ = np.flatnonzero(~last[:-1] & (size[seq[:-1]] + size[seq[1:]] <= max_expansion))
-        keys = np.sort((seq[open_] << 32) | seq[open_ + 1])
+        a, b = seq[:-1], seq[1:]
+        free = ~last[:-1]
+        if 2 * int(size.max()) > max_expansion:
+            free &= size[a] + size[b] <= max_expansion
+        both = (a << 32) | b
+        keys = np.sort(both[free])
         if not len(keys):
             break
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -64,10 +68,11 @@ def repair(ids: np.ndarray, bounds: np.ndarray, min_count: int = 4, min_gain: fl
         is_left, is_right = np.zeros(len(size), bool), np.zeros(len(size), bool)
         is_left[pairs >> 32] = True
         is_right[pairs & 0xFFFFFFFF] = True
-        maybe = open_[is_left[seq[open_]] & is_right[seq[open_ + 1]]]
-        at = np.searchsorted(pairs, (seq[maybe] << 32) | seq[maybe + 1])
+        maybe = np.flatnonzero(free & is_left[a] & is_right[b])
+        want = both[maybe]
+        at = np.searchsorted(pairs, want)
         at[at == len(pairs)] = 0
-        hit = pairs[at] == (seq[maybe] << 32) | seq[maybe + 1]
+        hit = pairs[at] == want
         pos, rule = maybe[hit], at[hit]
         run = np.concatenate([[True], np.diff(pos) != 1])
         start = np.maximum.accumulate(np.where(run, np.arange(len(pos)), 0))

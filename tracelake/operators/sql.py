@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROW_CAP = 100
-
-
 @dataclass
 class SqlResult:
     status: str
@@ -20,29 +17,28 @@ class SqlResult:
 
 
 def sql_select(spark: SparkSession, query: str, views: dict[str, DataFrame] | None = None,
-               row_cap: int = ROW_CAP) -> SqlResult:
-    """Run a read query: full ``row_count`` and the first ``row_cap`` rows.
+               row_cap: int | None = None) -> SqlResult:
+    """Run a read query: full ``row_count`` and its rows (the first ``row_cap`` if given).
 
-    Accepted: text starting with ``SELECT`` or ``WITH`` (the tool accepted only
-    ``SELECT``); anything else -- DML, DDL -- and analysis errors come back as
-    an error envelope.  The count and the capped rows are two lazy plans over
-    the same query; Catalyst prunes each.
+    The text is parsed as a subquery, where the grammar has no DML or DDL, so
+    ``WITH ... INSERT`` is a parse error like any other.  Errors while parsing,
+    analysing or counting come back as an error envelope.
     """
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
-    head = query.strip().split(None, 1)[0].upper() if query.strip() else ""
-    if head not in ("SELECT", "WITH"):
+    text = query.strip().rstrip(";")
+    if not text.upper().startswith(("SELECT", "WITH", "(")):
         return SqlResult("error", message="Only read queries (SELECT / WITH) are supported.")
     try:
-        df = spark.sql(query)
+        df = spark.sql(f"SELECT * FROM (\n{text}\n) AS q")
         n = df.count()
-    except (AnalysisException, ParseException) as e:
+    except PySparkException as e:
         return SqlResult("error", message=str(e).split("\n")[0])
-    return SqlResult("success", n, df.limit(row_cap), None)
+    return SqlResult("success", n, df if row_cap is None else df.limit(row_cap), None)
 
 
-def sql_select_rows(spark: SparkSession, query: str, views=None, row_cap: int = ROW_CAP) -> DataFrame:
-    """The envelope as a DataFrame: the capped rows with a ``row_count`` column."""
+def sql_select_rows(spark: SparkSession, query: str, views=None, row_cap: int | None = None) -> DataFrame:
+    """The envelope as a DataFrame: the rows with a ``row_count`` column."""
     r = sql_select(spark, query, views, row_cap)
     if r.status != "success":
         raise ValueError(r.message)

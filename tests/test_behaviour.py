@@ -167,6 +167,8 @@ def test_sql_select_envelope(spark):
     r = sql_select(spark, " select * from users order by id", {"users": df})
     assert r.status == "success" and r.row_count == 2 and [x.name for x in r.rows.collect()] == ["a", "b"]
     assert sql_select(spark, "DELETE FROM users", {"users": df}).status == "error"
+    assert sql_select(spark, "WITH x AS (SELECT 1 AS id) INSERT INTO users SELECT id FROM x", {"users": df}).status == "error"
+    assert sql_select(spark, "SELECT raise_error('boom') AS x", {"users": df}).status == "error"
     assert sql_select(spark, "SELECT nope FROM users", {"users": df}).status == "error"
 
 
@@ -198,3 +200,16 @@ def test_extraction_differential_against_python(spark):
         got.setdefault(r.out_id, []).append(r.name)
     for i, t in enumerate(texts):
         assert got.get(i, []) == model(t), t
+
+
+def test_unicode_white_space_and_typed_rejection(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from tracelake.operators.extract import parse_structured, usage_counts
+    text = "a\u00a0b\u2003c\u3000d"
+    r = usage_counts(spark.createDataFrame([(text, "x y")], "prompt string, completion string")).first()
+    assert (r.prompt_tokens, r.completion_tokens, r.total_tokens) == (len(text.split()), 2, 6)
+    schema = StructType([StructField("name", StringType()), StructField("n", LongType())])
+    rows = [(1, '{"name":"a","n":5}'), (2, '{"name":"a","n":"xx"}'), (3, '{"name":null,"n":5}'), (4, '{"name":"a","n":null}'), (5, '{"n":5}')]
+    df = spark.createDataFrame(rows, "out_id long, text string")
+    assert {r.out_id: r.valid for r in parse_structured(df, schema, ["name"]).collect()} == {1: True, 2: False, 3: False, 4: True, 5: False}

@@ -23,7 +23,9 @@ def test_scan_files_text_replaces_bad_utf8_and_caps(spark):
     got = {os.path.basename(r.path): r for r in scan_files_text(spark, root, glob="*.txt").collect()}
     assert set(got) == {"a.txt", "big.txt"}
     assert got["a.txt"].text.startswith("ok ") and "�" in got["a.txt"].text
-    assert len(got["big.txt"].text) == 65536 and got["big.txt"].length == 70000
+    assert len(got["big.txt"].text) == 70000 and got["big.txt"].length == 70000
+    cut = {os.path.basename(r.path): r for r in scan_files_text(spark, root, glob="*.txt", max_chars=65536).collect()}
+    assert len(cut["big.txt"].text) == 65536 and cut["big.txt"].truncated and not cut["a.txt"].truncated
 
 
 def test_results_document_round_trips_as_json(spark):

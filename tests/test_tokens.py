@@ -78,11 +78,16 @@ def test_pack_sequences_keeps_order_and_drops_remainder(spark):
     assert len(packed) == 35 // 4 and flat == allt[:len(flat)]
 
 
-def test_encode_modes_agree(spark, sf):
+def test_encode_keeps_every_row_and_decodes_back(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text").limit(40)
-    extra = spark.createDataFrame([(-1, VALIDATION), (-2, "")], "doc_id long, text string")
+    extra = spark.createDataFrame([(-1, VALIDATION), (-2, ""), (-3, None), (-4, "ab"), (-4, "ab")], "doc_id long, text string")
     d = docs.unionByName(extra)
     merges = T.bpe_train(T.bpe_word_counts(docs), 20)
-    a = {r.doc_id: r.ids for r in T.bpe_encode(d, merges, mode="join").collect()}
-    b = {r.doc_id: r.ids for r in T.bpe_encode(d, merges, mode="rows").collect()}
-    assert {k: v for k, v in a.items() if v} == {k: v for k, v in b.items() if v}
+    enc = T.bpe_encode(d, merges)
+    rows = {r.doc_id: r.ids for r in enc.collect()}
+    assert enc.count() == 45 and rows[-2] == [] and rows[-3] == [] and rows[-4]
+    back = {r.doc_id: r.text for r in T.bpe_decode(enc, T.vocab(merges)).collect()}
+    want = {r.doc_id: r.text or "" for r in d.collect()}
+    assert back == want
+    ok = T.bpe_roundtrip(d, merges).collect()
+    assert len(ok) == 45 and all(r.ok for r in ok)

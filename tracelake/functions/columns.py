@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracelake.functions.markers import PY_WHITESPACE, SPECIAL_TOKENS
+from tracelake.functions.markers import NON_WS, PY_WHITESPACE, SPECIAL_TOKENS
 
 
 def col(c) -> Column:
@@ -25,7 +25,7 @@ def count_literal(c, needle: str) -> Column:
 
 def ws_token_count(c) -> Column:
     """``len(s.split())``: number of whitespace-separated tokens."""
-    return F.size(F.regexp_extract_all(col(c), F.lit(r"\S+"), F.lit(0)))
+    return F.size(F.regexp_extract_all(col(c), F.lit(NON_WS), F.lit(0)))
 
 
 def hash_unit(seed, *parts) -> Column:

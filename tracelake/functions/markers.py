@@ -41,6 +41,11 @@ ASSISTANT_HEADER = IM_START + "assistant\n"
 PY_WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
+#: the same as regex classes, for Java and RE2
+WS_CLASS = "[" + PY_WHITESPACE + "]"
+NON_WS = "[^" + PY_WHITESPACE + "]+"
+
+
 def java_quote(s: str) -> str:
     """Regex-escape for Java (Spark) and RE2 (DuckDB) alike."""
     return re.sub(r"([\\|.^$*+?()\[\]{}])", r"\\\1", s)
@@ -57,7 +62,7 @@ FLAT_OBJECT = r"(?s)\{.*?\}"
 #: greedy object: first ``{`` to the last ``}``
 GREEDY_OBJECT = r"(?s)\{.*\}"
 #: name recovery inside an unparseable call body
-NAME_RECOVERY = r'"name":\s*"([^"]+)"'
+NAME_RECOVERY = '"name":' + WS_CLASS + r'*"([^"]+)"'
 #: any one of the reserved markers, as a capture group
 ANY_MARKER = "(" + "|".join(java_quote(t) for t in SPECIAL_TOKENS) + ")"
 

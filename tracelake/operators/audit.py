@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.markers import WS_CLASS
 from tracelake.functions.columns import py_strip
-from tracelake.operators.common import broadcast_if_small
 
 
 def resolve_path(root: str, path) -> F.Column:
@@ -32,12 +32,12 @@ def audit_path_escapes(calls: DataFrame, root: str = "/ws", path: str = "path")
 
 def audit_commands(calls: DataFrame, allowed: DataFrame, command: str = "command") -> DataFrame:
     """First whitespace token of the command must be on the allow-list; an empty
-    allow-list allows everything.  ``allowed(cmd)`` is size-checked and broadcast.
+    allow-list allows everything.  ``allowed(cmd)`` is joined as adaptive execution sees fit.
     Output adds ``cmd_root``, ``allowed``, ``message``."""
     stripped = py_strip(command)
-    root = F.coalesce(F.split(stripped, r"\s+")[0], F.lit(""))
+    root = F.coalesce(F.split(stripped, WS_CLASS + "+")[0], F.lit(""))
     c = calls.withColumn("cmd_root", F.when(stripped == "", F.lit("")).otherwise(root))
-    al = broadcast_if_small(allowed.select(F.col("cmd").alias("_cmd")).distinct())
+    al = allowed.select(F.col("cmd").alias("_cmd")).distinct()
     empty = allowed.limit(1).count() == 0
     if empty:
         c = c.withColumn("allowed", F.lit(True))

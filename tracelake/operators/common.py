@@ -1,31 +1,10 @@
-"""Shared plan helpers: size-checked broadcast, skew-safe running sums."""
+"""Shared plan helpers: skew-safe running sums."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: default row bound for broadcasting a derived side (checked, never assumed)
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the side: at most ``max_rows`` rows.
-
-    The side (an aggregated registry, an allow-list, distinct-word encodings) is
-    persisted while it is counted, so the join reuses the counted rows instead
-    of computing the side twice; above the bound the cache is dropped and the
-    side stays a normal shuffle join.
-    """
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = cached.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df
-
-
 def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
                 bucket_rows: int | None = 65536, inclusive: bool = True) -> DataFrame:
     """Running ``sum(value)`` per ``keys`` ordered by the integral ``order``.

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from tracelake.functions.columns import col, count_literal, py_strip
 from tracelake.functions.jsonx import is_object, strict_valid, wrap, wrapped_ok, wrapped_value
 from tracelake.functions.markers import (ASSISTANT_HEADER, CALL_END, CALL_SPAN, CALL_START, FLAT_OBJECT,
-                                         GREEDY_OBJECT, IM_END, IM_START, NAME_RECOVERY, SPECIAL_TOKENS)
+                                         GREEDY_OBJECT, IM_END, IM_START, NAME_RECOVERY, NON_WS, SPECIAL_TOKENS)
 
 #: span status values
 PARSED, RECOVERED, UNPARSEABLE, NON_OBJECT = "parsed", "recovered", "unparseable", "non_object"
@@ -127,7 +127,8 @@ def parse_structured(df: DataFrame, schema: StructType, required=(), text: str =
                      mode: str = "PERMISSIVE") -> DataFrame:
     """Typed rows from replies: ``keys, <schema fields...>, valid``.
 
-    ``valid`` = strict JSON object and every ``required`` field present.
+    ``valid`` = strict JSON object, every ``required`` field present and not null, every
+    other value of its field's type or null.
     ``mode='FAILFAST'`` reproduces the reference's raise on the first bad row.
     Rejects are ``where(~valid)``.
     """
@@ -135,9 +136,17 @@ def parse_structured(df: DataFrame, schema: StructType, required=(), text: str =
     base = df.select(*keys, json_object_text(text).alias("_j")).select(*keys, "_j", w.alias("_w"), h.alias("_h"))
     base = base.select(*keys, "_j", wrapped_value("_w", "_h").alias("_v"))
     ok = F.col("_v").isNotNull() & is_object("_v")
+
+    def given(name):  # present and not a JSON null
+        v = F.try_variant_get("_v", f"$.{name}", "variant")
+        return v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(True))
+
     for r in required:
-        ok = ok & F.try_variant_get("_v", f"$.{r}", "variant").isNotNull()
-    out = base.select(*keys, F.from_json("_j", schema).alias("_t"), ok.alias("valid"))
+        ok = ok & given(r)
+    base = base.select(*keys, "_v", F.from_json("_j", schema).alias("_t"))
+    for f in schema.fields:  # a value that its type cannot hold
+        ok = ok & (~given(f.name) | F.col("_t")[f.name].isNotNull())
+    out = base.select(*keys, "_t", ok.alias("valid"))
     out = out.select(*keys, *[F.when(F.col("valid"), F.col("_t")[f.name]).alias(f.name) for f in schema.fields],
                      "valid")
     if mode.upper() == "FAILFAST":
@@ -198,8 +207,8 @@ def calls_per_turn(df: DataFrame, text: str = "text", key: str = "out_id") -> Da
 
 def usage_counts(df: DataFrame, prompt: str = "prompt", completion: str = "completion") -> DataFrame:
     """Whitespace-split counts ``len(s.split())`` for prompt, completion, total."""
-    p = F.size(F.regexp_extract_all(F.col(prompt), F.lit(r"\S+"), F.lit(0)))
-    c = F.size(F.regexp_extract_all(F.col(completion), F.lit(r"\S+"), F.lit(0)))
+    p = F.size(F.regexp_extract_all(F.col(prompt), F.lit(NON_WS), F.lit(0)))
+    c = F.size(F.regexp_extract_all(F.col(completion), F.lit(NON_WS), F.lit(0)))
     return (df.withColumn("prompt_tokens", p).withColumn("completion_tokens", c)
             .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")))
 

@@ -1,7 +1,7 @@
 """Tool registries: ingestion, flattening, upsert, merge, resolution, validation.
 
-Registries are small relative to call logs, but never assumed small: every
-broadcast below is preceded by a row-count check (``broadcast_if_small``), and
+Registries are small relative to call logs, but never assumed small: joins carry
+no broadcast hint (adaptive execution decides on run-time bytes), and
 every aggregation on a tool name is a partial + final hash aggregate, so a hot
 tool name (a third of all calls) costs one row per partition before the shuffle.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.jsonx import strict_valid
-from tracelake.operators.common import broadcast_if_small, running_sum
+from tracelake.operators.common import running_sum
 
 LIST_REPLY = ("struct<result: struct<tools: array<struct<name: string, description: string, "
               "inputSchema: string>>>>")
@@ -90,7 +90,7 @@ def resolve_tool(calls: DataFrame, registry: DataFrame, name: str = "name") -> D
     """
     winners = registry.groupBy(F.col("name").alias("_n")).agg(
         F.min_by("provider", F.struct("priority", "seq")).alias("provider"))
-    r = calls.join(broadcast_if_small(winners), F.col(name) == F.col("_n"), "left").drop("_n")
+    r = calls.join(winners, F.col(name) == F.col("_n"), "left").drop("_n")
     return (r.withColumn("status", F.when(F.col("provider").isNull(), "error").otherwise("resolved"))
             .withColumn("message", F.when(F.col("provider").isNull(),
                                           F.concat(F.lit("Tool '"), F.col(name), F.lit("' not found.")))))
@@ -99,7 +99,7 @@ def resolve_tool(calls: DataFrame, registry: DataFrame, name: str = "name") -> D
 def unresolved_calls(calls: DataFrame, registry: DataFrame, name: str = "name") -> DataFrame:
     """Calls to tools nobody offers (left anti join on the distinct names)."""
     names = registry.select(F.col("name").alias("_n")).distinct()
-    return calls.join(broadcast_if_small(names), F.col(name) == F.col("_n"), "left_anti")
+    return calls.join(names, F.col(name) == F.col("_n"), "left_anti")
 
 
 def offered_tool_calls(calls: DataFrame, offered: DataFrame, case: str = "case_id", name: str = "name") -> DataFrame:
@@ -155,7 +155,7 @@ def validate_args(calls: DataFrame, params: DataFrame, keys=("out_id", "pos"), n
     """
     decl = params.groupBy(F.col("name").alias("_tool")).agg(F.collect_list(F.struct(
         "param", "type", F.from_json("enum", "array<string>").alias("enum"), "required")).alias("_decl"))
-    c = calls.join(broadcast_if_small(decl), F.col(name) == F.col("_tool"), "inner")
+    c = calls.join(decl, F.col(name) == F.col("_tool"), "inner")
     c = c.withColumn("_args", F.coalesce(F.from_json(arguments, "map<string,variant>"),
                                          F.create_map().cast("map<string,variant>")))
     present = lambda d: F.map_contains_key("_args", d["param"])
@@ -233,7 +233,7 @@ def preselect_tools(prompts: DataFrame, tools: DataFrame, k: int = 3, key: str =
     tw = tools.select("name", F.explode(F.regexp_extract_all(
         F.lower(F.concat_ws(" ", F.replace(F.col("name"), F.lit("_"), F.lit(" ")), F.col("description"))),
         F.lit(WORD), F.lit(0))).alias("word")).distinct()
-    ov = pw.join(broadcast_if_small(tw), "word").groupBy(key, "name").agg(F.count(F.lit(1)).alias("overlap"))
+    ov = pw.join(tw, "word").groupBy(key, "name").agg(F.count(F.lit(1)).alias("overlap"))
     w = Window.partitionBy(key).orderBy(F.desc("overlap"))
     return ov.withColumn("rank", F.rank().over(w)).where(F.col("rank") <= k)
 

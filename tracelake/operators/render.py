@@ -76,20 +76,16 @@ DEFAULT_PREAMBLE = ("You are {label}, an autonomous small language model. "
 
 def render_system_prompt(prompts: DataFrame, registry: DataFrame, group: str = "registry_id",
                          label: str = "label", user_text: str = "user_text",
-                         preamble: str = DEFAULT_PREAMBLE, max_broadcast_rows: int = 100_000) -> DataFrame:
+                         preamble: str = DEFAULT_PREAMBLE) -> DataFrame:
     """System prompt (preamble + the registry's tool list) and the opening ChatML.
 
-    Each prompt row names its registry (``group``).  The aggregated registry has
-    one row per registry; it is broadcast only after its row count is checked
-    against ``max_broadcast_rows`` -- beyond that it is a plain shuffle join.
+    Each prompt row names its registry (``group``).  Adaptive execution picks the join.
     Output adds ``system_prompt`` and ``prompt`` (system + user + assistant header).
     """
     tj = tools_json(registry, group)
-    n = tj.count() if max_broadcast_rows else None
-    side = F.broadcast(tj) if n is not None and n <= max_broadcast_rows else tj
     pre_a, pre_b = preamble.split("{label}")
     sys_p = F.concat(F.lit(pre_a), F.col(label), F.lit(pre_b), F.col("tools_json"))
-    out = prompts.join(side, group, "left").withColumn("system_prompt", sys_p)
+    out = prompts.join(tj, group, "left").withColumn("system_prompt", sys_p)
     return out.withColumn("prompt", F.concat(
         F.lit(IM_START + "system\n"), F.col("system_prompt"), F.lit(IM_END + "\n"),
         F.lit(IM_START + "user\n"), F.col(user_text), F.lit(IM_END + "\n"), F.lit(ASSISTANT_HEADER)))

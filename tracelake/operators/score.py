@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.columns import py_strip
 from tracelake.functions.jsonx import wrap, wrapped_value
-from tracelake.operators.common import broadcast_if_small
 from tracelake.operators.extract import call_spans, kept_calls
 
 # --- fixed values: benchmark suites (categories, tool cycle, prompts) --------
@@ -156,8 +155,7 @@ def expected_array(expected_json) -> Column:
     return F.transform(arr, lambda e: F.struct(e["name"].alias("name"), F.to_json(e["arguments"]).alias("arguments")))
 
 
-def score_outputs(answers: DataFrame, cases: DataFrame, key: str = "case_id", text: str = "text",
-                  max_broadcast_rows: int = 200_000) -> DataFrame:
+def score_outputs(answers: DataFrame, cases: DataFrame, key: str = "case_id", text: str = "text") -> DataFrame:
     """Per answer: ``json_valid, name_match, args_match`` with the benchmark's rules.
 
     Spans between call markers, else the non-greedy flat-object fallback; bad
@@ -169,7 +167,7 @@ def score_outputs(answers: DataFrame, cases: DataFrame, key: str = "case_id", te
     counts as valid JSON with no match (the reference raises).
     ``cases(key, expected array<struct<name, arguments>>, is_list boolean)``.
     """
-    c = broadcast_if_small(cases.select(key, "expected", "is_list"), max_broadcast_rows)
+    c = cases.select(key, "expected", "is_list")
     j = answers.join(c, key)
     spans = call_spans(text, fallback=True)
     raws = F.transform(spans, lambda s: py_strip(s))
@@ -228,7 +226,7 @@ def leaderboard(avg: DataFrame, models: DataFrame, model: str = "model") -> Data
     with one), grammar label (Native / Prompt-wrap), overall scores and its rank
     by exact-args score (``dense_rank``; rows sorted by it).
     ``models(model, parameters long, native_tool_grammar boolean)``."""
-    m = avg.join(broadcast_if_small(models), model)
+    m = avg.join(models, model)
     p = F.col("parameters")
     label = F.when(p < 1e9, F.format_string("%.0fM", p / 1e6)).otherwise(F.format_string("%.1fB", p / 1e9))
     out = m.select(model, label.alias("params"),
@@ -253,7 +251,7 @@ def results_document(cat: DataFrame, avg: DataFrame, models: DataFrame, benchmar
     sc = cat.groupBy(model).agg(F.map_from_entries(F.collect_list(F.struct(
         "category", F.struct(F.col("json_valid").alias("ast_valid"), F.col("name_match").alias("tool_match"),
                              F.col("args_match").alias("args_match"))))).alias("scores"))
-    return (sc.join(avg, model).join(broadcast_if_small(models), model, "left")
+    return (sc.join(avg, model).join(models, model, "left")
             .select(F.lit(benchmark).alias("benchmark"), model, "parameters", "native_tool_grammar", "scores",
                     F.col("macro_json_valid").alias("overall_ast_accuracy"),
                     F.col("macro_name_match").alias("overall_tool_selection"),

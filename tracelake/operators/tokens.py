@@ -41,7 +41,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.markers import ANY_MARKER, PY_WHITESPACE, SPECIAL_TOKENS, java_quote
-from tracelake.operators.common import broadcast_if_small
 from tracelake.session import checkpoint_dir
 
 #: Unicode White_Space (Python ``isspace`` without the \\x1c-\\x1f separators)
@@ -255,95 +254,66 @@ def token_strings(df: DataFrame, text: str = "text") -> F.Column:
     return F.when(t.contains("<|"), with_markers).otherwise(pretokens(t))
 
 
-def bpe_encode(df: DataFrame, merges: DataFrame, text: str = "text", key: str = "doc_id",
-               mode: str = "join") -> DataFrame:
-    """Text -> ids (``key, ids``); control tokens atomic; no BOS/EOS added.
+def bpe_encode(df: DataFrame, merges: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Text -> ids (``key, ids``), one row per input row; control tokens atomic; no BOS/EOS added.
 
-    ``mode='join'`` (default): distinct words are encoded once globally (the
-    Python merge loop sees each word once), hash-joined back (broadcast when the
-    distinct set passes the size check) and re-assembled per text in position
-    order.  ``mode='rows'``: pre-tokens are computed on the JVM as one array per
-    text and each Arrow batch maps them to ids behind a per-task word cache --
-    no shuffle at all; preferable on a cluster where the regroup shuffle costs
-    more than per-task re-encoding of frequent words (measured slightly slower
-    on one node).
+    Pre-tokens are computed on the JVM as one array per text; each Arrow batch maps
+    them to ids behind a per-task word cache, so nothing is shuffled.  Null and empty
+    texts have no ids.
     """
-    spark = df.sparkSession
     m = [(x["left"], x["right"]) for x in merges.orderBy("rank").collect()]  # bounded by the vocabulary
-    bc = spark.sparkContext.broadcast(m)
-    if mode == "rows":
+    bc = df.sparkSession.sparkContext.broadcast(m)
+
+    def encode(batches):
         import numpy as np
         import pyarrow as pa
-        special_ids = {t: i for i, t in enumerate(SPECIAL_TOKENS)}
-
-        def enc_rows(batches):
-            encode_word = _encoder(bc.value)
-            cache: dict[str, list[int]] = {t: [i] for t, i in special_ids.items()}
-            for b in batches:
-                flat, offsets = [], [0]
-                for toks in b.column(1).to_pylist():
-                    for w in toks or ():
-                        v = cache.get(w)
-                        if v is None:
-                            v = encode_word(w)
-                            if len(cache) < 500_000:
-                                cache[w] = v
-                        flat.extend(v)
-                    offsets.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(np.asarray(offsets, dtype=np.int32)),
-                                               pa.array(np.asarray(flat, dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[key, "ids"])
-        key_type = df.schema[key].dataType.simpleString()
-        return df.select(key, token_strings(df, text).alias("_toks")).mapInArrow(
-            enc_rows, f"{key} {key_type}, ids array<int>")
-    p = text_pieces(df, text, key)
-    specials = p.where(F.col("special_id").isNotNull()).select(
-        key, "pi", F.lit(0).alias("wi"), F.array(F.col("special_id")).alias("ids"))
-    words = p.where(F.col("special_id").isNull()).select(key, "pi", F.posexplode(pretokens("piece")).alias("wi", "word"))
-
-    def enc(batches):
+
         encode_word = _encoder(bc.value)
-        cache: dict[str, list[int]] = {}
-        for pdf in batches:
-            out = []
-            for w in pdf["word"]:
-                v = cache.get(w)
-                if v is None:
-                    v = encode_word(w)
-                    if len(cache) < 200_000:
-                        cache[w] = v
-                out.append(v)
-            yield pd.DataFrame({"word": pdf["word"], "ids": out})
-    distinct = words.select("word").distinct()
-    coded = distinct.mapInPandas(enc, "word string, ids array<int>").persist(StorageLevel.MEMORY_AND_DISK)
-    parts = words.join(broadcast_if_small(coded, 1_000_000), "word").select(key, "pi", "wi", "ids") \
-        .unionByName(specials)
-    g = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pi", "wi", "ids"))).alias("_p"))
-    return g.select(key, F.flatten(F.transform("_p", lambda x: x["ids"])).alias("ids"))
+        own = {t: [i] for i, t in enumerate(SPECIAL_TOKENS)}
+        cache: dict[str, list[int]] = dict(own)
+        for b in batches:
+            flat, offsets = [], [0]
+            for words in b.column(1):
+                for w in words.as_py() or ():
+                    v = cache.get(w)
+                    if v is None:
+                        if len(cache) >= 500_000:
+                            cache = dict(own)
+                        v = cache[w] = encode_word(w)
+                    flat.extend(v)
+                offsets.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(np.asarray(offsets, dtype=np.int32)),
+                                           pa.array(np.asarray(flat, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[key, "ids"])
+
+    key_type = df.schema[key].dataType.simpleString()
+    return df.select(key, token_strings(df, text).alias("_toks")).mapInArrow(encode, f"{key} {key_type}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, voc: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Ids -> text (``key, text``): control tokens come back as their text.
+    """Ids -> text (``key, text``), row by row: control tokens come back as their text, a row
+    without ids as ``''``.  The vocabulary is one array, bounded by its size."""
+    table = {r["id"]: bytes.fromhex(r["token_hex"]) for r in voc.select("id", "token_hex").collect()}
+    bc = encoded.sparkSession.sparkContext.broadcast(table)
+
+    def decode(batches):
+        import pyarrow as pa
 
-    The vocabulary side is bounded by the vocabulary size and broadcast; a text
-    with no ids comes back as ``''`` (``posexplode_outer``), so the encoded
-    input is read once."""
-    e = encoded.select(key, F.posexplode_outer(ids).alias("pos", "id"))
-    j = e.join(F.broadcast(voc.select("id", "token_hex")), "id", "left")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token_hex"))).alias("_t"))
-    hexs = F.array_join(F.transform("_t", lambda x: x["token_hex"]), "")
-    return g.select(key, F.coalesce(F.decode(F.unhex(hexs), "UTF-8"), F.lit("")).alias("text"))
+        token = bc.value
+        for b in batches:
+            out = [b"".join(token[i] for i in x.as_py() or ()).decode("utf-8", "replace") for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "text"])
 
+    return encoded.select(key, ids).mapInArrow(decode, f"{key} {encoded.schema[key].dataType.simpleString()}, text string")
 
-def bpe_roundtrip(df: DataFrame, merges: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, ok`` -- decode(encode(x)) == x for every text."""
-    enc = bpe_encode(df, merges, text, key)
-    dec = bpe_decode(enc, vocab(merges), key)
-    return df.select(key, F.col(text).alias("_src")).join(dec, key, "left").select(
-        key, F.coalesce(F.col("text") == F.col("_src"), F.col("_src") == "").alias("ok"))
 
+def bpe_roundtrip(df: DataFrame, merges: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key, ok`` -- decode(encode(x)) == x for every text (null counts as empty); the text
+    travels with its key, nothing is joined."""
+    carried = df.select(F.struct(F.col(key).alias("k"), F.col(text).alias("src")).alias("_k"), F.col(text).alias("text"))
+    dec = bpe_decode(bpe_encode(carried, merges, "text", "_k"), vocab(merges), "_k")
+    return dec.select(F.col("_k.k").alias(key), (F.col("text") == F.coalesce("_k.src", F.lit(""))).alias("ok"))
 
-# ---- token rows ----------------------------------------------------------------------
 
 def build_token_rows(encoded: DataFrame, max_length: int = 1024, pad_id: int = 0, ids: str = "input_ids") -> DataFrame:
     """Cut to ``max_length`` and right-pad with ``pad_id``; ``attention_mask`` 1 on real

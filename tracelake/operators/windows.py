@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.columns import hash_unit
-from tracelake.operators.common import broadcast_if_small
 
 
 # ---- metric logs ----------------------------------------------------------------
@@ -148,4 +147,3 @@ def detect_recovery(turns: DataFrame, conv: str = "conv_id", turn: str = "turn")
                     (changed & (F.col("b.status") != "error")).alias("recovered"))
 
 
-__all__ = ["broadcast_if_small"]

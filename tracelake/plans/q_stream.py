@@ -79,7 +79,7 @@ def q_stream_dead_letter(spark, sf):
     ok, bad = scratch(spark, "dl-valid"), scratch(spark, "dl-rejected")
     qa, qb = SR.start_dead_letter(_staged_stream(spark, b, "bodies"), ok, bad)
     for q in (qa, qb):
-        q.awaitTermination(600)
+        q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
     return spark.read.parquet(ok).unionByName(spark.read.parquet(bad))

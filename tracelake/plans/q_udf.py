@@ -82,7 +82,7 @@ SPECS_SQL = _values(REGISTRY.rows(), ["\"group\"", "seq", "name", "description",
 def q_register_tool(spark, sf):
     specs = REGISTRY.table(spark).select("name", "description", "input_schema")
     n = X.extract_tool_calls(fx.outputs(spark, sf)).groupBy("name").agg(F.count(F.lit(1)).alias("n_calls"))
-    return specs.join(F.broadcast(n), "name", "left").select(
+    return specs.join(n, "name", "left").select(
         "name", "description", "input_schema", F.coalesce("n_calls", F.lit(0)).alias("n_calls"))
 
 

@@ -42,6 +42,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
         or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
     if not d:
         d = tempfile.mkdtemp(prefix="tracelake-ckpt-")
     if sc.getCheckpointDir() is None:

@@ -7,21 +7,22 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_CHARS = 65536
 
-
-def scan_files_text(spark: SparkSession, root: str, glob: str | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
+def scan_files_text(spark: SparkSession, root: str, glob: str | None = None, max_chars: int | None = None) -> DataFrame:
     """Every file under ``root`` as text: ``path, length, text``.
 
-    Invalid UTF-8 is replaced (U+FFFD), the text is cut to the first
-    ``max_chars`` characters; file bodies stay on the executors that read them.
+    Invalid UTF-8 is replaced (U+FFFD).  The whole text is read; with ``max_chars`` it is cut
+    there and ``truncated`` tells which rows lost text.  File bodies stay on the executors that read them.
     ``glob`` filters file names (``pathGlobFilter``)."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(root)
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return df.select("path", "length", F.substring(text, 1, max_chars).alias("text"))
+    if max_chars is None:
+        return df.select("path", "length", text.alias("text"))
+    return df.select("path", "length", F.substring(text, 1, max_chars).alias("text"),
+                     (F.length(text) > max_chars).alias("truncated"))
 
 
 def url_path(url) -> F.Column:

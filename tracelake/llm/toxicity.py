@@ -163,7 +163,7 @@ class Model:
         """Constant, mean ratio per word, mean excess over each of :data:`HINGES` (a few strong
         words in a long ordinary text), the excesses times log length, inverse length."""
         cache, scores = self.cache, []
-        if len(cache) > 400_000:
+        if len(cache) > 100_000:
             cache.clear()
         for w in words_of(text):
             v = cache.get(w)

@@ -46,7 +46,7 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 class WordIds:
     """Encoder with a table of at most ``limit`` pieces (a full table starts anew)."""
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 

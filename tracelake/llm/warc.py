@@ -25,7 +25,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import shared_path
+from tracelake.llm.common import materialise, shared_path
 from tracelake.llm.files import commit, committed, store_of
 
 CRLF = b"\r\n"
@@ -66,14 +66,19 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = 64 << 20, min_dedu
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"),
                      F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2("html", 256))
-    # digests that occur more than once: partial counts first, one small row per digest after
-    first = (p.where(F.octet_length("html") >= min_dedup).groupBy("digest")
-             .agg(F.count(F.lit(1)).alias("_n"), F.min("page_id").alias("first_id"))
-             .where("_n > 1").select("digest", "first_id", F.lit(True).alias("dup")))
-    r = p.join(first, "digest", "left").select("page_id", "url", "html", "digest", "first_id", "dup")
+    # Decisions on narrow rows (no payload): the pages whose digest occurs more than once.  Partial
+    # counts first, one small row per digest after.
+    narrow = p.where(F.octet_length("html") >= min_dedup).select("page_id", "digest")
+    first = (narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.min("page_id").alias("first_id"))
+             .where("_n > 1").select("digest", "first_id"))
+    said = materialise(narrow.join(first, "digest").select("page_id", "digest", "first_id"), "warc-copies")
+    # A decision travels as a row of its own key and sorts before the page: payloads are shuffled once.
+    kinds = [F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")]
+    r = (p.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("first_id"), F.lit(False).alias("dup"))
+         .unionByName(said.select("page_id", *kinds, "digest", "first_id", F.lit(True).alias("dup"))))
     order = [F.col("page_id").asc_nulls_last(), F.col("digest")]
     keys = ([partitions] if partitions else []) + order
-    r = r.repartitionByRange(*keys).sortWithinPartitions(*order, "url")
+    r = r.repartitionByRange(*keys).sortWithinPartitions(*order, F.desc("dup"), "url")
 
     def write(batches):
         import pyarrow as pa
@@ -83,6 +88,7 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = 64 << 20, min_dedu
         store, base = store_of(path)
         store.create_dir(f"{base}/_temporary", recursive=True)
         attempt, files, out, last, seen = uuid.uuid4().hex, [], None, None, 0
+        copies, refers_to = None, None  # key of the decision row read last, and the page that it refers to
 
         def close():
             out["stream"].close()
@@ -90,12 +96,15 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = 64 << 20, min_dedu
 
         for b in batches:
             for page_id, url, html, digest, first_id, dup in zip(*(b.column(i) for i in range(6))):
-                page_id, url, html, digest = page_id.as_py(), url.as_py(), html.as_py().encode(), digest.as_py()
-                first_id, dup = first_id.as_py(), dup.as_py()
-                seen = seen + 1 if last == (page_id, digest) else 0
-                last = (page_id, digest)
-                revisit = bool(dup) and (page_id != first_id or seen > 0)
-                rec = warc_record(page_id, url, html, digest, first_id, revisit, date, seen)
+                key = (page_id.as_py(), digest.as_py())
+                if dup.as_py():
+                    copies, refers_to = key, first_id.as_py()
+                    continue
+                (page_id, digest), url, html = key, url.as_py(), html.as_py().encode()
+                seen = seen + 1 if last == key else 0
+                last = key
+                revisit = copies == key and (page_id != refers_to or seen > 0)
+                rec = warc_record(page_id, url, html, digest, refers_to if revisit else None, revisit, date, seen)
                 if out and out["bytes"] + len(rec) > roll_bytes:
                     close()
                     out = None

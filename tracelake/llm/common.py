@@ -13,13 +13,17 @@ from tracelake.session import checkpoint_dir
 
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python ``BATCH_ROWS`` rows at a time at most: their width has no bound."""
+    """Texts go to Python ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` at a time at most: their width has no bound."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -186,7 +186,7 @@ def star_candidates(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> Da
     return j.mapInArrow(keep, "a long, b long")
 
 
-def region_candidates(regions: DataFrame, num: int, den: int, max_pairs: int = 1_000_000) -> DataFrame:
+def region_candidates(regions: DataFrame, num: int, den: int, max_pairs: int = 100_000) -> DataFrame:
     """``regions(key, side, c, comp, n, sketch)`` -> possible pairs ``a < b`` of different components.
 
     Rows come sorted by key; a key has at most two blocks of bounded size.  A key with two sides
@@ -250,7 +250,8 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
     spark = docs.sparkSession
     wanted = (pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(reps.select("c", "rep"), "c"))
     wanted = materialise(wanted, "wanted")
-    slot = F.pmod(F.xxhash64("c", "rep"), F.lit(1 << bits))
+    mask = (1 << bits) - 1
+    slot = F.col("c").bitwiseXOR(F.col("rep")).bitwiseAND(F.lit(mask))  # names of classes are hashes
     words = (wanted.select(slot.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("w"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow())  # <= 2**bits / 64 rows
     bloom = np.zeros((1 << bits) // 64, np.int64)
@@ -260,45 +261,34 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
     def classes(batches):
         import pyarrow as pa
 
-        for b in batches:
-            ids, out, size = b.column(0).to_pylist(), [], 0
+        table = shared.value
 
-            def batch(out):
-                d, c, x = zip(*out) if out else ((),) * 3
-                return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(c, pa.int64()), pa.array(x, pa.binary())],
-                                                  names=["rep", "c", "set"])
+        def batch(out):
+            c, m, f, x = zip(*out) if out else ((),) * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(m, pa.int32()), pa.array(f, pa.binary()),
+                                               pa.array(x, pa.binary())], names=["c", "n", "f", "set"])
 
+        for b in batches:
+            ids, out, size = b.column(0).to_pylist(), [], 0
             for k, s in ngram_sets(b.column(1), n):
-                if len(s) and ids[k] is not None:
-                    out.append((ids[k], class_of(s), s.tobytes()))
+                if not len(s) or ids[k] is None:
+                    continue
+                c = class_of(s)
+                p = (c ^ ids[k]) & mask
+                if (int(table[p >> 6]) >> (p & 63)) & 1:
+                    out.append((c, len(s), fine_sketch(s), s.tobytes()))
                     size += s.nbytes
                 if size > 4_000_000:
                     yield batch(out)
                     out, size = [], 0
             yield batch(out)
 
-    def sift(batches):
-        import pyarrow as pa
-
-        table = shared.value
-        for b in batches:
-            p = b.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(3)], names=["rep", "c", "set"]).filter(
-                pa.array((table[p // 64] >> (p % 64)) & 1 == 1))
-
-    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(classes, "rep long, c long, set binary")
-    sets = sets.withColumn("p", slot).mapInArrow(sift, "rep long, c long, set binary")
-    sets = sets.join(wanted, ["c", "rep"], "left_semi").dropDuplicates(["c"]).select("c", "set")
+    # one shuffle of the sets by class; what only passed the filter by chance goes there as well
+    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        classes, "c long, n int, f binary, set binary")
+    sets = sets.join(wanted.select("c"), "c", "left_semi").dropDuplicates(["c"])
     sets = materialise(sets, "sets")
 
-    def fine(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            x = [np.frombuffer(v.as_py(), np.uint64) for v in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) for v in x], pa.int32()),
-                                              pa.array([fine_sketch(v) for v in x], pa.binary())], names=["c", "n", "f"])
-
     def near(batches):
         import pyarrow as pa
 
@@ -309,7 +299,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     # sketches travel with every pair, whole sets only with the pairs that they leave
-    f = sets.mapInArrow(fine, "c long, n int, f binary")
+    f, sets = sets.select("c", "n", "f"), sets.select("c", "set")
     pairs = (pairs.join(f.toDF("a", "na", "fa"), "a").join(f.toDF("b", "nb", "fb"), "b")
              .select("a", "b", "na", "nb", "fa", "fb").mapInArrow(near, "a long, b long"))
     j = (pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb"))

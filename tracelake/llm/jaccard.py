@@ -9,8 +9,9 @@ a distance of at most ``tau = 1 - num/den``.
    one global order (rare before very common ones).  A point's own region is its first
    shingle; the window that replicates it to further regions are the shingles after
    it, up to place ``n - ceil(num * n / den) + 1``: two linked points share a region.
-3. Inside a region its smallest point is the pivot: the distance of every other
-   point to it is taken exactly; points within ``tau`` join its ball.
+3. Inside a region its smallest point is the pivot: points within ``tau`` of it by exact
+   distance join its ball.  Each point first meets the smallest of its pivots, then those
+   of its pivots that are not yet in its component (near copies share many regions).
 4. Regions that still hold several components join recursively: pairs of different
    components inside the size window and inside the window of a count sketch (for
    any hash class of shingles, the class counts of x and y differ by at most the
@@ -329,10 +330,21 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, co
     rows = reps.select("c", F.explode("prefix").alias("s"))
     pivots = rows.groupBy("s").agg(F.min("c").alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
     regions = materialise(rows.join(pivots, "s"), "regions")
-    # the pivot of each region against its points
-    stars = regions.where("c != p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
-    stars = materialise(star_candidates(stars, reps, num, den), "stars")
-    links = materialise(verify(stars, reps, docs, n, num, den), "links")
+    # the first pivot of each point: one pair a point, however many regions near copies share
+    pairs = regions.where("c != p")
+    nearest = pairs.groupBy("c").agg(F.min("p").alias("a")).select("a", F.col("c").alias("b"))
+    first = materialise(star_candidates(nearest, reps, num, den), "first-stars")
+    links = materialise(verify(first, reps, docs, n, num, den), "first-links")
+    # the pivots of all other regions against the points that are not yet in their component
+    comp = connected_components(links)
+    name = comp.select(F.col("id").alias("c"), F.col("component_id").alias("of_c"))
+    pivot = comp.select(F.col("id").alias("p"), F.col("component_id").alias("of_p"))
+    others = (pairs.select("p", "c").distinct().join(name, "c", "left").join(pivot, "p", "left")
+              .where(F.coalesce("of_c", "c") != F.coalesce("of_p", "p"))
+              .select(F.col("p").alias("a"), F.col("c").alias("b")).join(first, ["a", "b"], "left_anti"))
+    second = materialise(star_candidates(others, reps, num, den), "second-stars")
+    links = materialise(links.unionByName(verify(second, reps, docs, n, num, den)), "links")
+    stars = first.unionByName(second)
     # points of different components inside one region
     comp = connected_components(links).withColumnRenamed("id", "c")
     named = regions.join(comp, "c", "left").withColumn("comp", F.coalesce("component_id", "c")).select("s", "c", "comp", "k")

@@ -174,6 +174,21 @@ def test_line_dedup(spark):
     assert drop_lines(frame(spark, rows, "doc_id long, text string, leaf string").limit(0)).count() == 0
 
 
+def test_line_dedup_word_fields(spark):
+    """Fields of words that many documents hold are fields on a large table as on a small one."""
+    from tracelake.llm.linededup import drop_lines
+    r = random.Random(5)
+    own = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(12))
+    names, cities, days = (["".join(r.choice("klmnop") for _ in range(6)) for _ in range(n)] for n in (4, 40, 7))
+    combos = [(a, b, c) for a in names for b in cities for c in days]
+    for size in (60, 600):
+        rows = [(i, "\n".join([own(), "posted by %s in %s on %s" % x, own()])) for i, x in enumerate(r.sample(combos, size))]
+        # one document's many lines are one vote
+        rows.append((5000, "\n".join([own()] + ["posted by %s in %s on %s" % (names[0], cities[0], own()[:7]) for _ in range(300)])))
+        got = {x.doc_id: x.dropped for x in drop_lines(frame(spark, rows, "doc_id long, text string")).collect()}
+        assert all(got[i] == [1] for i in range(size)) and got[5000] == list(range(1, 301))
+
+
 def test_embedding_dedup(spark):
     from tracelake.llm.embeddup import near_duplicates
     r = np.random.RandomState(0)

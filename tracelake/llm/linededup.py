@@ -1,11 +1,13 @@
 """Line dedup with a log-template tree.
 
 The tree has a fixed depth: token count, then the leading tokens (tokens with a digit
-are one variable).  Inside a leaf a token at its place is constant when it is held
-there by ``min_docs`` documents, else it is a variable field; a line whose constants
-make up ``constant`` of its tokens is generalised to the template of constants and
-``<*>``, any other line is its own template.  A template that recurs in ``min_docs``
-documents is dropped.
+are one variable).  Inside a leaf a token at its place is supported by the distinct
+lines that hold it there; a document has one vote in a leaf, shared by the lines it
+stands for.  The ``constant`` share of a line's tokens with the most support tells the
+size of its cluster: what is supported as much is constant, the rest are variable
+fields ``<*>``.  Only relations of support inside a line count, so a field is found alike
+at every size of the table.  A line with too few tokens that another line holds is its
+own template.  A template that recurs in ``min_docs`` documents is dropped.
 
 Documents that consist mostly of recurring lines are copies of each other, not
 carriers of boilerplate: a document whose recurring lines hold more than
@@ -22,7 +24,7 @@ equal rows count once per id; an empty table gives no rows; extra columns are ke
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.bytewords import mix, span_hashes, words
@@ -32,6 +34,7 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 VARIABLE = np.uint64(0x2A2A2A2A2A2A2A2B)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+VOTE = 1 << 24
 
 
 def line_table(text: str, depth: int, min_tokens: int):
@@ -126,11 +129,19 @@ def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens
     leaves = materialise(leaves.where(F.col("d") >= min_docs).select("leaf", (F.col("lo") != F.col("hi")).alias("many")), "leaves")
     near = lines.join(leaves, "leaf")
     # generalise inside leaves of several lines
-    held = near.where("many").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("k"))
+    held = near.where("many").groupBy("leaf", "line").agg(F.min("doc").alias("holder"))
+    share = F.greatest(F.lit(1), F.floor(F.lit(VOTE) / F.count(F.lit(1)).over(Window.partitionBy("leaf", "holder"))))
+    held = held.select("leaf", "line", share.alias("vote"))
     tokens = _tokens(docs, leaves.where("many").select("leaf"), depth, min_tokens).join(held, ["leaf", "line"])
-    tokens = materialise(tokens.select("leaf", "line", "k", F.explode("tokens").alias("t")), "line-tokens")
-    steady = tokens.groupBy("leaf", "t").agg(F.sum("k").alias("held")).where(F.col("held") >= min_docs).select("leaf", "t")
-    shape = (tokens.join(steady, ["leaf", "t"]).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("t").alias("x"))
+    tokens = tokens.select("leaf", "line", "vote", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    tokens = materialise(tokens, "line-tokens")
+    # a token of one line only is constant in no cluster of several lines
+    support = (tokens.groupBy("leaf", "t").agg(F.sum("vote").alias("support"), F.count(F.lit(1)).alias("k"))
+               .where("k > 1").select("leaf", "t", "support"))
+    need = F.ceil(F.col("n") * constant)
+    place = F.rank().over(Window.partitionBy("leaf", "line").orderBy(F.desc("support")))
+    shape = (tokens.join(support, ["leaf", "t"]).select("leaf", "line", "t", "n", place.alias("place")).where(F.col("place") <= need)
+             .groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("t").alias("x"))
              .select("leaf", "line", "c", F.xxhash64("leaf", "x", "c").alias("template")))
     named = (near.join(shape, ["leaf", "line"], "left")
              .withColumn("template", F.when(F.col("c") >= F.ceil(F.col("n") * constant), F.col("template")).otherwise(F.col("line")))

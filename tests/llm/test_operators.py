@@ -189,6 +189,25 @@ def test_line_dedup_word_fields(spark):
         assert all(got[i] == [1] for i in range(size)) and got[5000] == list(range(1, 301))
 
 
+def test_line_dedup_short_pages(spark):
+    """Every different document counts, however much of it recurs; equal texts count once."""
+    from tracelake.llm.linededup import drop_lines
+    r = random.Random(6)
+    own = lambda n=12: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    notice, passage, copied = "\n".join([own(20), own(20)]), own(40), own(40)
+    rows = [(i, own(6) + "\n" + notice) for i in range(50)]
+    rows += [(100 + i, "\n".join([own(90), passage])) for i in range(2)] + [(102, own(4) + "\n" + passage)]
+    rows += [(200 + i, own(4) + "\n" + copied) for i in range(2)] + [(210 + i, "x y z\n" + copied + "\n" * i) for i in range(1)] * 4
+    rows += [(300 + i, "\n".join(["one whole copy here", notice.split("\n")[0]])) for i in range(4)]
+    held = own(30)
+    rows += [(400 + i, "text of copies\n" + held + " " * i) for i in range(5)] + [(410, own(9) + "\n" + held)]
+    got = {x.doc_id: x.dropped for x in drop_lines(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == [1, 2] for i in range(50)) and all(got[100 + i] == [1] for i in range(3))
+    assert got[200] == got[201] == got[210] == [1]
+    assert all(got[300 + i] == [1] for i in range(4))
+    assert all(got[400 + i] == [] for i in range(5)) and got[410] == []
+
+
 def test_embedding_dedup(spark):
     from tracelake.llm.embeddup import near_duplicates
     r = np.random.RandomState(0)

@@ -9,10 +9,10 @@ fields ``<*>``.  Only relations of support inside a line count, so a field is fo
 at every size of the table.  A line with too few tokens that another line holds is its
 own template.  A template that recurs in ``min_docs`` documents is dropped.
 
-Documents that consist mostly of recurring lines are copies of each other, not
-carriers of boilerplate: a document whose recurring lines hold more than
-``copy_share`` of its tokens does not count towards ``min_docs``, so whole copies are
-left to document dedup and lose the same lines.  All leaf statistics are
+Copies are told by the whole text: documents of the same token sequence, white space
+and line ends aside, are one class and count once towards ``min_docs``, by their smallest
+id; every other document counts, however much of it recurs.  So whole copies by
+themselves are left to document dedup, and lose the lines that other documents hold.  All leaf statistics are
 hash aggregates with partial sums over narrow rows; only lines in leaves that several
 documents share carry their tokens, as hashes.
 
@@ -39,11 +39,13 @@ VOTE = 1 << 24
 
 def line_table(text: str, depth: int, min_tokens: int):
     """``line number, leaf, line hash, placed token hashes, tokens`` of the lines that can be dropped,
-    and the number of tokens of the whole text."""
+    and a hash of the whole text's token sequence."""
     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
     bounds = np.concatenate([[0], np.flatnonzero(raw == 10) + 1, [len(raw)]])
     starts, ends, line = words(raw, bounds)
     h = span_hashes(raw, starts, ends)
+    at = np.arange(1, len(h) + 1, dtype=np.uint64)
+    content = mix(mix(h ^ at * _STEP).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
     h = np.where(digits[ends] > digits[starts], VARIABLE, h)
     count = np.bincount(line, minlength=len(bounds) - 1)
@@ -55,7 +57,7 @@ def line_table(text: str, depth: int, min_tokens: int):
     a, n = first[pick], count[pick]
     leaf = mix(acc[a + np.minimum(n, depth)] - acc[a] + n.astype(np.uint64) * _STEP)
     whole = mix(acc[a + n] - acc[a] + n.astype(np.uint64))
-    return pick, leaf, whole, [placed[x:x + k] for x, k in zip(a.tolist(), n.tolist())], n, len(h)
+    return pick, leaf, whole, [placed[x:x + k] for x, k in zip(a.tolist(), n.tolist())], n, content
 
 
 def _doc():
@@ -63,25 +65,27 @@ def _doc():
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """``doc, leaf, line, n`` of every line that can be dropped; a leaf and line of 0 carry the text's tokens."""
+    """``doc, content, leaf, line, n`` of every line that can be dropped."""
     def parse(batches):
         import pyarrow as pa
 
         for b in batches:
-            ids, out = b.column(0).to_pylist(), [[], [], [], []]
+            ids, out = b.column(0).to_pylist(), [[], [], [], [], []]
             for k, t in enumerate(b.column(1)):
                 t = t.as_py()
                 if t:
-                    _, leaf, whole, _, n, total = line_table(t, depth, min_tokens)
-                    out[0].append(np.full(len(n) + 1, ids[k], np.int64))
-                    out[1].append(np.append(leaf, np.uint64(0)).view(np.int64))
-                    out[2].append(np.append(whole, np.uint64(0)).view(np.int64))
-                    out[3].append(np.append(n, total).astype(np.int32))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+                    _, leaf, whole, _, n, content = line_table(t, depth, min_tokens)
+                    out[0].append(np.full(len(n), ids[k], np.int64))
+                    out[1].append(np.repeat(content, len(n)).view(np.int64))
+                    out[2].append(leaf.view(np.int64))
+                    out[3].append(whole.view(np.int64))
+                    out[4].append(n.astype(np.int32))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, kinds)],
-                                             names=["doc", "leaf", "line", "n"])
+                                             names=["doc", "content", "leaf", "line", "n"])
 
-    return docs.select(_doc(), F.col("text").cast("string")).mapInArrow(parse, "doc long, leaf long, line long, n int")
+    return docs.select(_doc(), F.col("text").cast("string")).mapInArrow(
+        parse, "doc long, content long, leaf long, line long, n int")
 
 
 def _tokens(docs: DataFrame, leaves: DataFrame, depth: int, min_tokens: int, bits: int = 22) -> DataFrame:
@@ -102,7 +106,7 @@ def _tokens(docs: DataFrame, leaves: DataFrame, depth: int, min_tokens: int, bit
                 t = t.as_py()
                 if not t:
                     continue
-                _, leaf, whole, tokens, _, _ = line_table(t, depth, min_tokens)
+                _, leaf, whole, tokens, *_ = line_table(t, depth, min_tokens)
                 p = np.mod(leaf.view(np.int64), 1 << bits)
                 for k in np.flatnonzero((table[p // 64] >> (p % 64)) & 1):
                     w = int(whole[k])
@@ -120,16 +124,14 @@ def _tokens(docs: DataFrame, leaves: DataFrame, depth: int, min_tokens: int, bit
     return rows.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
 
 
-def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 3, constant: float = 0.7,
-                  copy_share: float = 0.5) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 3, constant: float = 0.7) -> DataFrame:
     """``doc, lines``: hashes of the lines that each document loses."""
-    rows = materialise(_lines(docs, depth, min_tokens), "lines")
-    lines, totals = rows.where("leaf != 0 or line != 0"), rows.where("leaf = 0 and line = 0")
-    leaves = lines.groupBy("leaf").agg(F.countDistinct("doc").alias("d"), F.min("line").alias("lo"), F.max("line").alias("hi"))
+    lines = materialise(_lines(docs, depth, min_tokens), "lines")
+    leaves = lines.groupBy("leaf").agg(F.countDistinct("content").alias("d"), F.min("line").alias("lo"), F.max("line").alias("hi"))
     leaves = materialise(leaves.where(F.col("d") >= min_docs).select("leaf", (F.col("lo") != F.col("hi")).alias("many")), "leaves")
     near = lines.join(leaves, "leaf")
     # generalise inside leaves of several lines
-    held = near.where("many").groupBy("leaf", "line").agg(F.min("doc").alias("holder"))
+    held = near.where("many").groupBy("leaf", "line").agg(F.min("content").alias("holder"))
     share = F.greatest(F.lit(1), F.floor(F.lit(VOTE) / F.count(F.lit(1)).over(Window.partitionBy("leaf", "holder"))))
     held = held.select("leaf", "line", share.alias("vote"))
     tokens = _tokens(docs, leaves.where("many").select("leaf"), depth, min_tokens).join(held, ["leaf", "line"])
@@ -145,24 +147,18 @@ def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens
              .select("leaf", "line", "c", F.xxhash64("leaf", "x", "c").alias("template")))
     named = (near.join(shape, ["leaf", "line"], "left")
              .withColumn("template", F.when(F.col("c") >= F.ceil(F.col("n") * constant), F.col("template")).otherwise(F.col("line")))
-             .select("doc", "line", "n", "template"))
+             .select("doc", "content", "line", "template"))
     named = materialise(named, "templates")
-    again = named.groupBy("template").agg(F.countDistinct("doc").alias("d")).where(F.col("d") >= min_docs).select("template")
-    again = materialise(named.join(again, "template"), "recurring")
-    # copies: documents of mostly recurring lines do not make a template boilerplate
-    size = totals.groupBy("doc").agg(F.sum("n").alias("total"))
-    own = (again.groupBy("doc").agg(F.sum("n").alias("n")).join(size, "doc").where(F.col("n") <= F.col("total") * copy_share)
-           .select("doc"))
-    drop = (again.join(own, "doc").groupBy("template").agg(F.countDistinct("doc").alias("d"))
-            .where(F.col("d") >= min_docs).select("template"))
-    return again.join(drop, "template").groupBy("doc").agg(F.collect_set("line").alias("lines"))
-
-
-def drop_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 3, constant: float = 0.7,
-               copy_share: float = 0.5) -> DataFrame:
+    # of the documents of one whole text the smallest id counts
+    drop = (named.groupBy("template", "content").agg(F.min("doc").alias("doc"))
+            .groupBy("template").agg(F.countDistinct("doc").alias("d")).where(F.col("d") >= min_docs).select("template"))
+    return named.join(drop, "template").groupBy("doc").agg(F.collect_set("line").alias("lines"))
+
+
+def drop_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 3, constant: float = 0.7) -> DataFrame:
     """All columns of ``docs`` with recurring lines taken out of ``text``, plus ``n_lines`` and
     ``dropped`` (numbers of the lines taken out, from 0).  Those two names are the operator's."""
-    lost = dropped_lines(docs, depth, min_docs, min_tokens, constant, copy_share)
+    lost = dropped_lines(docs, depth, min_docs, min_tokens, constant)
     kept = [c for c in docs.columns if c not in ("n_lines", "dropped")]
     j = docs.select(F.struct(*kept).alias("_d"), _doc()).join(lost, "doc", "left").select(
         F.col("_d.text").cast("string").alias("text"), "lines", "_d")
@@ -178,7 +174,7 @@ def drop_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: i
                 out: list[int] = []
                 if lines:
                     bad = np.array(lines, np.int64).view(np.uint64)
-                    number, _, whole, _, _, _ = line_table(t, depth, min_tokens)
+                    number, _, whole, *_ = line_table(t, depth, min_tokens)
                     out = number[np.isin(whole, bad)].tolist()
                     lost_ = set(out)
                     t = "\n".join(p for i, p in enumerate(parts) if i not in lost_)

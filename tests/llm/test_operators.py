@@ -279,6 +279,51 @@ def test_toxicity(spark):
     assert {q.score for q in X.score(docs, none).collect()} == {0.5}
 
 
+def test_toxicity_keeps_all_grams(spark):
+    """Word scores equal Kneser-Ney by hand over every gram, those counted once included."""
+    import math
+    from tracelake.llm import toxicity as X
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 9))) for _ in range(200)]
+    rows = [(i, " ".join(r.choice(words) + ("zq" if i % 3 == 0 and k == 0 else "") for k in range(9))) for i in range(200)]
+    docs, lab = frame(spark, rows, "doc_id long, text string"), frame(spark, [(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    train = docs.where(~X.held_out()).selectExpr("text", "cast(doc_id % 3 = 0 as int) as toxic", "pmod(xxhash64(doc_id, 11), 5) = 0 as curve")
+    raw, kn, total, prob = {}, {}, {}, {}
+    for text, toxic in train.where("not curve").select("text", "toxic").collect():
+        for w in text.split():
+            for i in range(1, len(w) + 2):
+                for j in range(max(0, i - 5), i + 1):
+                    raw.setdefault(f"^{w}$"[j:i + 1], [0, 0])[toxic] += 1
+    for g, ab in raw.items():
+        kn[g] = ab if len(g) == 6 or g[0] == "^" else [sum(x[1:] == g and raw[x][k] > 0 for x in raw) for k in (0, 1)]
+        kn[g] = [sum(kn[g])] * 2 if len(g) <= 2 else kn[g]
+        t = total.setdefault(g[:-1], [0, 0, 0, 0])
+        for k in (0, 1):
+            t[k] += kn[g][k]
+            t[2 + k] += kn[g][k] > 0
+    back = {h: [0.75 * t[2 + k] / t[k] if t[k] else 1.0 for k in (0, 1)] for h, t in total.items()}
+    for g in sorted(raw, key=len):
+        t, low = total[g[:-1]], prob.get(g[1:], [1 / (sum(len(x) == 1 for x in raw) + 1)] * 2)
+        prob[g] = [(max(kn[g][k] - 0.75, 0) / t[k] if t[k] else 0) + back[g[:-1]][k] * low[k] for k in (0, 1)]
+
+    def score(w):
+        s, out = f"^{w}$", 0.0
+        for i in range(1, len(s)):
+            for j in range(max(0, i - 5), i + 1):
+                if s[j:i + 1] in prob:
+                    out += math.log(prob[s[j:i + 1]][1] / prob[s[j:i + 1]][0])
+                    break
+                b = back.get(s[j:i], [1, 1])
+                out += math.log(b[1] / b[0])
+        return out
+
+    model = X.train(docs, lab)
+    probe = words + [w + "zq" for w in words[:50]] + ["xyz", "éa", "a" * 70]
+    assert len(model.ratio[0]) == len(raw) and 1 in [sum(x) for x in raw.values()]
+    for window in (1 << 17, 40):
+        assert np.allclose(model.words(probe, window), [score(w) for w in probe], atol=1e-4)
+
+
 def test_licenses(spark):
     from tracelake.llm.licenses import RULES, SENTENCES, scan
     rows = [(1, "Text. All rights reserved. More", 1), (2, None, 1), (3, "", 1), (4, "a\nReleased under  the MIT License.\nLICENSED under CC BY-NC 4.0.", 1),

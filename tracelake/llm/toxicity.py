@@ -8,10 +8,11 @@ its toxic minus its ordinary log-likelihood; a document's are averaged over
 its words, and a logistic curve fitted on the fifth of the training documents that is held
 out of the counts turns it into 0..1.
 
-Counting is a Spark job: distinct words with class counts, then distinct n-grams
-with class counts.  Only the pruned n-gram table goes to the driver and back to the
-tasks; it has at most ``max_ngrams`` rows (the count below which n-grams are left to
-the backoff rises until it fits).  Labels come from at most about ``max_labelled``
+Counting is a Spark job: distinct words with class counts, then distinct n-grams with
+class counts, continuation counts and totals of contexts over all of them, then
+probabilities, one length after the other.  No n-gram is left out: the table of
+log-ratios (12 bytes a gram and a context, as sorted hashes) that scoring looks up grows with the
+labelled text.  Labels come from at most about ``max_labelled``
 rows, chosen by id hash, so that the label side of the join has a bounded size.
 
 Edge cases: null and empty texts get the curve's value for no evidence; null labels
@@ -30,12 +31,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.bytewords import mix
 from tracelake.llm.common import materialise
 
 #: characters that stand between words, besides white space
 BREAKS = {ord(c): " " for c in "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~¡¿«»„“”…–—"}
 #: log-likelihood ratios of a word from which on its excess is averaged by itself
 HINGES = (1.0, 2.0, 4.0)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_EMPTY = np.zeros(0, np.uint64), np.zeros(0, np.float32)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -106,70 +110,135 @@ def ngram_counts(words: DataFrame, order: int, flush: int = 300_000) -> DataFram
             .agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
 
 
+def gram_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
+    """By length 1..order: a hash of as many code points that end at each place (what begins before the first is void)."""
+    out = [mix(points + _STEP)]
+    for n in range(1, min(order, len(points))):
+        h = mix(out[-1] * _STEP)
+        h[n:] = mix(out[-1][n:] * _STEP + points[:-n])
+        out.append(h)
+    return out
+
+
+def _hashed(rows: DataFrame, order: int) -> DataFrame:
+    """``gram, v`` -> ``h, v``."""
+    def apply(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            grams = b.column(0).to_pylist()
+            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+            points = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            by, ends, h = gram_hashes(points, order), np.cumsum(sizes) - 1, np.zeros(len(grams), np.uint64)
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                h[sizes == n] = by[n - 1][ends[sizes == n]]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1)], names=["h", "v"])
+
+    return rows.mapInArrow(apply, "h long, v float")
+
+
+def _table(rows: DataFrame, order: int):
+    """Sorted hashes and values."""
+    t = _hashed(rows, order).toArrow()
+    h, v = t["h"].to_numpy().view(np.uint64), t["v"].to_numpy()
+    at = np.argsort(h)
+    return h[at], v[at]
+
+
+def kneser_ney(grams: DataFrame, order: int, shared_order: int, discount: float = 0.75):
+    """``gram, c0, c1`` of all grams -> (``gram, v``: log-ratio of the classes' probabilities,
+    ``gram, v``: log-ratio of a context's backoff weights)."""
+    length, tail = F.length("gram"), F.expr("substring(gram, 2)")
+    left = grams.where(length > 1).groupBy(tail.alias("gram")).agg(
+        F.sum((F.col("c0") > 0).cast("long")).alias("l0"), F.sum((F.col("c1") > 0).cast("long")).alias("l1"))
+    # Kneser-Ney counts: raw at the top and at a word's start, else left contexts
+    top = (length == order) | F.col("gram").startswith("^")
+    kn = grams.join(left, "gram", "left").select("gram", *[
+        F.when(top, F.col(f"c{k}")).otherwise(F.coalesce(f"l{k}", F.lit(0))).alias(f"c{k}") for k in (0, 1)])
+    both = F.col("c0") + F.col("c1")
+    kn = kn.select("gram", *[F.when(length <= shared_order, both).otherwise(F.col(f"c{k}")).alias(f"c{k}") for k in (0, 1)])
+    kn = materialise(kn.withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)")), "kneser-ney")
+    types = [F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"n{k}") for k in (0, 1)]
+    total = kn.groupBy("context").agg(*[F.sum(f"c{k}").alias(f"t{k}") for k in (0, 1)], *types)
+    back = [F.when(F.col(f"t{k}") > 0, discount * F.col(f"n{k}") / F.col(f"t{k}")).otherwise(1.0).alias(f"b{k}") for k in (0, 1)]
+    total = materialise(total.select("context", "t0", "t1", *back), "contexts")
+    uniform = 1 / (kn.where(length == 1).count() + 1)
+    levels = []
+    for n in range(1, order + 1):
+        at = kn.where(length == n).join(total, "context")
+        if n == 1:
+            at = at.select("*", F.lit(uniform).alias("p0"), F.lit(uniform).alias("p1"))
+        else:  # every suffix of a counted gram is counted
+            at = at.join(levels[-1].select(F.col("gram").alias("tail"), "p0", "p1"), tail == F.col("tail"))
+        p = [(F.when(F.col(f"t{k}") > 0, F.greatest(F.col(f"c{k}") - discount, F.lit(0.0)) / F.col(f"t{k}")).otherwise(0.0)
+              + F.col(f"b{k}") * F.col(f"p{k}")).alias(f"p{k}") for k in (0, 1)]
+        levels.append(materialise(at.select("gram", *p), f"grams-{n}"))
+    every = levels[0]
+    for one in levels[1:]:
+        every = every.unionByName(one)
+    return (every.select("gram", F.log(F.col("p1") / F.col("p0")).cast("float").alias("v")),
+            total.select(F.col("context").alias("gram"), F.log(F.col("b1") / F.col("b0")).cast("float").alias("v")))
+
+
 class Model:
-    """Log-likelihood ratios of stored grams, and of their contexts' backoff weights."""
+    """Log-likelihood ratios of grams, and of their contexts' backoff weights, by hash."""
 
-    def __init__(self, ratio: dict, back: dict, order: int, weights=None):
+    def __init__(self, ratio: tuple, back: tuple, order: int, weights=None):
         self.ratio, self.back, self.order, self.weights = ratio, back, order, weights
         self.cache: dict[str, float] = {}
 
-    @classmethod
-    def fit(cls, grams: list[str], c0: np.ndarray, c1: np.ndarray, order: int, shared_order: int,
-            discount: float = 0.75) -> "Model":
-        raw = {g: (int(a), int(b)) for g, a, b in zip(grams, c0, c1)}
-        kn: dict[str, list] = {}  # Kneser-Ney counts: raw at the top and at a word's start, else left contexts
-        left: dict[str, list] = {}
-        for g, (a, b) in raw.items():
-            if len(g) > 1:
-                t = left.setdefault(g[1:], [0, 0])
-                t[0] += a > 0
-                t[1] += b > 0
-        for g, ab in raw.items():
-            kn[g] = list(ab) if len(g) == order or g[0] == "^" else left.get(g, [0, 0])
-            if len(g) <= shared_order:
-                kn[g] = [sum(kn[g])] * 2
-        total: dict[str, list] = {}
-        for g, ab in kn.items():
-            t = total.setdefault(g[:-1], [0, 0, 0, 0])
-            for k in (0, 1):
-                t[k] += ab[k]
-                t[2 + k] += ab[k] > 0
-        vocabulary = sum(len(g) == 1 for g in kn) + 1
-        prob: dict[str, tuple] = {}
-        back = {h: tuple(discount * t[2 + k] / t[k] if t[k] else 1.0 for k in (0, 1)) for h, t in total.items()}
-        for g in sorted(kn, key=len):
-            h, p = g[:-1], []
-            lower = prob.get(g[1:], (1 / vocabulary,) * 2) if len(g) > 1 else (1 / vocabulary,) * 2
-            for k in (0, 1):
-                t = total[h][k]
-                p.append((max(kn[g][k] - discount, 0) / t if t else 0.0) + back[h][k] * lower[k])
-            prob[g] = tuple(p)
-        return cls({g: math.log(p[1] / p[0]) for g, p in prob.items()},
-                   {h: math.log(b[1] / b[0]) for h, b in back.items()}, order)
-
-    def word(self, w: str) -> float:
-        """Toxic minus ordinary log-likelihood of one word."""
-        s, out, ratio, back = f"^{w}$", 0.0, self.ratio, self.back
-        for i in range(1, len(s)):
-            for j in range(max(0, i - self.order + 1), i + 1):
-                r = ratio.get(s[j:i + 1])
-                if r is not None:
-                    out += r
-                    break
-                out += back.get(s[j:i], 0.0)
+    @staticmethod
+    def _find(table, h):
+        keys, values = table
+        if not len(keys):
+            return np.zeros(len(h), bool), np.zeros(len(h))
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        hit = keys[at] == h
+        return hit, np.where(hit, values[at], 0.0).astype(float)
+
+    def words(self, words: list[str], window: int = 1 << 17) -> np.ndarray:
+        """Toxic minus ordinary log-likelihood of every word."""
+        order, text = self.order, "".join(f"^{w}$" for w in words)
+        sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        out = np.zeros(len(words))
+        for lo in range(0, len(text), window):
+            a = max(0, lo - order)
+            points = np.frombuffer(text[a:lo + window].encode("utf-32-le"), np.uint32).astype(np.uint64)
+            by, place = gram_hashes(points, order), np.arange(a, a + len(points))
+            word = np.searchsorted(starts, place, "right") - 1
+            inside, value = place - starts[word], np.zeros(len(points))
+            left = np.flatnonzero((place >= lo) & (inside > 0))
+            for n in range(len(by), 0, -1):
+                fits = inside[left] >= n - 1
+                at = left[fits]
+                hit, v = self._find(self.ratio, by[n - 1][at])
+                value[at] += v
+                miss = at[~hit]
+                value[miss] += self._find(self.back, by[n - 2][miss - 1] if n > 1 else np.zeros(len(miss), np.uint64))[1]
+                left = np.concatenate([left[~fits], miss])
+            out += np.bincount(word, value, len(words))
+        return out
+
+    def learn(self, texts) -> None:
+        """The words of some texts go to the cache."""
+        if len(self.cache) > 100_000:
+            self.cache.clear()
+        new = list({w for t in texts for w in words_of(t)}.difference(self.cache))
+        self.cache.update(zip(new, self.words(new).tolist()))
+
+    def all_features(self, column, group: int = 50) -> list[list[float]]:
+        out = []
+        for lo in range(0, len(column), group):
+            texts = column.slice(lo, group).to_pylist()
+            self.learn(texts)
+            out += map(self.features, texts)
         return out
 
     def features(self, text: str | None) -> list[float]:
-        """Constant, mean ratio per word, mean excess over each of :data:`HINGES` (a few strong
+        """Of a text whose words are in the cache: constant, mean ratio per word, mean excess over each of :data:`HINGES` (a few strong
         words in a long ordinary text), the excesses times log length, inverse length."""
-        cache, scores = self.cache, []
-        if len(cache) > 100_000:
-            cache.clear()
-        for w in words_of(text):
-            v = cache.get(w)
-            if v is None:
-                v = cache[w] = self.word(w)
-            scores.append(v)
+        scores = [self.cache[w] for w in words_of(text)]
         n = len(scores)
         if not n:
             return [1.0] + [0.0] * (2 * len(HINGES) + 2)
@@ -177,9 +246,9 @@ class Model:
         over = [float(np.maximum(v - t, 0).mean()) for t in HINGES]
         return [1.0, float(v.mean()), *over, *(x * math.log(n) for x in over), 1 / n]
 
-    def score(self, text: str | None) -> float:
-        z = float(np.dot(self.weights, self.features(text)))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+    def scores(self, column) -> list[float]:
+        z = (float(np.dot(self.weights, x)) for x in self.all_features(column))
+        return [1 / (1 + math.exp(-max(-500.0, min(500.0, v)))) for v in z]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -204,8 +273,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60
     return w / scale
 
 
-def train(docs: DataFrame, labels: DataFrame, order: int = 6, shared_order: int = 2, min_count: int = 3,
-          max_ngrams: int = 600_000, max_labelled: int = 1_000_000, max_curve: int = 50_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, order: int = 6, shared_order: int = 2,
+          max_labelled: int = 1_000_000, max_curve: int = 50_000) -> Model:
     """Fit on ``labels(doc_id, toxic)`` of documents that are not held out."""
     spark = docs.sparkSession
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -219,21 +288,15 @@ def train(docs: DataFrame, labels: DataFrame, order: int = 6, shared_order: int
     def plain(slope):
         return np.array([math.log(prior / (1 - prior)), slope] + [0.0] * (2 * len(HINGES) + 1))
 
-    flat = Model({}, {}, order, plain(0.0))
+    flat = Model(_EMPTY, _EMPTY, order, plain(0.0))
     if not n or not positive or positive == n:
         return flat
     # at most max_labelled rows of two numbers: the label side is bounded
     rows = (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
             .withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0))
     words = word_counts(rows.where(~F.col("curve")))
-    grams = materialise(ngram_counts(words, order), "grams").withColumn("n", F.col("c0") + F.col("c1"))
-    sizes = {r["n"]: r["k"] for r in grams.groupBy(F.least("n", F.lit(1000)).alias("n"))
-             .agg(F.count(F.lit(1)).alias("k")).collect()}  # at most 1000 rows
-    floor = min_count
-    while sum(k for c, k in sizes.items() if c >= floor) > max_ngrams and floor < 1000:
-        floor += 1
-    table = grams.where((F.col("n") >= floor) | (F.length("gram") == 1)).select("gram", "c0", "c1").toArrow()
-    model = Model.fit(table["gram"].to_pylist(), table["c0"].to_numpy(), table["c1"].to_numpy(), order, shared_order)
+    grams = materialise(ngram_counts(words, order), "grams")
+    model = Model(*(_table(t, order) for t in kneser_ney(grams, order, shared_order)), order)
     shared = spark.sparkContext.broadcast((model.ratio, model.back))
 
     def measure(batches):
@@ -241,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, order: int = 6, shared_order: int
 
         m = Model(*shared.value, order)
         for b in batches:
-            x = [m.features(t.as_py()) for t in b.column(0)]
+            x = m.all_features(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
 
     share = min(1.0, max_curve / max(1, n // 5))
@@ -265,7 +328,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
         m = _loaded(shared)
         for b in batches:
-            s = [m.score(t.as_py()) for t in b.column(2)]
+            s = m.scores(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()),
                                               pa.array([int(v >= threshold) for v in s], pa.int32())],
                                              names=["doc_id", "held_out", "score", "predicted"])
@@ -296,6 +359,6 @@ def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
 
         m = _loaded(shared)
         for b in batches:
-            yield b.filter(pa.array([m.score(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([v < threshold for v in m.scores(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

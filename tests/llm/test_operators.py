@@ -335,6 +335,40 @@ def test_licenses(spark):
     assert {i for _, ids in RULES for i in ids} <= set(SENTENCES)
 
 
+def test_licenses_at_any_wrap(spark):
+    """Licence texts unwrapped, wrapped at any column, and decorated."""
+    import textwrap
+    from tracelake.llm.licenses import scan
+    texts = {
+        "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation '
+               'files (the "Software"), to deal in the Software without restriction, subject to the following conditions: The above copyright '
+               'notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS '
+               'PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.',
+        "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+                      'License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+                   "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+                        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+                        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+                        "this list of conditions.",
+        "CC-BY-4.0": "Some text. Licensed under CC BY 4.0. More text.",
+    }
+    rows, want = [], {}
+    for name, t in texts.items():
+        for form in (t, *(textwrap.fill(t, k) for k in (20, 61, 79)), textwrap.indent(textwrap.fill(t, 50), " * "), t.replace(" ", "\r\n")):
+            want[len(rows)] = [name]
+            rows.append((len(rows), form))
+    more = {"#" * 200 + " MIT License\n" + texts["MIT"][:90] + "\nAll rights reserved of course": ["MIT"], "Not under the MIT License at all": [],
+            "\n" * 100_000 + "Released under the MIT\n" + "\n" * 100_000 + "License.": ["MIT"], "not all rights reserved.": []}
+    for t, names in more.items():
+        want[len(rows)] = names
+        rows.append((len(rows), t))
+    got = {q.doc_id: q for q in scan(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert {i: q.licenses for i, q in got.items()} == want
+    assert got[len(texts) * 6 + 2].first_sentence == 100_000 and got[0].first_sentence == 0
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline as P
     frame(spark, [(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

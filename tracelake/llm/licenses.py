@@ -1,9 +1,13 @@
 """Licence scans by sentence rules, row by row in the JVM.
 
 A text is cut into sentences (line ends, and white space after a full stop,
-question or exclamation mark), a sentence is normalised (lower case, only letters,
-digits and dots between digits, single spaces) and looked up in a literal map from known
-licence sentences to identifiers.  A rule is an ordered list of identifiers; it
+question or exclamation mark) and normalised (lower case, only letters, digits and dots
+between digits, spaces).  Notices and titles count where they are whole sentences;
+:data:`PHRASES`, parts of the licence texts' long sentences, count wherever their words
+follow each other.  Lines are joined for both: a line end may stand between any two words,
+so a text is found alike unwrapped and wrapped at any column.  The DuckDB form knows
+sentences inside one line only, as they are in the given tables.
+A rule is an ordered list of identifiers; it
 matches when its identifiers occur in this order in the text's identifier
 sequence.  Of rules for one licence the first that matches counts.
 
@@ -67,7 +71,13 @@ RULES = [
     ("proprietary", ["rights-reserved"]),
 ]
 
-SPLIT = r"\n|(?<=[.!?])[ \t\r]+"
+#: parts of long sentences, found inside them; all other entries are whole sentences
+PHRASES = {"apache2-notice-long", "apache2-compliance", "apache2-obtain", "apache2-as-is", "mit-grant", "mit-keep", "mit-as-is",
+           "gpl-free", "gpl3-or-later", "gpl2-or-later", "bsd-redistribute", "bsd-source", "bsd-binary", "bsd-names"}
+
+#: a sentence's end inside a line becomes CUT; a line end stays
+CUT = "\x01"
+SENTENCE_END = r"(?<=[.!?])[ \t\r]+"
 #: what normalisation turns into a space: all but letters, digits and dots inside numbers
 OTHER = r"[^a-z0-9.]+|\.(?![0-9])"
 
@@ -82,21 +92,29 @@ def known_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
     return {normalise(s): i for i, s in sentences.items()}
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
-    """``doc_id, licenses, sentence_ids, first_sentence``: licences in rule order, identifiers in text
-    order, and the number (from 0) of the first licence sentence."""
-    known = known_sentences(sentences)
-    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    longest = max(map(len, sentences.values())) * 2  # no longer sentence can be a known one
+def pattern(sentences: dict[str, str] = SENTENCES, phrases=PHRASES) -> str:
+    """One match per known entry, with the cut or space before it."""
+    def either(part):  # the longest first: an entry may begin with another
+        known = sorted((normalise(s) for i, s in sentences.items() if (i in phrases) == part), key=len, reverse=True)
+        return "|".join(s.replace(".", r"\.").replace(" ", "[ \n]+") for s in known) or "(?!)"
 
-    def ident(s):
-        norm = F.trim(F.regexp_replace(F.lower(s), OTHER, " "))
-        return F.when(F.length(s) <= longest, F.element_at(table, norm))
+    return f"[\n{CUT}] *(?:{either(False)}) *(?=[\n{CUT}])|[ \n{CUT}](?:{either(True)})(?=[ \n{CUT}])"
 
-    d = docs.select(F.col("doc_id"), F.transform(F.split(F.coalesce("text", F.lit("")), SPLIT), ident).alias("_i"))
-    d = d.select("doc_id", F.filter("_i", lambda x: x.isNotNull()).alias("sentence_ids"),
-                 F.when(F.exists("_i", lambda x: x.isNotNull()),
-                        F.array_position(F.transform("_i", lambda x: x.isNotNull()), True) - 1).alias("first_sentence"))
+
+def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES, phrases=PHRASES) -> DataFrame:
+    """``doc_id, licenses, sentence_ids, first_sentence``: licences in rule order, identifiers in text
+    order, and the number (from 0) of the sentence in which the first one begins."""
+    table = F.create_map(*[F.lit(x) for kv in known_sentences(sentences).items() for x in kv])
+    found = pattern(sentences, phrases)
+    text = F.translate(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), CUT, "-")
+    text = F.regexp_replace(F.regexp_replace(text, SENTENCE_END, CUT), OTHER.replace("[^", f"[^\n{CUT}"), " ")
+    d = docs.select("doc_id", F.concat(F.lit("\n"), text, F.lit("\n")).alias("_t"))
+    ids = F.transform(F.regexp_extract_all("_t", F.lit(found), F.lit(0)),
+                      lambda m: F.element_at(table, F.trim(F.regexp_replace(m, f"[ \n{CUT}]+", " "))))
+    d = d.select("doc_id", "_t", ids.alias("sentence_ids"))
+    head = F.substring("_t", F.lit(1), F.length(F.split("_t", found, 2)[0]) + 1)
+    cuts = F.length(F.regexp_replace(head, f"[^\n{CUT}]+", "")) - 1
+    d = d.select("doc_id", "sentence_ids", F.when(F.size("sentence_ids") > 0, cuts).alias("first_sentence"))
     # ",a,b," contains the identifiers of a rule in order
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
     found = [F.when(line.rlike("," + ",(?:.*,)?".join(ids) + ","), F.lit(name)) for name, ids in rules]

@@ -68,6 +68,16 @@ def test_packing(docs, corpus, encode):
     assert pack(docs.limit(0)).count() == 0
 
 
+def test_word_ids_of_a_full_table(encode):
+    """One chunk of more pieces than the table's limit, some of them known, keeps every id."""
+    from tracelake.llm.wordids import WordIds, default_path
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    known = WordIds(default_path(), limit=50)
+    for text in (" ".join(words[:30]), " ".join(words), " ".join(words[150:] + ["x1 it's"]), "", " ".join(words[::-1])):
+        assert known.encode(text).tolist() == encode(text)
+
+
 def test_token_files(spark, docs, corpus, encode):
     from tracelake.llm.tokenfile import Block, read_tokens, token_files
     path, manifest = token_files(docs, block_ids=500)

@@ -44,7 +44,7 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordIds:
-    """Encoder with a table of at most ``limit`` pieces (a full table starts anew)."""
+    """Encoder with a table of about ``limit`` pieces: a full table starts anew, then holds at least its chunk's."""
 
     def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
@@ -72,8 +72,6 @@ class WordIds:
         return [t.id for t in self.model.tokenize(s)]
 
     def _learn(self, hashes, data, starts, ends, odd):
-        if self.index.n + len(hashes) > self.limit:
-            self._reset()
         ids = [self._encode(data[s:e].tobytes(), o) for s, e, o in zip(starts.tolist(), ends.tolist(), odd.tolist())]
         flat = np.fromiter((i for x in ids for i in x), np.uint32)
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
@@ -118,14 +116,13 @@ class WordIds:
         if len(new):
             _, first = np.unique(h[new], return_index=True)
             pick = new[first]
+            if self.index.n and self.index.n + len(pick) > self.limit:
+                self._reset()  # every piece of this chunk is learned again, at once
+                _, pick = np.unique(h, return_index=True)
             self._learn(h[pick], data, starts[pick], ends[pick], odd[pick])
             at = self.index.find(h)
-            new = np.flatnonzero(at < 0)
-            if len(new):  # the table was started anew
-                _, first = np.unique(h, return_index=True)
-                miss = first[self.index.find(h[first]) < 0]
-                self._learn(h[miss], data, starts[miss], ends[miss], odd[miss])
-                at = self.index.find(h)
+            if len(at) and at.min() < 0:
+                raise RuntimeError("a piece of this chunk is missing in the table")
         sizes = self.length[at]
         ids = self.flat[ragged(self.start[at], sizes)]
         before = np.concatenate([[0], np.cumsum(sizes)])

@@ -289,6 +289,16 @@ def test_toxicity(spark):
     assert {q.score for q in X.score(docs, none).collect()} == {0.5}
 
 
+def test_toxicity_curve_sample_after_the_cut(spark, monkeypatch):
+    """The curve's sample is a share of the labelled rows that are kept."""
+    from tracelake.llm import toxicity as X
+    seen, fit = [], X.logistic
+    monkeypatch.setattr(X, "logistic", lambda x, y: seen.append(len(y)) or fit(x, y))
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('w', id % 50, if(id % 2 = 0, ' bad', ' good')) as text")
+    X.train(docs, docs.selectExpr("doc_id", "int(doc_id % 2 = 0) as toxic"), max_labelled=500, max_curve=100)
+    assert 70 <= seen[0] <= 140
+
+
 def test_toxicity_keeps_all_grams(spark):
     """Word scores equal Kneser-Ney by hand over every gram, those counted once included."""
     import math

@@ -307,7 +307,7 @@ def train(docs: DataFrame, labels: DataFrame, order: int = 6, shared_order: int
             x = m.all_features(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
 
-    share = min(1.0, max_curve / max(1, n // 5))
+    share = min(1.0, max_curve / max(1, min(n, max_labelled) // 5))
     curve = rows.where("curve").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1e6 * share))
     got = curve.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").toArrow()  # <= max_curve rows
     shared.unpersist()

@@ -220,25 +220,25 @@ class Model:
             out += np.bincount(word, value, len(words))
         return out
 
-    def learn(self, texts) -> None:
+    def learn(self, texts: list[list[str]]) -> None:
         """The words of some texts go to the cache."""
         if len(self.cache) > 100_000:
             self.cache.clear()
-        new = list({w for t in texts for w in words_of(t)}.difference(self.cache))
+        new = list(set().union(*texts).difference(self.cache))
         self.cache.update(zip(new, self.words(new).tolist()))
 
     def all_features(self, column, group: int = 50) -> list[list[float]]:
         out = []
         for lo in range(0, len(column), group):
-            texts = column.slice(lo, group).to_pylist()
+            texts = [words_of(t) for t in column.slice(lo, group).to_pylist()]
             self.learn(texts)
             out += map(self.features, texts)
         return out
 
-    def features(self, text: str | None) -> list[float]:
-        """Of a text whose words are in the cache: constant, mean ratio per word, mean excess over each of :data:`HINGES` (a few strong
+    def features(self, words: list[str]) -> list[float]:
+        """Of a text's words, which are in the cache: constant, mean ratio per word, mean excess over each of :data:`HINGES` (a few strong
         words in a long ordinary text), the excesses times log length, inverse length."""
-        scores = [self.cache[w] for w in words_of(text)]
+        scores = [self.cache[w] for w in words]
         n = len(scores)
         if not n:
             return [1.0] + [0.0] * (2 * len(HINGES) + 2)

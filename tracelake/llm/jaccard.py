@@ -1,21 +1,21 @@
-"""Exact n-gram Jaccard join of whole texts as a metric-space join.
+"""Exact n-gram Jaccard join of whole texts by prefix filter.
 
 Documents are points of the Jaccard metric on their sets of word n-grams; a link is
 a distance of at most ``tau = 1 - num/den``.
 
 1. Equal sets are one point (a class); its representative is the smallest doc id.
-2. Regions.  Distances between unrelated texts are all close to 1, so whole documents
-   as pivots tell nothing apart at first; the first pivots are single shingles, taken in
-   one global order (rare before very common ones).  A point's own region is its first
-   shingle; the window that replicates it to further regions are the shingles after
-   it, up to place ``n - ceil(num * n / den) + 1``: two linked points share a region.
-3. Inside a region its smallest point is the pivot: the distance of every other
-   point to it is taken exactly; points within ``tau`` join its ball.
-4. Regions that still hold several components join recursively: pairs of different
-   components inside the size window and inside the window of a count sketch (for
-   any hash class of shingles, the class counts of x and y differ by at most the
-   symmetric difference; summed over classes this bounds the distance from below)
-   are taken exactly too.  Large regions are cut into blocks; pairs of blocks meet.
+2. Regions are single shingles, taken in one global order (rare before very common
+   ones), not Voronoi cells of documents: distances between unrelated texts are all
+   close to 1, so documents as pivots tell nothing apart.  A point is in the regions of
+   its first shingles, up to place ``n - ceil(num * n / den) + 1``: two linked points
+   share a region.  There are no windows by the triangle inequality.
+3. Inside a region the distance of every point to the smallest one is taken exactly;
+   it serves as a link only.
+4. Of regions that still hold several components, one flat pass (no recursion) takes
+   pairs of different components inside the size window and inside the window of a
+   count sketch (for any hash class of shingles, the class counts of x and y differ by at
+   most the symmetric difference; summed over classes this bounds the distance from
+   below) exactly too.  Large regions are cut into blocks; pairs of blocks meet.
 5. Links and equal sets give components.
 
 Nothing is capped: the order of shingles, sketch and Bloom filter only save work.

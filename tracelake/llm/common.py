@@ -43,6 +43,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, row_bytes, most: int = 32 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows, of ``row_bytes`` each, sum to ``most`` at most; else as it is,
+    for a shuffled join."""
+    size = df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

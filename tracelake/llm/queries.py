@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import licenses, toxicity
+from tracelake.llm import hardneg, lexical, licenses, pii, toxicity
 from tracelake.llm.common import table
 from tracelake.llm.embeddup import near_duplicates
 from tracelake.llm.jaccard import jaccard_components
@@ -92,3 +92,27 @@ def op10_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows found for every vector whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor by zone maps over Hilbert-ordered blocks."""
+    return hardneg.mine(hardneg.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+ORACLE["op11_hard_negatives"] = hardneg.oracle()
+
+
+@query
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: exact forms, and what bootstrapped patterns add."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item, equal bags scored once."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_lexical_search"] = lexical.oracle()

@@ -193,9 +193,8 @@ def write_blocks(rows: DataFrame, block_rows: int = 1024) -> DataFrame:
     return materialise(ordered.mapInArrow(block, _BLOCK), "hardneg-blocks")
 
 
-def _matrix(data: bytes, width: int) -> np.ndarray:
-    n = len(data) // (4 * width) if width else 0
-    return np.frombuffer(data, np.int32).reshape(n, width).astype(np.int64)
+def _matrix(data: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.int32).reshape(rows, width).astype(np.int64)
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -244,7 +243,7 @@ def anchors_of(blocks: DataFrame, every: int, positives: int, anchor_rows: int =
                 at = np.flatnonzero((ids % every == 0) & (ids != _NULL_ID))
                 if not len(at):
                     continue
-                m = _matrix(r["q"], r["width"]) if r["width"] else np.zeros((len(ids), 0), np.int64)
+                m = _matrix(r["q"], len(ids), r["width"])
                 floors = np.full(len(at), np.iinfo(np.int64).min)
                 for lo in range(0, len(at), 256):
                     part = at[lo:lo + 256]
@@ -297,9 +296,9 @@ def _routes(blocks: DataFrame, anchors: DataFrame, wants, zone_rows: int = 2048)
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i].as_py() for c in b.schema.names}
                 w = r["width"]
-                a = _matrix(r["q"], w) if w else np.zeros((len(r["ids"]) // 8, 0), np.int64)
-                lo = np.array([z["lo"] for z in r["zones"]], np.int64).reshape(-1, w)
-                hi = np.array([z["hi"] for z in r["zones"]], np.int64).reshape(-1, w)
+                a = _matrix(r["q"], len(r["ids"]) // 8, w)
+                lo = np.array([z["lo"] for z in r["zones"]], np.int64).reshape(len(r["zones"]), w)
+                hi = np.array([z["hi"] for z in r["zones"]], np.int64).reshape(len(r["zones"]), w)
                 up, down = np.maximum(a, 0), np.minimum(a, 0)
                 meet = wants(r, _dots(up, hi) + _dots(down, lo), _dots(up, lo) + _dots(down, hi),
                              [z["own_labels"] for z in r["zones"]])
@@ -341,8 +340,8 @@ def _visit(blocks: DataFrame, anchors: DataFrame, routes: DataFrame, allowed, sl
                 at = np.frombuffer(r["at"], np.int32)
                 w = r["width"]
                 ids, labels = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["labels"], np.int64)
-                m = _matrix(r["q"], w) if w else np.zeros((len(ids), 0), np.int64)
-                a = _matrix(r["a_q"], w) if w else np.zeros((len(r["a_ids"]) // 8, 0), np.int64)
+                m = _matrix(r["q"], len(ids), w)
+                a = _matrix(r["a_q"], len(r["a_ids"]) // 8, w)
                 parts = [held.pop(r["grp"], None)]
                 for lo in range(0, len(at), 256):
                     part = at[lo:lo + 256]

@@ -1,10 +1,12 @@
 """BPE: round trip, exact training against a brute-force sequential BPE, token rows."""
 
+import random
 from collections import Counter
 
-from pyspark.sql import functions as F
+import pytest
 
 from tracelake.operators import tokens as T
+from tracelake.operators.bpe import merge_ranks, merge_word, run_phase
 from tracelake.sources.tables import table
 
 VALIDATION = ("<|im_start|>user\nCan you inspect config.yaml?<|im_end|>\n"
@@ -40,12 +42,90 @@ def brute_force_bpe(word_counts: dict[str, int], n: int):
     return merges
 
 
-def test_batched_training_equals_sequential_bpe(spark, sf):
+def learned(wc, n, **bounds):
+    return [(r.left, r.right, r["count"]) for r in T.bpe_train(wc, n, **bounds).orderBy("rank").collect()]
+
+
+def test_training_equals_sequential_bpe_until_no_pair_is_left(spark):
+    rng = random.Random(1)
+    counts = {"".join(rng.choice("aabbc") for _ in range(rng.randint(1, 9))): rng.randint(1, 400) for _ in range(150)}
+    counts |= {"aaaaaaaaaaaaaaaa": 7, "é😀": 30, "a": 5}
+    wc = spark.createDataFrame(list(counts.items()), "word string, count long")
+    expect = brute_force_bpe(counts, 10_000)
+    assert len(expect) > 150
+    assert learned(wc, 10_000) == expect                                                     # one phase
+    assert learned(wc, 10_000, top_pairs=200, max_fragments=60, reach=3.0)[:120] == expect[:120]  # many phases
+    assert learned(wc, 25, top_pairs=3, max_fragments=4) == expect[:25]                      # ties beyond the lists
+
+
+def test_phases_equal_sequential_bpe_on_documents(spark, sf):
     wc = T.bpe_word_counts(table(spark, sf, "documents").limit(60)).persist()
-    n = 40
-    expect = brute_force_bpe({r.word: r["count"] for r in wc.collect()}, n)
-    got = [(r.left, r.right, r["count"]) for r in T.bpe_train(wc, n, top_k=256).orderBy("rank").collect()]
-    assert got == expect
+    expect = brute_force_bpe({r.word: r["count"] for r in wc.collect()}, 150)
+    assert learned(wc, 150, top_pairs=300, max_fragments=400, reach=4.0) == expect
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_run_phase_takes_only_what_cuts_cannot_change(seed):
+    """The stop rule on random word tables, without Spark: any set of frequent pairs gives a prefix."""
+    rng = random.Random(seed)
+    counts = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 12))): rng.randint(1, 60) for _ in range(80)}
+    expect = brute_force_bpe(counts, 400)
+    pairs = Counter()
+    for w, c in counts.items():
+        for a, b in zip(w.encode(), w.encode()[1:]):
+            pairs[a, b] += c
+    for rest in sorted(set(pairs.values()))[::2]:
+        taken = {p for p, c in pairs.items() if c > rest}
+        below = max((c for p, c in pairs.items() if p not in taken), default=0)
+        frag = Counter()
+        for w, c in counts.items():
+            part = [w.encode()[0]]
+            for a, b in zip(w.encode(), w.encode()[1:]):
+                if (a, b) in taken:
+                    part.append(b)
+                else:
+                    frag[tuple(part)] += c
+                    part = [b]
+            frag[tuple(part)] += c
+        names = [f"{b:02X}" for b in range(256)]
+        got = run_phase([(list(f), c) for f, c in frag.items()], taken, below, names, {s: i for i, s in enumerate(names)}, 10_000)
+        named = [(names[a], names[b], c) for a, b, c in got]
+        assert named == expect[:len(named)] and (below or len(named) == min(400, len(expect)) or len(named) > 400)
+
+
+def test_merge_word_equals_one_merge_at_a_time():
+    rng = random.Random(3)
+    for _ in range(200):
+        names = list("abc")
+        merges = []
+        for _ in range(12):
+            l, r = rng.choice(names), rng.choice(names)
+            merges.append((l, r))
+            if l + r not in names:
+                names.append(l + r)
+        ids = {s: i for i, s in enumerate(names)}
+        word = [rng.choice("abc") for _ in range(rng.randint(0, 30))]
+        want = list(word)
+        while True:
+            found = [(merges.index(p), i) for i, p in enumerate(zip(want, want[1:])) if p in merges]
+            if not found:
+                break
+            _, i = min(found)
+            want[i:i + 2] = [want[i] + want[i + 1]]
+        got = merge_word([ids[x] for x in word], merge_ranks([(ids[l], ids[r], 0) for l, r in merges]), [ids[l + r] for l, r in merges])
+        assert [names[i] for i in got] == want
+
+
+def test_long_words_merge_in_short_time(spark):
+    merges = learned(spark.createDataFrame([("ab" * 50 + "c", 3)], "word string, count long"), 100)
+    enc = T._encoder([(a, b) for a, b, _ in merges])
+    assert len(enc("ab" * 200_000)) < 8000
+
+
+def test_decode_replaces_broken_utf8(spark):
+    merges = spark.createDataFrame([], "rank int, left string, right string, count long")
+    rows = spark.createDataFrame([(1, [T.BYTE_BASE + 0xC3, T.BYTE_BASE + 65]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in T.bpe_decode(rows, T.vocab(merges)).collect()} == {1: "\ufffdA", 2: "", 3: ""}
 
 
 def test_roundtrip_with_control_tokens(spark, sf):

@@ -1,10 +1,23 @@
-"""Shared plan helpers: skew-safe running sums."""
+"""Shared plan helpers: skew-safe running sums, tables in the shared folder."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.session import checkpoint_dir
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table below ``spark.checkpoint.dir``: lineage ends there, whichever executor is lost."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"tracelake-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
                 bucket_rows: int | None = 65536, inclusive: bool = True) -> DataFrame:
     """Running ``sum(value)`` per ``keys`` ordered by the integral ``order``.

@@ -17,31 +17,25 @@ Symbols and ids
     ids past 13 cannot be reproduced (its vocabulary file is not shipped).
 
 Training (``bpe_train``)
-    One shuffle for the word counts, then rounds on the distinct-word table:
-    adjacent pairs weighted by count, ``groupBy(pair).sum`` (partial + final),
-    top-K to the driver (K rows, bounded), apply, repeat.  Several merges are
-    taken per round only when that provably gives the sequential result (see
-    ``_safe_batch``); ties break by count desc, then pair asc.  Each round is
-    persisted and the table is checkpointed (reliable, shared folder) every few
-    rounds so lineage stays short and a lost executor recomputes little.
-
-Encoding (``bpe_encode``)
-    Distinct words are encoded once (``mapInPandas`` with the merge ranks as a
-    broadcast variable: a short merge loop per word), joined back and
-    re-assembled per text in position order.
+    One shuffle for the word counts, then phases on the distinct-word table, each taking as many
+    merges as provably equal the sequential ones (``operators.bpe``); ties break by count desc, then
+    pair asc.  The word table is written to the shared folder after every phase.
+
+Encoding and decoding
+    Arrow batches without a shuffle: words of a batch are dictionary-encoded and merged once each,
+    ids and bytes are gathered by offsets.
 """
 
 from __future__ import annotations
 
 import unicodedata  # noqa: F401  (documented rule for the whitespace class)
 
-import pandas as pd
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.markers import ANY_MARKER, PY_WHITESPACE, SPECIAL_TOKENS, java_quote
-from tracelake.session import checkpoint_dir
+from tracelake.operators.bpe import merge_ranks, merge_word, train
 
 #: Unicode White_Space (Python ``isspace`` without the \\x1c-\\x1f separators)
 WS_CHARS = "".join(c for c in PY_WHITESPACE if not 0x1C <= ord(c) <= 0x1F)
@@ -75,12 +69,6 @@ def pretokens(text, lookahead: bool = True) -> F.Column:
     return F.regexp_extract_all(marked, F.lit(PRETOKEN), F.lit(0))
 
 
-def byte_symbols(word) -> F.Column:
-    """UTF-8 bytes of a word as two-hex-digit symbols."""
-    w = F.col(word) if isinstance(word, str) else word
-    return F.regexp_extract_all(F.hex(F.encode(w, "UTF-8")), F.lit(".."), F.lit(0))
-
-
 def text_pieces(df: DataFrame, text: str, key: str) -> DataFrame:
     """``key, pi, piece, special_id`` -- control tokens split off (atomic)."""
     parts = F.when(F.col(text).contains("<|"), F.split(
@@ -101,96 +89,26 @@ def bpe_word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 # ---- training ------------------------------------------------------------------------
 
-def _apply_merges(syms, pairs: list[tuple[str, str]]) -> F.Column:
-    """Merge every non-overlapping occurrence, left to right, of the given pairs
-    (pairwise symbol-disjoint, so one pass applies them all)."""
-    lefts = F.create_map(*[x for l, r in pairs for x in (F.lit(l), F.lit(r))])
-    init = F.array().cast("array<string>")
-
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        hit = (F.size(acc) > 0) & (F.element_at(lefts, last) == s)
-        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, s)))).otherwise(
-            F.concat(acc, F.array(s)))
-    merged = F.aggregate(syms, init, step)
-    touched = F.arrays_overlap(syms, F.array(*[F.lit(l) for l, _ in pairs]))
-    return F.when(touched, merged).otherwise(syms)
-
-
-def _safe_batch(top: list[tuple[str, str, int]], k_complete: bool, max_batch: int) -> list[tuple[str, str, int]]:
-    """Merges that sequential BPE would also take next, in order.
-
-    ``top`` is sorted by (count desc, left, right).  The first pair is always
-    taken.  A later pair is taken only if (a) it shares no symbol with a taken
-    pair, (b) no listed pair touching a taken pair's symbols has a count >= its
-    own (those pairs shrink, and every pair a taken merge creates is bounded by
-    one of them), and (c) its count is above the list's last count (all its ties
-    are visible).  The first pair failing a test ends the batch.
-    """
-    taken = [top[0]]
-    used = {top[0][0], top[0][1]}
-    created = {top[0][0] + top[0][1]}
-    last_count = top[-1][2]
-    for l, r, c in top[1:]:
-        if len(taken) >= max_batch:
-            break
-        if l in used or r in used or l in created or r in created:
-            break
-        if not k_complete and c <= last_count:
-            break
-        if any((a in used or b in used) and n >= c for a, b, n in top if (a, b) not in {(x, y) for x, y, _ in taken}):
-            break
-        taken.append((l, r, c))
-        used |= {l, r}
-        created.add(l + r)
-    return taken
-
-
-def bpe_train(word_counts: DataFrame, n_merges: int, top_k: int = 512, max_batch: int = 64,
-              checkpoint_every: int = 8, exact_only: bool = False) -> DataFrame:
-    """Learn up to ``n_merges`` merges: ``rank, left, right, count`` (symbols in hex).
-
-    ``exact_only`` takes one merge per round (the plain sequential algorithm).
-    """
-    spark = word_counts.sparkSession
-    checkpoint_dir(spark)
-    words = (word_counts.select(byte_symbols("word").alias("syms"), F.col("count").cast("long").alias("cnt"))
-             .where(F.size("syms") >= 2).groupBy("syms").agg(F.sum("cnt").alias("cnt")))
-    words = words.persist(StorageLevel.MEMORY_AND_DISK)
-    merges: list[tuple[str, str, int]] = []
-    rounds, prev = 0, None
-    while len(merges) < n_merges:
-        n = F.size("syms")
-        pairs = words.select(F.explode(F.arrays_zip(F.slice("syms", 1, n - 1).alias("l"),
-                                                    F.slice("syms", 2, n - 1).alias("r"))).alias("p"), "cnt")
-        counts = pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("cnt").alias("c"))
-        # one job per round: it also materialises this round's persisted word table
-        top = [(x["l"], x["r"], int(x["c"])) for x in
-               counts.orderBy(F.desc("c"), "l", "r").limit(top_k + 1).collect()]
-        if prev is not None:
-            prev.unpersist()
-            prev = None
-        if not top:
-            break
-        complete = len(top) <= top_k
-        top = top[:top_k]
-        batch = [top[0]] if exact_only else _safe_batch(top, complete, min(max_batch, n_merges - len(merges)))
-        merges.extend(batch)
-        nxt = words.select(_apply_merges(F.col("syms"), [(a, b) for a, b, _ in batch]).alias("syms"), "cnt") \
-            .where(F.size("syms") >= 2)
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)  # reliable checkpoint: cuts the lineage
-            words.unpersist()
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            prev = words
-        words = nxt
-    words.unpersist()
-    if prev is not None:
-        prev.unpersist()
-    rows = [(i, a, b, c) for i, (a, b, c) in enumerate(merges[:n_merges])]
-    return spark.createDataFrame(rows, "rank int, left string, right string, count long")
+def bpe_train(word_counts: DataFrame, n_merges: int, top_pairs: int = 50_000, max_fragments: int = 100_000,
+              reach: float = 32.0) -> DataFrame:
+    """Learn up to ``n_merges`` merges: ``rank, left, right, count`` (symbols in hex), fewer if no pair is left.
+
+    The phases are described in ``operators.bpe``; the parameters bound what a phase sends to the
+    driver and change nothing in the result."""
+    import pyarrow as pa
+
+    def cut(batches):
+        for b in batches:
+            words = b.column(0).cast(pa.binary())
+            offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+            data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+            syms = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(data.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([syms, b.column(1)], names=["syms", "cnt"])
+
+    words = word_counts.where(F.col("word").isNotNull()).select("word", F.col("count").cast("long"))
+    merges = train(words.mapInArrow(cut, "syms array<int>, cnt long"), n_merges, top_pairs, max_fragments, reach)
+    rows = [(i, a, b, c) for i, (a, b, c) in enumerate(merges)]
+    return word_counts.sparkSession.createDataFrame(rows, "rank int, left string, right string, count long")
 
 
 def vocab_rows(merges: list[tuple[str, str]]) -> list[tuple[int, str, str]]:
@@ -215,33 +133,23 @@ def vocab(merges: DataFrame) -> DataFrame:
 
 
 def _encoder(merge_list: list[tuple[str, str]]):
-    ranks = {p: i for i, p in enumerate(merge_list)}
+    """word -> ids: the merge of lowest rank first, by a heap over linked symbols."""
     ids = {h: i for i, h, s in vocab_rows(merge_list) if s is None}
+    numbered = [(ids[a], ids[b], 0) for a, b in merge_list]
+    ranks, made = merge_ranks(numbered), [ids[a + b] for a, b in merge_list]
 
     def encode_word(word: str) -> list[int]:
-        syms = [f"{b:02X}" for b in word.encode("utf-8")]
-        while len(syms) > 1:
-            best, bi = None, -1
-            for j in range(len(syms) - 1):
-                rk = ranks.get((syms[j], syms[j + 1]))
-                if rk is not None and (best is None or rk < best):
-                    best, bi = rk, j
-            if best is None:
-                break
-            a, b = syms[bi], syms[bi + 1]
-            out, j = [], 0
-            while j < len(syms):
-                if j < len(syms) - 1 and syms[j] == a and syms[j + 1] == b:
-                    out.append(a + b)
-                    j += 2
-                else:
-                    out.append(syms[j])
-                    j += 1
-            syms = out
-        return [ids[s] for s in syms]
+        return merge_word([BYTE_BASE + b for b in word.encode("utf-8")], ranks, made)
     return encode_word
 
 
+def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The slices ``values[start:start + length]`` one after another."""
+    total = int(lengths.sum())
+    shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    return values[np.arange(total) + shift]
+
+
 def token_strings(df: DataFrame, text: str = "text") -> F.Column:
     """Per text, its pre-tokens in order with control tokens kept as atomic strings
     (a pre-token never equals a control token: ``<|`` always splits off)."""
@@ -257,54 +165,74 @@ def token_strings(df: DataFrame, text: str = "text") -> F.Column:
 def bpe_encode(df: DataFrame, merges: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Text -> ids (``key, ids``), one row per input row; control tokens atomic; no BOS/EOS added.
 
-    Pre-tokens are computed on the JVM as one array per text; each Arrow batch maps
-    them to ids behind a per-task word cache, so nothing is shuffled.  Null and empty
-    texts have no ids.
+    Pre-tokens are computed on the JVM as one array per text.  A batch's words are dictionary-encoded by
+    Arrow: Python merges each new distinct word once (a bounded cache keeps them over batches), ids are
+    gathered by offsets; nothing is shuffled.  Null and empty texts have no ids.
     """
     m = [(x["left"], x["right"]) for x in merges.orderBy("rank").collect()]  # bounded by the vocabulary
     bc = df.sparkSession.sparkContext.broadcast(m)
 
     def encode(batches):
-        import numpy as np
         import pyarrow as pa
 
         encode_word = _encoder(bc.value)
-        own = {t: [i] for i, t in enumerate(SPECIAL_TOKENS)}
-        cache: dict[str, list[int]] = dict(own)
+        own = {t: np.array([i], np.int32) for i, t in enumerate(SPECIAL_TOKENS)}
+        cache = dict(own)
         for b in batches:
-            flat, offsets = [], [0]
-            for words in b.column(1):
-                for w in words.as_py() or ():
-                    v = cache.get(w)
-                    if v is None:
-                        if len(cache) >= 500_000:
-                            cache = dict(own)
-                        v = cache[w] = encode_word(w)
-                    flat.extend(v)
-                offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(np.asarray(offsets, dtype=np.int32)),
-                                           pa.array(np.asarray(flat, dtype=np.int32)))
+            column = b.column(1)
+            words = column.flatten().dictionary_encode()
+            if len(cache) > 300_000:
+                cache = dict(own)
+            parts = []
+            for w in words.dictionary.to_pylist():
+                v = cache.get(w)
+                if v is None:
+                    v = cache[w] = np.array(encode_word(w), np.int32)
+                parts.append(v)
+            lengths = np.array([len(v) for v in parts], np.int64)
+            starts = np.cumsum(lengths) - lengths
+            at = np.asarray(words.indices, dtype=np.int64)
+            flat = gather(np.concatenate(parts) if parts else np.zeros(0, np.int32), starts[at], lengths[at])
+            ends = np.concatenate([[0], np.cumsum(lengths[at])])
+            offsets = np.asarray(column.offsets, dtype=np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]].astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[key, "ids"])
 
     key_type = df.schema[key].dataType.simpleString()
-    return df.select(key, token_strings(df, text).alias("_toks")).mapInArrow(encode, f"{key} {key_type}, ids array<int>")
+    toks = F.coalesce(token_strings(df, text), F.array().cast("array<string>"))
+    return df.select(key, toks.alias("_toks")).mapInArrow(encode, f"{key} {key_type}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, voc: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Ids -> text (``key, text``), row by row: control tokens come back as their text, a row
-    without ids as ``''``.  The vocabulary is one array, bounded by its size."""
+    without ids as ``''``.  The tokens' bytes are one array with offsets, bounded by the vocabulary; a
+    batch's bytes are gathered from it at once.  Bytes that are no UTF-8 become U+FFFD."""
     table = {r["id"]: bytes.fromhex(r["token_hex"]) for r in voc.select("id", "token_hex").collect()}
-    bc = encoded.sparkSession.sparkContext.broadcast(table)
+    parts = [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
+    lengths = np.array([len(x) for x in parts], np.int64)
+    bc = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(parts), np.uint8), lengths))
 
     def decode(batches):
         import pyarrow as pa
 
-        token = bc.value
+        data, lengths = bc.value
+        starts = np.cumsum(lengths) - lengths
         for b in batches:
-            out = [b"".join(token[i] for i in x.as_py() or ()).decode("utf-8", "replace") for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "text"])
-
-    return encoded.select(key, ids).mapInArrow(decode, f"{key} {encoded.schema[key].dataType.simpleString()}, text string")
+            column = b.column(1)
+            at = np.asarray(column.flatten(), dtype=np.int64)
+            offsets = np.asarray(column.offsets, dtype=np.int64)
+            ends = np.concatenate([[0], np.cumsum(lengths[at])])[offsets - offsets[0]]
+            own = gather(data, starts[at], lengths[at]).tobytes()
+            raw = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int64).tobytes()),
+                                                                        pa.py_buffer(own)])
+            try:
+                out = raw.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:
+                out = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), out], names=[key, "text"])
+
+    held = F.coalesce(F.filter(ids, lambda x: x.isNotNull()), F.array().cast("array<int>"))
+    return encoded.select(key, held.alias("_ids")).mapInArrow(decode, f"{key} {encoded.schema[key].dataType.simpleString()}, text string")
 
 
 def bpe_roundtrip(df: DataFrame, merges: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

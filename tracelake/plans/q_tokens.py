@@ -9,18 +9,25 @@ from tracelake.operators import tokens as T
 from tracelake.plans.registry import query
 from tracelake.sources.tables import table
 
-N_MERGES = 256
-_MERGES: dict[tuple[str, int], list[tuple]] = {}
+#: 32,000 entries: 14 control tokens, 256 bytes, merges
+N_MERGES = 32_000 - T.MERGE_BASE
+_MERGES: dict[tuple, list[tuple]] = {}
 
 
 def _documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
+def _file_state(spark, path: str) -> tuple:
+    """Number, bytes and last change of the files: what a kept vocabulary was learned from."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("string")).first())
+
+
 def trained_merges(spark, sf, n_merges: int = N_MERGES):
-    """Merges learned on the documents of ``sf`` (kept per session: a list bounded by
-    the vocabulary size, so the four token queries train once)."""
-    k = (sf, n_merges)
+    """Merges learned on the documents of ``sf``.  The list, bounded by the vocabulary size, is kept for the session as
+    long as the files are the same, so the token queries train once."""
+    k = (sf, n_merges, *_file_state(spark, f"{sf}/documents.parquet"))
     if k not in _MERGES:
         m = T.bpe_train(T.bpe_word_counts(_documents(spark, sf)), n_merges)
         _MERGES[k] = [tuple(r) for r in m.orderBy("rank").collect()]

@@ -113,7 +113,7 @@ def _best_classes(classes: DataFrame, weights: np.ndarray, of_term: list[np.ndar
     starts = np.cumsum([0, *(len(x) for x in of_term)])
     index = (weights, starts, np.concatenate(of_term) if of_term else np.zeros(0, np.int64))
     shared = classes.sparkSession.sparkContext.broadcast(index)
-    step = max(1, 2_000_000 // max(1, n_items))
+    step = max(1, 400_000 // max(1, n_items))
 
     def score(batches):
         import pyarrow as pa
@@ -151,8 +151,8 @@ def _best_classes(classes: DataFrame, weights: np.ndarray, of_term: list[np.ndar
                 total = np.zeros(len(parts) * n_items, np.int64)
                 ends = np.cumsum(starts[ids + 1] - starts[ids])
                 cut = 0
-                while cut < len(ids):  # about 2 million postings at a time
-                    to = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + 2_000_000, "right")))
+                while cut < len(ids):  # about 400,000 postings at a time
+                    to = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + 400_000, "right")))
                     own, held_by = ids[cut:to], starts[ids[cut:to] + 1] - starts[ids[cut:to]]
                     where = np.arange(held_by.sum()) - np.repeat(np.cumsum(held_by) - held_by, held_by) \
                         + np.repeat(starts[own], held_by)
@@ -164,7 +164,7 @@ def _best_classes(classes: DataFrame, weights: np.ndarray, of_term: list[np.ndar
                 if len(r):
                     held.append((item, total[r, item], first[lo + r], cid[lo + r]))
                     size += len(r)
-                if size > 1_000_000 + 2 * k * n_items:
+                if size > 200_000 + 2 * k * n_items:
                     compact()
         if held:
             compact()

@@ -13,7 +13,7 @@ from tracelake.operators import windows as W
 from tracelake.operators.segment import segment_events
 from tracelake.operators.sql import sql_select
 from tracelake.operators.udf import ToolRegistry, apply_tools, infer_schema
-from tracelake.streaming.sse import segment_rows
+
 
 CS, CE = "<|tool_call_start|>", "<|tool_call_end|>"
 
@@ -70,7 +70,7 @@ def test_final_answer_and_clean(spark):
 def test_segment_events_text_joined_marker_removed(spark):
     t = ("Hi<|thought_start|>plan<|thought_end|>there"
          f'{CS}{{"name": "t", "arguments": {{}}}}{CE}bye<|im_end|>')
-    for fn in (segment_events, segment_rows):
+    for fn in (segment_events,):
         rows = fn(_outs(spark, t)).orderBy("phase", "seq").collect()
         assert [(r.type, r.content, r.tool_name) for r in rows] == [
             ("text", "Hi", None), ("thought", "plan", None), ("text", "there", None), ("text", "bye", None),

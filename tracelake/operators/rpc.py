@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.columns import py_strip
 from tracelake.functions.jsonx import strict_valid
 
 TIMEOUT_MESSAGE = "Request timed out."
@@ -39,6 +40,22 @@ def rpc_correlate(requests: DataFrame, responses: DataFrame, timeout_s: int = 10
         F.expr("timestampdiff(SECOND, req_ts, resp_ts)").alias("latency_s"))
 
 
+def rpc_replies(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Raw lines of JSON-RPC servers -> ``<other columns>, id, result``: replies that can be matched.
+
+    Blank lines, lines that are no strict JSON object, and messages without an integer ``id`` (notifications) are
+    dropped; ``result`` is JSON text, null where the reply has none.  Row-local, so the same in a stream.
+    """
+    text = py_strip(line)
+    v = F.when(strict_valid(text), F.try_parse_json(text))
+    rest = [c for c in lines.columns if c != line]
+    kept = lines.select(*rest, v.alias("_v")).where(F.col("_v").isNotNull())
+    kept = kept.where(F.schema_of_variant("_v").startswith("OBJECT"))
+    is_long = F.schema_of_variant(F.try_variant_get("_v", "$.id", "variant")) == "BIGINT"
+    return kept.where(is_long).select(*rest, F.try_variant_get("_v", "$.id", "long").alias("id"),
+                                      F.to_json(F.try_variant_get("_v", "$.result", "variant")).alias("result"))
+
+
 def json_dead_letter(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Every body with ``valid``, ``status_code`` (200 / 400) and the rejection message.
 

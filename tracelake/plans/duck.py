@@ -34,6 +34,7 @@ CANDIDATES = fx.duck_select(fx.CANDIDATES)
 RPC_REQ = fx.duck_select(fx.RPC_REQUESTS)
 RPC_RESP = fx.duck_select(fx.RPC_RESPONSES, fx.RPC_RESPONSES_WHERE)
 CALL_LOG = fx.duck_select(fx.CALL_LOG)
+TOOL_RESULTS = fx.duck_select(fx.TOOL_RESULTS, fx.TOOL_RESULTS_WHERE, fx.TOOL_RESULTS_FROM)
 BODIES = fx.duck_select(fx.BODIES)
 TOOL_LISTS = fx.duck_select(fx.TOOL_LISTS)
 ANSWERS = fx.duck_select(fx.ANSWERS + [fx.OUTPUTS[-1]])

@@ -9,7 +9,7 @@ from tracelake.functions.markers import ASSISTANT_HEADER, CALL_END, CALL_SPAN, I
 from tracelake.operators import extract as X
 from tracelake.operators.render import render_chatml
 from tracelake.operators.segment import segment_events
-from tracelake.plans.duck import (ANSWERS, FLAT_OBJECT, GREEDY_OBJECT, MARKER_SPLIT, OUTPUTS, calls_sql, cte, q,
+from tracelake.plans.duck import (ANSWERS, FLAT_OBJECT, GREEDY_OBJECT, MARKER_SPLIT, OUTPUTS, TOOL_RESULTS, calls_sql, cte, q,
                                   spans_sql, strip)
 from tracelake.plans.registry import query
 from tracelake.sources import fixtures as fx
@@ -93,7 +93,8 @@ def q_final_answer(spark, sf):
     return X.final_answer(t, "prompt").select("conv_id", "answer")
 
 
-@query("segment_events", cte(o=OUTPUTS,
+#: text, thought and call events of every output (also the oracle of the streaming form)
+SEGMENTS = (cte(o=OUTPUTS,
                              p=f"SELECT out_id, CAST(unnest(range(len(parts))) AS INT) AS seq, unnest(parts) AS piece "
                                f"FROM (SELECT out_id, {MARKER_SPLIT} AS parts FROM o)",
                              m="SELECT *, CASE piece WHEN '<|thought_start|>' THEN 'thought' WHEN '<|thought_end|>' THEN 'text' "
@@ -107,8 +108,14 @@ WHERE piece <> '' AND mm IS NULL AND mode <> 'call' AND NOT (mode = 'text' AND p
 UNION ALL
 SELECT out_id, 1 AS phase, pos AS seq, 'tool_call' AS type, CAST(NULL AS VARCHAR) AS content, name AS tool_name, arguments
 FROM c WHERE {KEPT}""")
+
+
+@query("segment_events", cte(g=SEGMENTS, r=TOOL_RESULTS)
+       + """SELECT * FROM g UNION ALL
+SELECT g.out_id, 1 AS phase, g.seq, 'tool_result' AS type, r.result AS content, g.tool_name, CAST(NULL AS VARCHAR) AS arguments
+FROM g JOIN r ON g.out_id = r.out_id AND g.seq = r.pos WHERE g.type = 'tool_call'""")
 def q_segment_events(spark, sf):
-    return segment_events(fx.outputs(spark, sf))
+    return segment_events(fx.outputs(spark, sf), results=fx.tool_results(spark, sf))
 
 
 @query("shape_completion", cte(**CALLS_CTE,

@@ -53,6 +53,11 @@ CALL_LOG = ["event_id AS call_id", "event_type AS tool",
             "ELSE 'a/../b/' || CAST(user_id AS STRING) || '.md' END AS path",
             "CASE event_id % 3 WHEN 0 THEN 'git status' WHEN 1 THEN '  docker ps -a' ELSE '' END AS command"]
 
+#: tool results by the place of their call: two places an output, so that some have no call; 1 in 7 is missing
+TOOL_RESULTS_FROM = "(SELECT event_id, event_type, 0 AS pos FROM events UNION ALL SELECT event_id, event_type, 1 AS pos FROM events) AS e"
+TOOL_RESULTS = ["event_id AS out_id", "pos", "'{\"status\": \"' || event_type || '\", \"n\": ' || CAST(event_id % 13 + pos AS STRING) || '}' AS result"]
+TOOL_RESULTS_WHERE = "(event_id + pos) % 7 <> 0"
+
 BODIES = ["event_id AS body_id", "ts",
           "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN substr(props, 1, 4) WHEN 2 THEN '' "
           "ELSE '[' || props || ']' END AS body"]
@@ -110,6 +115,11 @@ def call_log(spark, sf_dir) -> DataFrame:
     return _events(spark, sf_dir).selectExpr(*CALL_LOG)
 
 
+def tool_results(spark, sf_dir) -> DataFrame:
+    e = _events(spark, sf_dir).selectExpr("event_id", "event_type", "explode(array(0, 1)) AS pos")
+    return e.where(TOOL_RESULTS_WHERE).selectExpr(*TOOL_RESULTS)
+
+
 def bodies(spark, sf_dir) -> DataFrame:
     return _events(spark, sf_dir).selectExpr(*BODIES)
 

@@ -11,23 +11,29 @@ from tracelake.streaming.sse import event_time
 
 def stream_rpc_correlate(requests: DataFrame, responses: DataFrame, timeout_s: int = 10,
                          watermark: str = "1 minute") -> DataFrame:
-    """Stream-stream left outer join: reply within ``timeout_s`` of its request.
+    """Stream-stream left outer join and the first reply of each request within ``timeout_s``.
 
-    Both sides carry a watermark, so the join state is bounded: a request waits
-    at most ``timeout_s`` (plus the watermark delay) for its reply, then comes
-    out with ``status = 'timeout'``.  Output as in ``operators.rpc.rpc_correlate``.
+    Both sides carry a watermark, so the join state is bounded: a request waits at most ``timeout_s`` (plus
+    the watermark delay) for its reply, else it comes out with ``status = 'timeout'``.  A server that
+    answers twice gives two joined rows; an aggregate by request and its event time keeps
+    the earliest, as in the batch form, and lets a request go when the watermark has passed it.
+    Output as in ``operators.rpc.rpc_correlate``.
     """
     q = event_time(requests, "req_ts").withWatermark("req_ts", watermark).alias("q")
     r = event_time(responses, "resp_ts").withWatermark("resp_ts", watermark).alias("r")
     cond = ((F.col("q.conn_id") == F.col("r.conn_id")) & (F.col("q.id") == F.col("r.id"))
             & F.col("r.resp_ts").between(F.col("q.req_ts"),
                                          F.col("q.req_ts") + F.expr(f"INTERVAL {int(timeout_s)} SECONDS")))
-    j = q.join(r, cond, "leftOuter")
-    return j.select(
-        F.col("q.conn_id").alias("conn_id"), F.col("q.id").alias("id"), F.col("q.method").alias("method"),
-        F.when(F.col("r.resp_ts").isNull(), "timeout").otherwise("ok").alias("status"),
-        F.when(F.col("r.resp_ts").isNotNull(), F.coalesce(F.col("r.result"), F.lit("{}"))).alias("result"),
-        F.expr("timestampdiff(SECOND, q.req_ts, r.resp_ts)").alias("latency_s"))
+    j = q.join(r, cond, "leftOuter").select(
+        F.col("q.conn_id").alias("conn_id"), F.col("q.id").alias("id"), F.col("q.method").alias("method"), F.col("q.req_ts"),
+        F.unix_micros("r.resp_ts").alias("resp"), F.col("r.result").alias("result"), F.unix_micros("q.req_ts").alias("req"))
+    first = j.groupBy("conn_id", "id", "req_ts").agg(
+        F.first("method").alias("method"), F.min("req").alias("req"), F.min("resp").alias("resp"),
+        F.min_by("result", "resp").alias("result"))
+    return first.select(
+        "conn_id", "id", "method", F.when(F.col("resp").isNull(), "timeout").otherwise("ok").alias("status"),
+        F.when(F.col("resp").isNotNull(), F.coalesce("result", F.lit("{}"))).alias("result"),
+        F.floor((F.col("resp") - F.col("req")) / 1_000_000).cast("long").alias("latency_s"))
 
 
 def start_dead_letter(bodies: DataFrame, valid_path: str, rejected_path: str, body: str = "body"):

@@ -1,4 +1,4 @@
-"""Streaming assembly of completion chunks, segmentation and call extraction.
+"""Streaming assembly of completion chunks by session windows, and call extraction.
 
 ``assemble_chunks``: chunks of one completion arrive as rows ``(id, chunk_seq,
 ts, content)``; a session window per id (gap 30 s) with a watermark on ``ts``
@@ -6,9 +6,8 @@ closes each completion, the chunks are ordered by ``chunk_seq`` and
 concatenated.  Append mode: a completion is emitted once the watermark passes
 its session end; chunks later than the watermark are dropped (late data).
 
-Segmentation on the assembled text is stateless (``segment_array``): the mode
-machine is a fold (``aggregate``) over the marker-aligned pieces of the row, so
-no window and no hand-written state is needed in the stream.
+Sessions that close on an end chunk, drop repeated chunks and give events before they
+close are keyed state: ``streaming.sessions``.
 """
 
 from __future__ import annotations
@@ -16,9 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.markers import ANY_MARKER, CALL_END, CALL_START, IM_END, IM_START, THOUGHT_END, THOUGHT_START
-from tracelake.operators.extract import extract_tool_calls, kept_calls
-from tracelake.operators.segment import SENTINEL
+from tracelake.operators.extract import extract_tool_calls
 
 
 def event_time(df: DataFrame, col: str) -> DataFrame:
@@ -39,41 +36,6 @@ def assemble_chunks(chunks: DataFrame, gap: str = "30 seconds", watermark: str =
                     F.col("session.end").alias("session_end"))
 
 
-def segment_array(text) -> F.Column:
-    """``array<struct<seq, type, content>>`` of the text/thought events of a text."""
-    t = F.col(text) if isinstance(text, str) else text
-    parts = F.split(F.regexp_replace(t, F.lit(ANY_MARKER), F.lit(SENTINEL + "$1" + SENTINEL)), SENTINEL, -1)
-    ev_type = "array<struct<seq: int, type: string, content: string>>"
-    init = F.struct(F.lit("text").alias("mode"), F.array().cast(ev_type).alias("evs"), F.lit(0).alias("i"))
-
-    def step(acc, p):
-        mm = (F.when(p == THOUGHT_START, "thought").when(p == THOUGHT_END, "text")
-              .when(p == CALL_START, "call").when(p == CALL_END, "text"))
-        mode = acc["mode"]
-        skip = (mm.isNotNull() | (p == "") | (mode == "call") | ((mode == "text") & p.isin(IM_START, IM_END)))
-        evs = F.when(skip, acc["evs"]).otherwise(F.concat(acc["evs"], F.array(
-            F.struct(acc["i"].alias("seq"), mode.alias("type"), p.alias("content")))))
-        return F.struct(F.coalesce(mm, mode).alias("mode"), evs.alias("evs"), (acc["i"] + 1).alias("i"))
-    return F.aggregate(parts, init, step, lambda acc: acc["evs"])
-
-
-def event_array(text) -> F.Column:
-    """All events of a text as ``array<struct<phase, seq, type, content, tool_name, arguments>>``:
-    text/thought pieces (phase 0) then the calls (phase 1) -- one row-local column."""
-    evs = F.transform(segment_array(text), lambda e: F.struct(
-        F.lit(0).alias("phase"), e["seq"].alias("seq"), e["type"].alias("type"), e["content"].alias("content"),
-        F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("arguments")))
-    calls = F.transform(kept_calls(text), lambda c: F.struct(
-        F.lit(1).alias("phase"), c["pos"].alias("seq"), F.lit("tool_call").alias("type"),
-        F.lit(None).cast("string").alias("content"), c["name"].alias("tool_name"), c["arguments"].alias("arguments")))
-    return F.concat(evs, calls)
-
-
-def segment_rows(df: DataFrame, text: str = "text", key: str = "out_id") -> DataFrame:
-    """Stateless, row-local form of ``segment_events`` (same output columns)."""
-    return df.select(key, F.inline(event_array(text)))
-
-
 def stream_extract_calls(outputs: DataFrame, text: str = "text", key: str = "out_id") -> DataFrame:
     """Stateless call extraction on a stream of outputs (append)."""
     return extract_tool_calls(outputs, text, (key,))

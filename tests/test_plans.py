@@ -31,3 +31,9 @@ def test_column_pruning_reaches_scan(spark, sf):
 def test_filter_pushdown_reaches_scan(spark, sf):
     p = plan(E.queries()["rpc_correlate"](spark, sf))
     assert "PushedFilters" in p
+
+
+def test_softmax_over_whole_groups_holds_no_group_in_a_window(spark, sf):
+    from tracelake.plans import QUERIES
+    plan = QUERIES["topk_softmax_all"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan and "partial_max" in plan and "partial_sum" in plan

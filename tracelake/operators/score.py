@@ -2,16 +2,20 @@
 
 Cases are generated from an id column (the reference loops ``i`` over 0..49 per
 category; any id table generalises it).  Scoring is row-local on
-``answers JOIN cases`` (one equi join on the case id, cases size-checked before
-any broadcast): calls are parsed inside the row with higher-order functions, the
+``answers JOIN cases`` (one equi join on the case id, without a hint: adaptive execution
+picks it from run-time sizes): calls are parsed inside the row with higher-order functions, the
 expected calls are an ``array<struct<name, arguments>>``.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracelake.functions.columns import py_strip
 from tracelake.functions.jsonx import wrap, wrapped_value
@@ -244,20 +248,57 @@ def leaderboard(avg: DataFrame, models: DataFrame, model: str = "model") -> Data
     return ranked.orderBy("rank", model)
 
 
-def results_document(cat: DataFrame, avg: DataFrame, models: DataFrame, benchmark: str,
-                     model: str = "model") -> DataFrame:
-    """Nested results rows: ``benchmark, model, parameters, native_tool_grammar,
-    scores map<category, struct<ast_valid, tool_match, args_match>>, overall_*``."""
-    sc = cat.groupBy(model).agg(F.map_from_entries(F.collect_list(F.struct(
+def results_document(cat: DataFrame, avg: DataFrame, models: DataFrame, benchmark: str, model: str = "model",
+                     test_case_count: int | None = None) -> DataFrame:
+    """The nested results document, one row: ``benchmark, test_case_count, categories, models`` -- a map from the model's
+    name to its ``parameters``, ``native_tool_grammar``, ``scores`` (category -> ``ast_valid, tool_match,
+    args_match``) and ``overall_*``.  Its size follows the evaluated models and categories, not the cases."""
+    sc = cat.groupBy(model).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
         "category", F.struct(F.col("json_valid").alias("ast_valid"), F.col("name_match").alias("tool_match"),
-                             F.col("args_match").alias("args_match"))))).alias("scores"))
-    return (sc.join(avg, model).join(models, model, "left")
-            .select(F.lit(benchmark).alias("benchmark"), model, "parameters", "native_tool_grammar", "scores",
-                    F.col("macro_json_valid").alias("overall_ast_accuracy"),
-                    F.col("macro_name_match").alias("overall_tool_selection"),
-                    F.col("macro_args_match").alias("overall_args_exact_match")))
-
-
-def sink_results_json(doc: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write the nested results as JSON lines (one model per line)."""
-    doc.write.mode(mode).json(path)
+                             F.col("args_match").alias("args_match")))))).alias("scores"))
+    entry = F.struct("parameters", "native_tool_grammar", "scores", F.col("macro_json_valid").alias("overall_ast_accuracy"),
+                     F.col("macro_name_match").alias("overall_tool_selection"),
+                     F.col("macro_args_match").alias("overall_args_exact_match"))
+
+    def by_name(a, b):
+        return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+
+    per_model = sc.join(avg, model).join(models, model, "left").select(model, entry.alias("_e"), F.map_keys("scores").alias("_c"))
+    doc = per_model.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_c")))).alias("categories"),
+                        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(model).alias("k"), "_e")), by_name)).alias("models"))
+    return doc.select(F.lit(benchmark).alias("benchmark"), F.lit(test_case_count).cast("long").alias("test_case_count"),
+                      "categories", "models")
+
+
+def sink_results_json(doc: DataFrame, path: str) -> None:
+    """Publish a results document as JSON below ``path``, all or nothing.
+
+    Spark writes the files into a folder of a new name; then the manifest -- that folder, its files with their
+    bytes, the schema -- is written beside it under a temporary name and renamed over ``path/CURRENT`` in one
+    step of the file system.  Readers follow the manifest, so they see the old document or the new one,
+    never a half; a writer that dies leaves only a folder no manifest names."""
+    spark = doc.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    doc.write.json(f"{path}/{version}")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/{version}")
+    files = sorted((r["path"].rsplit("/", 1)[1], r["length"]) for r in listed.select("path", "length").collect())
+    manifest = json.dumps({"version": version, "files": files, "schema": json.loads(doc.schema.json())})
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    hadoop = jvm.org.apache.hadoop.fs
+    temp, current = hadoop.Path(f"{path}/CURRENT-{version}"), hadoop.Path(f"{path}/CURRENT")
+    out = current.getFileSystem(conf).create(temp, True)
+    out.write(bytearray(manifest.encode("utf-8")))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(current.toUri(), conf).rename(temp, current, over)
+
+
+def read_results_json(spark, path: str) -> DataFrame:
+    """The published document of ``sink_results_json``; an error if files of its manifest are gone or changed."""
+    m = json.loads(spark.read.text(f"{path}/CURRENT", wholetext=True).first()[0])
+    folder = f"{path}/{m['version']}"
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "length").collect()
+    if sorted([r["path"].rsplit("/", 1)[1], r["length"]] for r in there) != m["files"]:
+        raise ValueError(f"{folder}: files are not those of the manifest")
+    return spark.read.schema(StructType.fromJson(m["schema"])).json([f"{folder}/{name}" for name, _ in m["files"]])

@@ -22,7 +22,8 @@ def sql_select(spark: SparkSession, query: str, views: dict[str, DataFrame] | No
 
     The text is parsed as a subquery, where the grammar has no DML or DDL, so
     ``WITH ... INSERT`` is a parse error like any other.  Errors while parsing,
-    analysing or counting come back as an error envelope.
+    analysing or computing any column come back as an error envelope: the count reads every value, since a bare
+    count would drop the columns and their errors with them.
     """
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
@@ -31,7 +32,8 @@ def sql_select(spark: SparkSession, query: str, views: dict[str, DataFrame] | No
         return SqlResult("error", message="Only read queries (SELECT / WITH) are supported.")
     try:
         df = spark.sql(f"SELECT * FROM (\n{text}\n) AS q")
-        n = df.count()
+        every = F.sum(F.length(F.to_json(F.struct("*"))))
+        n = df.agg(F.count(F.lit(1)), every).first()[0]
     except PySparkException as e:
         return SqlResult("error", message=str(e).split("\n")[0])
     return SqlResult("success", n, df if row_cap is None else df.limit(row_cap), None)

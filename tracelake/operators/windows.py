@@ -100,15 +100,21 @@ def topk_ties(cands: DataFrame, k: int = 40, grp: str = "grp", score: str = "sco
 def topk_softmax(cands: DataFrame, k: int = 40, temperature: float = 0.6, grp: str = "grp",
                  cand: str = "cand", score: str = "score") -> DataFrame:
     """Temperature-scaled softmax over the top-k survivors (``prob`` rounded to 6
-    digits); ``temperature <= 0`` is argmax: prob 1 for the best, lowest id on ties."""
+    digits); ``temperature <= 0`` is argmax: prob 1 for the best, lowest id on ties.
+
+    Log-sum-exp in two aggregates: the maximum of each group, then the sum of the exponentials below it, each
+    partial before its shuffle and joined back on the group (a hot group's join is split by adaptive execution).
+    So with ``k <= 0``, or many ties, no group is held in one window."""
     s = topk_ties(cands, k, grp, score)
     if temperature <= 0:
         win = s.groupBy(grp).agg(F.min_by(cand, F.struct(-F.col(score), F.col(cand))).alias("_w"))
         return s.join(win, grp).withColumn("prob", F.when(F.col(cand) == F.col("_w"), 1.0).otherwise(0.0)).drop("_w")
-    w = Window.partitionBy(grp)
-    z = F.exp((F.col(score) - F.max(score).over(w)) / temperature)
-    s = s.withColumn("_z", z)
-    return s.withColumn("prob", F.round(F.col("_z") / F.sum("_z").over(w), 6)).drop("_z")
+    own = F.col(grp).eqNullSafe(F.col("_g"))
+    top = s.groupBy(F.col(grp).alias("_g")).agg(F.max(score).alias("_max"))
+    s = s.join(top, own).drop("_g").withColumn("_z", F.exp((F.col(score) - F.col("_max")) / temperature))
+    total = s.groupBy(F.col(grp).alias("_g")).agg(F.sum("_z").alias("_sum"))
+    s = s.join(total, own).withColumn("prob", F.round(F.col("_z") / F.col("_sum"), 6))
+    return s.drop("_g", "_z", "_max", "_sum")
 
 
 def weighted_draw(probs: DataFrame, seed: int = 42, grp: str = "grp", cand: str = "cand",

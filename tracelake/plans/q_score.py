@@ -14,6 +14,7 @@ from tracelake.plans.duck import (ANSWERS, CANDIDATES, TRAIN_LOG, TURNS, calls_s
 from tracelake.plans.registry import query
 from tracelake.sources import fixtures as fx
 from tracelake.sources.tables import table
+from tracelake.streaming.runner import scratch
 
 # ---- benchmark scoring ------------------------------------------------------------
 
@@ -137,10 +138,28 @@ def q_leaderboard(spark, sf):
     return S.leaderboard(avg, _models(spark))
 
 
-@query("sink_results_json")
+BENCHMARK = "scripted answers over events"
+
+
+@query("sink_results_json", cte(**SCORES_ALL_CTE, cat=CAT_SQL, av=AVG_SQL, m=MODELS_SQL)
+       + f"""SELECT '{BENCHMARK}' AS benchmark, (SELECT count(DISTINCT case_id) FROM sc) AS test_case_count, av.model, m.parameters,
+  m.native_tool_grammar, cat.category, cat.json_valid AS ast_valid, cat.name_match AS tool_match, cat.args_match,
+  av.macro_json_valid AS overall_ast_accuracy, av.macro_name_match AS overall_tool_selection,
+  av.macro_args_match AS overall_args_exact_match
+FROM av JOIN m ON av.model = m.model JOIN cat ON cat.model = av.model""")
 def q_sink_results_json(spark, sf):
-    cat = S.category_scores(_all_scores(spark, sf))
-    return S.results_document(cat, S.macro_average(cat), _models(spark), "scripted answers over events")
+    """The nested document, published and read back, one row for each model and category."""
+    scores = _all_scores(spark, sf)
+    cat = S.category_scores(scores)
+    doc = S.results_document(cat, S.macro_average(cat), _models(spark), BENCHMARK,
+                             test_case_count=scores.select("case_id").distinct().count())
+    path = scratch(spark, "results")
+    S.sink_results_json(doc, path)
+    back = S.read_results_json(spark, path)
+    rows = back.select("benchmark", "test_case_count", F.explode("models").alias("model", "x"))
+    rows = rows.select("benchmark", "test_case_count", "model", "x.*").withColumnRenamed("scores", "_s")
+    return rows.select("benchmark", "test_case_count", "model", "parameters", "native_tool_grammar", F.explode("_s").alias("category", "c"),
+                       "overall_ast_accuracy", "overall_tool_selection", "overall_args_exact_match").select("*", "c.*").drop("c")
 
 
 def _ids(spark, sf):
@@ -283,6 +302,13 @@ def q_topk_softmax(spark, sf):
     return W.topk_softmax(fx.candidates(spark, sf), k=3, temperature=0.6)
 
 
+@query("topk_softmax_all", cte(c=CANDIDATES, s0="SELECT grp, cand, score, exp((score - max(score) OVER (PARTITION BY grp)) / 0.6) AS z FROM c")
+       + "SELECT grp, cand, score, 1 AS rank, round(z / sum(z) OVER (PARTITION BY grp), 6) AS prob FROM s0")
+def q_topk_softmax_all(spark, sf):
+    """``k <= 0``: every candidate of a group, however large, takes part."""
+    return W.topk_softmax(fx.candidates(spark, sf), k=0, temperature=0.6)
+
+
 @query("weighted_draw", cte(c=CANDIDATES, k=TOPK, s0="SELECT grp, cand, score, rank, exp((score - max(score) OVER "
                                                        "(PARTITION BY grp)) / 0.6) AS z FROM k WHERE rank <= 3",
                             s="SELECT grp, cand, round(z / sum(z) OVER (PARTITION BY grp), 6) AS prob FROM s0",

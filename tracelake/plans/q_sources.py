@@ -48,15 +48,21 @@ def q_scan_jsonl_text(spark, sf):
     return scan_jsonl_text(spark, out).select("text")
 
 
-@query("scan_files_text")
+NEWLINES = "replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+@query("scan_files_text", f"""SELECT page_id // 256 AS bucket, CAST(sum(length({NEWLINES}) + 1) AS BIGINT) AS n_chars, CAST(sum(length({NEWLINES}) - length(replace({NEWLINES}, chr(10), '')) + 1) AS BIGINT)
+  AS n_lines FROM pages GROUP BY 1""")
 def q_scan_files_text(spark, sf):
+    """Pages written as text files, as many as the table has partitions in each folder of 256 pages, and read back."""
     pages = table(spark, sf, "pages")
     out = scratch(spark, "files")
-    (pages.select(F.col("html").alias("value"), F.pmod(F.col("page_id"), F.lit(16)).alias("bucket"))
+    (pages.select(F.col("html").alias("value"), F.expr("page_id div 256").alias("bucket"))
      .write.partitionBy("bucket").text(out))
     t = FS.scan_files_text(spark, out, glob="*.txt")
-    return t.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("int").alias("bucket"), "length",
-                    F.length("text").alias("n_chars"))
+    own = F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long").alias("bucket")
+    return t.groupBy(own).agg(F.sum(F.length("text")).cast("long").alias("n_chars"),
+                              F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("n_lines"))
 
 
 PAGE_PATH = ("regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1), '/+$', '')")

@@ -92,6 +92,31 @@ def test_token_files(spark, docs, corpus, encode):
     assert manifest.agg({"ids": "sum"}).first()[0] == at
     path, _ = token_files(docs.limit(0))
     assert read_tokens(spark, path).count() == 0
+
+
+def test_token_files_of_many_shards_are_decoded_by_many_tasks(spark, docs, corpus, encode):
+    from pyspark.sql import functions as F
+
+    from tracelake.llm.tokenfile import read_tokens, token_files
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path, manifest = token_files(docs, block_ids=500)
+        shards = manifest.count()
+        got = read_tokens(spark, path)
+        parts = got.select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards >= 3 and parts >= 2
+    rows = got.orderBy("start").collect()
+    assert len(rows) == len(corpus)
+    at = 0
+    for r in rows:  # gapless over the borders of files, ids ascending, null last
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in rows]
+    assert ids == sorted(ids, key=lambda x: (x is None, x or 0))
+    want = sorted((str(r[0]), len(encode(r[1])) + 1, crc([*encode(r[1]), 2])) for r in corpus)
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in rows) == want
     ids = np.array([1, 2, 3, 1, 2, 3, 9, 9, 9, 9, 9] * 40, np.uint32)
     b = Block.unpack(Block.build([5, None], np.concatenate([ids, ids[:3]]), np.array([0, len(ids), len(ids) + 3])).pack())
     assert len(b.left) and len(b.symbols) < len(ids) / 4

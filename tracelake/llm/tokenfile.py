@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.bytewords import ragged
 from tracelake.llm.common import shared_path
-from tracelake.llm.files import commit, committed, store_of
+from tracelake.llm.files import commit, store_of
 from tracelake.llm.wordids import default_path, encoder
 
 MAGIC = b"RPIDS001"
@@ -37,7 +37,10 @@ MANIFEST = "temp string, name string, shard int, docs long, ids long, symbols lo
 
 def repair(ids: np.ndarray, bounds: np.ndarray, min_count: int = 4, min_gain: float = 0.004,
            max_expansion: int = 1024, max_rules: int = 1 << 20):
-    """``(symbols, symbol bounds, left, right, expansion lengths, base)`` of ids cut at document bounds."""
+    """``(symbols, symbol bounds, left, right, expansion lengths, base)`` of ids cut at document bounds.
+
+    A block has at most ``max_rules`` rules; where the ids alone leave room in 16 bits, at most as many as keep
+    every symbol of the block in 16 bits, since wider symbols would cost more than further rules save."""
     seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)
     last[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
@@ -242,11 +245,11 @@ def blocks(store, file: str):
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` (and ``ids``, uint32 bytes) of every document, decoded."""
-    shards = committed(spark, path, MANIFEST)
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/_committed")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    first = (spark.read.schema(MANIFEST).parquet(f"{path}/_committed")
-             .select("name", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first")))
-    shards = shards.select("name").join(first, "name").select("name", "first")
+    first = manifest.select("name", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
+    # one file per task: the offsets' rows are few, and each stands for a whole file
+    shards = first.repartition(max(1, min(10_000, manifest.count())), "name")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def read(batches):

@@ -264,10 +264,11 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for block in blocks(store, f"{base}/{name}"):
                     rows = []
+                    whole, at = memoryview(block.expand(block.symbols).astype("<u4").tobytes()), (block.id_at * 4).tolist()
                     for k, (doc, known) in enumerate(zip(block.doc_ids.tolist(), block.known.tolist())):
-                        raw = block.document(k).astype("<u4").tobytes()
+                        raw = whole[at[k]:at[k + 1]]
                         row = (doc if known else None, start, len(raw) // 4, zlib.crc32(raw))
-                        rows.append((*row, raw) if with_ids else row)
+                        rows.append((*row, bytes(raw)) if with_ids else row)
                         start += len(raw) // 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 

@@ -190,11 +190,75 @@ def test_jaccard(docs, corpus, n, num):
                 x, y = corpus[i][0], corpus[j][0]
                 if a and x is not None and y is not None and 100 * len(a & b) >= num * len(a | b):
                     comp[x] = comp[y] = min(comp[x], comp[y])
-    want = sorted((str(r[0]), len(s) if r[0] is not None else 0, str(comp[r[0]])) for r, s in zip(corpus, sets))
+    want = sorted((str(r[0]), len(s), str(comp[r[0]])) for r, s in zip(corpus, sets))
     assert got == want
     assert jaccard_components(docs.limit(0), n, num, 100).count() == 0
 
 
+@pytest.mark.parametrize("spread,leaf", [(4, 16), (30, 16), (200, 8)])
+def test_voronoi_pairs_lose_no_pair_and_read_few(spread, leaf):
+    from tracelake.llm.jaccard import _possible, bits_apart, sketch, voronoi_pairs
+    rng = np.random.default_rng(spread)
+    sets = []
+    for _ in range(12):  # groups of near copies of a base, of many sizes
+        base = rng.integers(0, 1 << 63, int(rng.integers(30, 400))).astype(np.uint64) * np.uint64(2)
+        for _ in range(int(rng.integers(1, 60))):
+            x = base.copy()
+            k = int(rng.integers(0, min(spread, len(x))))
+            x[rng.integers(0, len(x), k)] = rng.integers(0, 1 << 63, k).astype(np.uint64)
+            sets.append(np.unique(x))
+    vec = np.frombuffer(b"".join(map(sketch, sets)), np.uint64).reshape(len(sets), -1)
+    n = np.array([len(x) for x in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    low = bits_apart(vec[i], vec[j])
+    for num, den in ((90, 100), (80, 100)):
+        ok = _possible(n[i], n[j], low, num, den)
+        want = set(zip(i[ok].tolist(), j[ok].tolist()))
+        asked = [0]
+
+        def wanted(a, b):
+            asked[0] += len(a)
+            return np.ones(len(a), bool)
+
+        got = [(min(p), max(p)) for a, b in voronoi_pairs(vec, n, wanted, num, den, leaf) for p in zip(a.tolist(), b.tolist())]
+        assert len(got) == len(set(got)) and set(got) == want
+        linked = [(a, b) for a, b in zip(i.tolist(), j.tolist())
+                  if den * len(np.intersect1d(sets[a], sets[b])) >= num * len(np.union1d(sets[a], sets[b]))]
+        assert set(linked) <= want and all(low[k] <= len(np.setxor1d(sets[i[k]], sets[j[k]])) for k in range(0, len(i), 97))
+        assert asked[0] < 0.5 * len(i)
+
+
+def test_jaccard_of_a_large_group_of_near_copies_in_blocks(spark):
+    """Copies that link with their base alone, which has neither the smallest id nor the smallest class; blocks of a region meet."""
+    from tracelake.llm.jaccard import jaccard_components, jaccard_links
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(500, " ".join(base))]
+    for i in range(150):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(rng.choice(base) for _ in range(60))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k:k + 3]) for k in range(len(w) - 2)}
+
+    sets = {i: shingles(t) for i, t in rows}
+    comp = {i: i for i in sets}
+    ids = sorted(sets)
+    edges = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])]
+    for _ in range(5):
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    for how in ({}, {"block": 20, "leaf": 8}):
+        got = {r.doc_id: r.component_id for r in jaccard_components(df, 3, 90, 100, **how).collect()}
+        assert got == comp and len({got[i] for i in range(150)}) == 1
+    _, links, _ = jaccard_links(df, 3, 90, 100)
+    assert links.count() <= 3 * len(rows)
+
+
 def test_line_dedup(spark):
     from tracelake.llm.linededup import drop_lines
     r = random.Random(1)

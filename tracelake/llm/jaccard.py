@@ -1,30 +1,32 @@
-"""Exact n-gram Jaccard join of whole texts by prefix filter.
+"""Exact n-gram Jaccard join of whole texts as a recursive metric-space join.
 
-Documents are points of the Jaccard metric on their sets of word n-grams; a link is
-a distance of at most ``tau = 1 - num/den``.
+Documents are points by their sets of word n-grams; a link is a Jaccard distance of at most ``1 - num/den``, which
+bounds the symmetric difference ``|x ^ y|``, a metric, by ``(den - num) / (den + num) * (|x| + |y|)``.
 
 1. Equal sets are one point (a class); its representative is the smallest doc id.
-2. Regions are single shingles, taken in one global order (rare before very common
-   ones), not Voronoi cells of documents: distances between unrelated texts are all
-   close to 1, so documents as pivots tell nothing apart.  A point is in the regions of
-   its first shingles, up to place ``n - ceil(num * n / den) + 1``: two linked points
-   share a region.  There are no windows by the triangle inequality.
-3. Inside a region the distance of every point to the smallest one is taken exactly;
-   it serves as a link only.
-4. Of regions that still hold several components, one flat pass (no recursion) takes
-   pairs of different components inside the size window and inside the window of a
-   count sketch (for any hash class of shingles, the class counts of x and y differ by at
-   most the symmetric difference; summed over classes this bounds the distance from
-   below) exactly too.  Large regions are cut into blocks; pairs of blocks meet.
+2. Unrelated texts are all at distance 1, where documents as pivots part nothing.  So the outermost regions are
+   balls below distance 1: the holders of one shingle.  Shingles have a global order (rare before very
+   common ones) and a point is in the regions of its first ones, up to place ``n - ceil(num * n / den) + 1``: two
+   linked points share a region.
+3. Every region's smallest point is a pivot: its distance to the others is taken exactly, links join components.
+   Only regions that still hold several components stay open.
+4. An open region is joined recursively (``voronoi_pairs``).  Documents in it are pivots: first the one
+   nearest to the region's centre, then the farthest ones.  Each point belongs to the Voronoi cell of its nearest pivot
+   and is replicated into every cell whose pivot is at most twice its own link bound farther: by the triangle
+   inequality no link leaves these windows.  Cells are joined the same way; one that is small, or that no
+   pivot parts, compares the points whose distances to its pivot differ by the link bound at most.  Distances here are
+   those of parity sketches (one bit for each of 512 classes of shingles): a metric that never exceeds
+   ``|x ^ y|``, so windows are safe.  What is left is compared exactly on the whole sets.
+   Regions of more than ``block`` points are cut into blocks; pairs of blocks meet.
 5. Links and equal sets give components.
 
-Nothing is capped: the order of shingles, sketch and Bloom filter only save work.
+Nothing is capped: the order of shingles, sketches and the Bloom filter only save work.
 Very common shingles are those that some part of the corpus holds in a fixed share of
 its documents; their list is bounded by ``max_common``.
 
 Edge cases: null and white-space-only texts have no shingle and link with
 nothing; texts shorter than n words are one shingle; a null ``doc_id`` is returned
-with itself (null) as component and links with nothing; equal rows and equal ids give
+with its set size and itself (null) as component and links with nothing; equal rows and equal ids give
 one row per input row; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.bytewords import mix, text_chunks, word_hashes
 from tracelake.llm.common import connected_components, materialise
 
-CLASSES = 32
+SKETCH_BITS = 512
 _MUL = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                    0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -79,8 +81,14 @@ def prefix_len(n: int, num: int, den: int) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts of the set by hash class, saturated (still 1-Lipschitz), as 16-bit numbers."""
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64) >> 1, minlength=CLASSES), 65535).astype("<u2").tobytes()
+    """One bit for each class of shingles: is the number of its members odd?  An element more or less flips one
+    bit, so sketches differ in at most ``|x ^ y|`` bits."""
+    counts = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int32)
 
 
 def common_shingles(docs: DataFrame, n: int, share: float, max_common: int, part: int = 1_000_000) -> np.ndarray:
@@ -154,17 +162,69 @@ def fine_sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes()
 
 
-def _possible(na, nb, sa, sb, num, den):
-    """Size and sketch windows: pairs that may be linked."""
+def _possible(na, nb, low, num, den):
+    """Size window and ``low <= |x ^ y|``: pairs that may be linked."""
     na, nb = na.astype(np.int64), nb.astype(np.int64)
-    ok = (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
-    low = np.abs(sa.astype(np.int32) - sb.astype(np.int32)).sum(1)  # <= |x ^ y|
     # linked: |x ^ y| <= (den - num) / (den + num) * (|x| + |y|)
-    return ok & (low * (den + num) <= (den - num) * (na + nb))
+    return (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (low.astype(np.int64) * (den + num) <= (den - num) * (na + nb))
 
 
 def _sketches(col) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), "<u2").reshape(-1, CLASSES)
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+
+
+def voronoi_pairs(vec, n, wanted, num: int, den: int, leaf: int = 64, pivots: int = 8, max_pairs: int = 100_000):
+    """Yield ``(i, j)``: all pairs of points that ``wanted(i, j)`` allows and whose sizes and sketches allow a link."""
+    reach = n.astype(np.int64) * (den - num) // num  # no link of a point differs in more
+    stack = [(np.arange(len(vec)), np.zeros(0, np.int64))]  # points of a cell, replicated points
+    while stack:
+        own, guests = stack.pop()
+        if not len(own) or len(own) + len(guests) < 2:
+            continue
+        every = np.concatenate([own, guests])
+        bound = reach[every]
+        centre = np.packbits(np.unpackbits(vec[own].view(np.uint8), axis=1).mean(0) >= 0.5).view(np.uint64)
+        first = own[np.argmin(bits_apart(vec[own], centre))]
+        apart = [bits_apart(vec[every], vec[first])]
+        if len(every) > leaf:
+            nearest = apart[0][:len(own)].copy()
+            while len(apart) < pivots:
+                far = int(np.argmax(nearest - bound[:len(own)]))
+                if nearest[far] <= bound[far]:
+                    break
+                apart.append(bits_apart(vec[every], vec[own[far]]))
+                nearest = np.minimum(nearest, apart[-1][:len(own)])
+        if len(apart) > 1:
+            d = np.stack(apart, 1)
+            home = d.argmin(1)
+            inside = d <= (d.min(1) + 2 * bound)[:, None]
+            is_own = np.arange(len(every)) < len(own)
+            cells = []
+            for q in range(d.shape[1]):
+                # a pair of two cells is found in the first of them
+                cells.append((every[is_own & (home == q)], every[inside[:, q] & ((is_own & (home > q)) | ~is_own)]))
+            if max(len(a) + len(b) for a, b in cells) <= 0.8 * len(every):
+                stack += cells
+                continue
+        # the triangle inequality by the first pivot: only points of similar distance to it
+        order = np.argsort(apart[0], kind="stable")
+        at, dist, mine = every[order], apart[0][order], order < len(own)
+        after = np.searchsorted(dist, dist + bound[order], "right") - np.arange(len(at)) - 1
+        done = np.cumsum(after)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + max_pairs, "right")))
+            k = after[lo:hi]
+            i = np.repeat(np.arange(lo, hi), k)
+            j = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + i + 1
+            lo = hi
+            ok = mine[i] | mine[j]
+            i, j = at[i[ok]], at[j[ok]]
+            ok = wanted(i, j)
+            i, j = i[ok], j[ok]
+            ok = _possible(n[i], n[j], bits_apart(vec[i], vec[j]), num, den)
+            if ok.any():
+                yield i[ok], j[ok]
 
 
 def star_candidates(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -179,29 +239,46 @@ def star_candidates(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> Da
 
         for b in batches:
             if b.num_rows:
-                ok = _possible(b.column(2).to_numpy(), b.column(3).to_numpy(), _sketches(b.column(4)),
-                               _sketches(b.column(5)), num, den)
+                ok = _possible(b.column(2).to_numpy(), b.column(3).to_numpy(),
+                               bits_apart(_sketches(b.column(4)), _sketches(b.column(5))), num, den)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     return j.mapInArrow(keep, "a long, b long")
 
 
-def region_candidates(regions: DataFrame, num: int, den: int, max_pairs: int = 100_000) -> DataFrame:
+def region_candidates(regions: DataFrame, num: int, den: int, max_pairs: int = 100_000, leaf: int = 64) -> DataFrame:
     """``regions(key, side, c, comp, n, sketch)`` -> possible pairs ``a < b`` of different components.
 
     Rows come sorted by key; a key has at most two blocks of bounded size.  A key with two sides
-    compares across them, one with a single side compares inside it."""
+    compares across them, one with a single side compares inside it.  Regions of more than ``leaf`` points
+    are joined recursively, the small ones of a batch all at once."""
     def join(batches):
         import pyarrow as pa
 
         held = None
 
+        def batch(t, i, j):
+            a, b = t["c"][i], t["c"][j]
+            p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+
         def pairs(t):
-            key, side = t["key"], t["side"]
+            key, side, comp = t["key"], t["side"], t["comp"]
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
             sizes = np.diff(np.append(starts, len(key)))
-            # row i pairs with the rows after it in its region, a bounded number of pairs at a time
-            after = np.repeat(starts + sizes, sizes) - np.arange(len(key)) - 1
+
+            def wanted(i, j):
+                return (comp[i] != comp[j]) & ((key[i, 1] == key[i, 2]) | (side[i] != side[j]))
+
+            for at, size in zip(starts[sizes > leaf].tolist(), sizes[sizes > leaf].tolist()):
+                own = slice(at, at + size)
+                if comp[own].min() < comp[own].max():
+                    for i, j in voronoi_pairs(t["sketch"][own], t["n"][own], lambda i, j: wanted(i + at, j + at), num, den, leaf,
+                                              max_pairs=max_pairs):
+                        yield batch(t, i + at, j + at)
+            # of the small regions row i pairs with the rows after it, a bounded number of pairs at a time
+            after = np.repeat(np.where(sizes > leaf, 0, starts + sizes), sizes) - np.arange(len(key)) - 1
+            after = np.maximum(after, 0)
             done = np.cumsum(after)
             lo = 0
             while lo < len(after):
@@ -211,13 +288,11 @@ def region_candidates(regions: DataFrame, num: int, den: int, max_pairs: int = 1
                 i = np.repeat(np.arange(lo, hi), k)
                 j = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + i + 1
                 lo = hi
-                ok = (t["comp"][i] != t["comp"][j]) & ((key[i, 1] == key[i, 2]) | (side[i] != side[j]))
+                ok = wanted(i, j)
                 i, j = i[ok], j[ok]
-                ok = _possible(t["n"][i], t["n"][j], t["sketch"][i], t["sketch"][j], num, den)
-                a, b = t["c"][i[ok]], t["c"][j[ok]]
-                p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+                ok = _possible(t["n"][i], t["n"][j], bits_apart(t["sketch"][i], t["sketch"][j]), num, den)
+                if ok.any():
+                    yield batch(t, i[ok], j[ok])
 
         def load(b):
             key = np.stack([b.column(x).to_numpy().astype(np.int64) for x in range(3)], 1)
@@ -295,7 +370,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
         for b in batches:
             if b.num_rows:
                 fa, fb = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int16) for i in (4, 5))
-                ok = _possible(b.column(2).to_numpy(), b.column(3).to_numpy(), fa, fb, num, den)
+                ok = _possible(b.column(2).to_numpy(), b.column(3).to_numpy(), np.abs(fa - fb).sum(1), num, den)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     # sketches travel with every pair, whole sets only with the pairs that they leave
@@ -319,7 +394,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
 
 
 def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, common_share: float = 0.001,
-                  max_common: int = 200_000, block: int = 2048):
+                  max_common: int = 200_000, block: int = 2048, leaf: int = 64):
     """``(documents, links, classes)``: ``doc_id, c, n, rep`` of every document with a shingle, links
     ``a, b`` between classes (all that join different components) and the classes."""
     common = common_shingles(docs, n, common_share, max_common)
@@ -342,7 +417,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, co
              .withColumn("side", F.pmod(F.xxhash64("c"), F.col("m")).cast("int"))
              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
              .withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o")))
-    rest = region_candidates(open_, num, den)
+    rest = region_candidates(open_, num, den, leaf=leaf)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(rest.join(done, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(verify(rest, reps, docs, n, num, den))
@@ -350,6 +425,21 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, co
     return documents, links, reps
 
 
+def set_sizes(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, n`` of every row."""
+
+    def size(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = np.zeros(b.num_rows, np.int32)
+            for k, s in ngram_sets(b.column(1), n):
+                out[k] = len(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["doc_id", "n"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(size, "doc_id long, n int")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id`` (smallest doc id reachable by links)."""
     documents, links, reps = jaccard_links(docs, n, num, den, **options)
@@ -358,12 +448,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     edges = (links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
              .unionByName(documents.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     comp = connected_components(edges).withColumnRenamed("id", "doc_id")
-    whole = docs.select(F.col("doc_id").cast("long"))
+    whole = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"))
     # documents without shingles, and every row of a repeated id
     count = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_with"))
-    none = (whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_all")).join(count, whole["doc_id"].eqNullSafe(count["doc_id"]), "left")
-            .select(whole["doc_id"], F.expr("_all - coalesce(_with, 0)").alias("_k")).where("_k > 0")
+    none = (whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_all")).join(count, "doc_id", "left")
+            .select("doc_id", F.expr("_all - coalesce(_with, 0)").alias("_k")).where("_k > 0")
             .select("doc_id", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select("doc_id", F.lit(0).alias("n")))
-    return (documents.select("doc_id", "n").unionByName(none).join(comp, "doc_id", "left")
+    nameless = set_sizes(docs.where(F.col("doc_id").isNull()), n)
+    return (documents.select("doc_id", "n").unionByName(none).join(comp, "doc_id", "left").unionByName(
+        nameless.withColumn("component_id", F.col("doc_id")))
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                     F.coalesce("component_id", "doc_id").alias("component_id")))

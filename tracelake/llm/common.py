@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +37,69 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
     path = shared_path(df.sparkSession, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(paths: list[str]):
+    """Within it, ``materialise`` notes the paths of its tables in ``paths``, for ``drop_tables``."""
+    _SCRATCH.append(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str], used_by: DataFrame | None = None) -> None:
+    """Delete scratch tables; those that ``used_by`` still reads stay (and stay in ``paths``)."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    files = used_by.inputFiles() if paths and used_by is not None else []
+    used = {f.rsplit("/", 2)[-2] for f in files}  # the tables' folders have names of their own
+    for path in list(paths):
+        if path.rsplit("/", 1)[-1] not in used:
+            paths.remove(path)
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+_WORKER: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks.  Workers are reused by later stages: the first task
+    of another owner drops what the one before has kept and gives the memory back."""
+    if owner not in _WORKER:
+        if _WORKER:
+            _WORKER.clear()
+            give_back()
+        _WORKER[owner] = {}
+    return _WORKER[owner]
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system (where the C library offers it)."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def small_side(df: DataFrame, row_bytes, most: int = 32 << 20) -> DataFrame:
     """``df`` marked for broadcast if its rows, of ``row_bytes`` each, sum to ``most`` at most; else as it is,
     for a shuffled join."""

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.bytewords import mix, text_chunks, word_hashes
-from tracelake.llm.common import connected_components, materialise
+from tracelake.llm.common import connected_components, materialise, worker_cache
 
 SKETCH_BITS = 512
 _MUL = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -46,6 +46,7 @@ _MUL = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 
 def ngram_sets(column, n: int):
     """Yield ``(row, sorted distinct 64-bit n-gram hashes)`` of an Arrow string column."""
+    worker_cache("jaccard")
     for lo, data, bounds in text_chunks(column):
         h, row = word_hashes(data, bounds)
         rows = len(bounds) - 1

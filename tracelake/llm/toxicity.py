@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.bytewords import mix
-from tracelake.llm.common import materialise
+from tracelake.llm.common import materialise, worker_cache
 
 #: characters that stand between words, besides white space
 BREAKS = {ord(c): " " for c in "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~¡¿«»„“”…–—"}
@@ -337,16 +337,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         apply, "doc_id long, held_out boolean, score double, predicted int")
 
 
-_LOADED: dict[int, tuple] = {}
-
-
 def _loaded(shared) -> Model:
-    """One model per Python worker and broadcast, with its word cache."""
-    value = shared.value
-    if id(value) not in _LOADED:
-        _LOADED.clear()
-        _LOADED[id(value)] = value, Model(*value)
-    return _LOADED[id(value)][1]
+    """One model per Python worker and broadcast, with its word cache, as long as no other operator's stage runs there."""
+    value, kept = shared.value, worker_cache("toxicity")
+    if id(value) not in kept:
+        kept.clear()
+        kept[id(value)] = value, Model(*value)
+    return kept[id(value)][1]
 
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 
 from tracelake.llm.bytewords import HashIndex, ragged, span_hashes, text_chunks, words
+from tracelake.llm.common import worker_cache
 
 SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
 
@@ -140,11 +141,9 @@ class WordIds:
         return self.encode_chunk(data, np.array([0, len(data)]))[0]
 
 
-_ENCODERS: dict[str, WordIds] = {}
-
-
 def encoder(path: str) -> WordIds:
-    """One encoder per Python worker and tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+    """One encoder per Python worker and tokenizer file, as long as no other operator's stage runs there."""
+    kept = worker_cache("wordids")
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]

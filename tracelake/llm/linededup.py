@@ -17,7 +17,7 @@ hash aggregates with partial sums over narrow rows; only lines in leaves that se
 documents share carry their tokens, as hashes.
 
 Edge cases: null text stays null with no lines; blank lines and lines below
-``min_tokens`` tokens are never dropped; a null ``doc_id`` counts as one document;
+``min_tokens`` tokens are never dropped; rows of a null ``doc_id`` are one document for each different text;
 equal rows count once per id; an empty table gives no rows; extra columns are kept.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.bytewords import mix, span_hashes, words
-from tracelake.llm.common import materialise
+from tracelake.llm.common import materialise, small_side, worker_cache
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -61,17 +61,20 @@ def line_table(text: str, depth: int, min_tokens: int):
 
 
 def _doc():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("doc")
+    """Two columns that name a document: its id, or without one a hash of its text."""
+    text = F.xxhash64(F.col("text").cast("string"))
+    return [F.coalesce(F.col("doc_id").cast("long"), text).alias("doc"), F.col("doc_id").isNull().alias("nameless")]
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """``doc, content, leaf, line, n`` of every line that can be dropped."""
+    """``doc, nameless, content, leaf, line, n`` of every line that can be dropped."""
     def parse(batches):
         import pyarrow as pa
 
+        worker_cache("linededup")
         for b in batches:
-            ids, out = b.column(0).to_pylist(), [[], [], [], [], []]
-            for k, t in enumerate(b.column(1)):
+            ids, nameless, out = b.column(0).to_pylist(), b.column(1).to_pylist(), [[], [], [], [], [], []]
+            for k, t in enumerate(b.column(2)):
                 t = t.as_py()
                 if t:
                     _, leaf, whole, _, n, content = line_table(t, depth, min_tokens)
@@ -80,12 +83,13 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
                     out[2].append(leaf.view(np.int64))
                     out[3].append(whole.view(np.int64))
                     out[4].append(n.astype(np.int32))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+                    out[5].append(np.full(len(n), nameless[k]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, kinds)],
-                                             names=["doc", "content", "leaf", "line", "n"])
+                                             names=["doc", "content", "leaf", "line", "n", "nameless"])
 
-    return docs.select(_doc(), F.col("text").cast("string")).mapInArrow(
-        parse, "doc long, content long, leaf long, line long, n int")
+    return docs.select(*_doc(), F.col("text").cast("string")).mapInArrow(
+        parse, "doc long, content long, leaf long, line long, n int, nameless boolean")
 
 
 def _tokens(docs: DataFrame, leaves: DataFrame, depth: int, min_tokens: int, bits: int = 22) -> DataFrame:
@@ -99,6 +103,7 @@ def _tokens(docs: DataFrame, leaves: DataFrame, depth: int, min_tokens: int, bit
     def parse(batches):
         import pyarrow as pa
 
+        worker_cache("linededup")
         table, seen = shared.value, set()
         for b in batches:
             out = []
@@ -111,7 +116,7 @@ def _tokens(docs: DataFrame, leaves: DataFrame, depth: int, min_tokens: int, bit
                 for k in np.flatnonzero((table[p // 64] >> (p % 64)) & 1):
                     w = int(whole[k])
                     if w not in seen:
-                        if len(seen) > 1_000_000:
+                        if len(seen) > 300_000:
                             seen.clear()
                         seen.add(w)
                         out.append((int(leaf[k:k + 1].view(np.int64)[0]), int(whole[k:k + 1].view(np.int64)[0]),
@@ -125,7 +130,7 @@ def _tokens(docs: DataFrame, leaves: DataFrame, depth: int, min_tokens: int, bit
 
 
 def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 3, constant: float = 0.7) -> DataFrame:
-    """``doc, lines``: hashes of the lines that each document loses."""
+    """``doc, nameless, lines``: hashes of the lines that each document loses."""
     lines = materialise(_lines(docs, depth, min_tokens), "lines")
     leaves = lines.groupBy("leaf").agg(F.countDistinct("content").alias("d"), F.min("line").alias("lo"), F.max("line").alias("hi"))
     leaves = materialise(leaves.where(F.col("d") >= min_docs).select("leaf", (F.col("lo") != F.col("hi")).alias("many")), "leaves")
@@ -147,25 +152,27 @@ def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens
              .select("leaf", "line", "c", F.xxhash64("leaf", "x", "c").alias("template")))
     named = (near.join(shape, ["leaf", "line"], "left")
              .withColumn("template", F.when(F.col("c") >= F.ceil(F.col("n") * constant), F.col("template")).otherwise(F.col("line")))
-             .select("doc", "content", "line", "template"))
+             .select("doc", "nameless", "content", "line", "template"))
     named = materialise(named, "templates")
     # of the documents of one whole text the smallest id counts
-    drop = (named.groupBy("template", "content").agg(F.min("doc").alias("doc"))
+    drop = (named.groupBy("template", "content").agg(F.min(F.struct("nameless", "doc")).alias("doc"))
             .groupBy("template").agg(F.countDistinct("doc").alias("d")).where(F.col("d") >= min_docs).select("template"))
-    return named.join(drop, "template").groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    return named.join(drop, "template").groupBy("doc", "nameless").agg(F.collect_set("line").alias("lines"))
 
 
 def drop_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 3, constant: float = 0.7) -> DataFrame:
     """All columns of ``docs`` with recurring lines taken out of ``text``, plus ``n_lines`` and
     ``dropped`` (numbers of the lines taken out, from 0).  Those two names are the operator's."""
-    lost = dropped_lines(docs, depth, min_docs, min_tokens, constant)
+    lost = materialise(dropped_lines(docs, depth, min_docs, min_tokens, constant), "lost-lines")
+    lost = small_side(lost, F.lit(24) + 8 * F.size("lines"), 16 << 20)  # else whole texts are shuffled
     kept = [c for c in docs.columns if c not in ("n_lines", "dropped")]
-    j = docs.select(F.struct(*kept).alias("_d"), _doc()).join(lost, "doc", "left").select(
+    j = docs.select(F.struct(*kept).alias("_d"), *_doc()).join(lost, ["doc", "nameless"], "left").select(
         F.col("_d.text").cast("string").alias("text"), "lines", "_d")
 
     def cut(batches):
         import pyarrow as pa
 
+        worker_cache("linededup")
         for b in batches:
             texts, counts, gone = [], [], []
             for t, lines in zip(b.column(0), b.column(1)):

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing (DataFrame operations only).
 
-Every document gets a hash position inside its source; the finish time of its
+Every document gets a hash position (of its id and text) inside its source; the finish time of its
 k-th copy is ``(k * source_size + cumulative size) / target``, so all sources
 progress alike from 0 to 1.  The copies in finish order are cut at the total
 budget.  Both running sums are two-level (hash or finish-time ranges of about
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import materialise
+from tracelake.llm.common import materialise, small_side
 
 WEIGHTS = (5, 2, 1)
 BUCKET_ROWS = 10_000
@@ -38,7 +38,7 @@ def _keyed(docs: DataFrame, seed: int) -> DataFrame:
         F.col("doc_id"), F.col("source"),
         F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))).alias("_s"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("text").alias("_t"), F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
+        F.xxhash64("text").alias("_t"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"))
 
 
 def _bucket(n: int):
@@ -119,15 +119,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2, s
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, all its columns kept.
 
-    Equal rows are matched with their decisions one by one (row number in the key)."""
+    Decisions are collapsed to one narrow row for each id, source and text; whole
+    texts meet them in one join.  Only rows that are equal in the three are numbered; they share their copies evenly."""
     rows = ["_i", "_s", "_t"]
-    one = Window.partitionBy("_i", "_s", "_t").orderBy(F.lit(0))
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_i")
-    keep = (mix(docs, **options).select(ident, F.col("_s"), F.col("_t"), F.col("copies").alias("_copies"))
-            .withColumn("_n", F.row_number().over(one)))
-    whole = docs.select(F.struct("*").alias("_d"), ident,
-                        F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"),
-                                 F.coalesce("source", F.lit(""))).alias("_s"), F.xxhash64("text").alias("_t"))
-    whole = whole.withColumn("_n", F.row_number().over(one))
-    return (whole.join(keep, [*rows, "_n"]).where(F.col("_copies") > 0)
-            .select("_d", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_d.*"))
+    ident = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_i"), F.col("_s"), F.col("_t")]
+    keep = (mix(docs, **options).select(*ident, F.col("copies")).groupBy(*rows)
+            .agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_all")))
+    keep = materialise(keep.where(F.col("_all") > 0), "mix-decisions")
+    s = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))).alias("_s")
+    whole = docs.select(F.struct("*").alias("_d"), ident[0], s, F.xxhash64("text").alias("_t"))
+    whole = whole.join(small_side(keep, F.length("_i") + F.length("_s") + 40, 16 << 20), rows)
+    one = whole.where(F.col("_rows") == 1).select("_d", F.col("_all").alias("_copies"))
+    number = F.row_number().over(Window.partitionBy(*rows).orderBy(F.lit(0)))
+    share = F.floor(F.col("_all") / F.col("_rows")) + (number <= F.col("_all") % F.col("_rows")).cast("long")
+    many = whole.where(F.col("_rows") > 1).select("_d", share.alias("_copies"))
+    return (one.unionByName(many).where(F.col("_copies") > 0)
+            .select("_d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select("_d.*"))

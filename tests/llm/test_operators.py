@@ -446,6 +446,41 @@ def test_licenses(spark):
     assert {i for _, ids in RULES for i in ids} <= set(SENTENCES)
 
 
+def test_licence_rules_against_brute_force(spark):
+    """Random identifier sequences: a rule holds if its identifiers occur in order."""
+    from tracelake.llm.licenses import PHRASES, RULES, SENTENCES, scan
+    rng = random.Random(5)
+    names = sorted(SENTENCES)
+    seqs = [[rng.choice(names) for _ in range(rng.randint(0, 12))] for _ in range(150)]
+    seqs += [list(ids) for _, ids in RULES] + [list(reversed(ids)) for _, ids in RULES]
+
+    def text(seq):
+        return "\n".join((SENTENCES[i] if i not in PHRASES else f"x {SENTENCES[i]} x.") + "\nfiller." for i in seq)
+
+    def holds(ids, seq):
+        at = iter(seq)
+        return all(i in at for i in ids)
+
+    rows = [(k, text(s)) for k, s in enumerate(seqs)]
+    got = {r.doc_id: r for r in scan(frame(spark, rows, "doc_id long, text string")).collect()}
+    for k, seq in enumerate(seqs):
+        assert got[k].sentence_ids == seq
+        assert got[k].licenses == list(dict.fromkeys(name for name, ids in RULES if holds(ids, seq)))
+
+
+def test_licence_rules_are_linear_in_repeated_phrases(spark):
+    import time
+
+    from tracelake.llm.licenses import SENTENCES, scan
+    one = " ".join(SENTENCES[i] for i in ("bsd-redistribute", "bsd-source", "bsd-redistribute"))
+    rows = [(1, f"{one}\n" * 4000), (2, one)]
+    df = frame(spark, rows, "doc_id long, text string")
+    scan(df.where("doc_id = 2")).collect()
+    t = time.time()
+    got = {r.doc_id: r for r in scan(df).collect()}
+    assert got[1].licenses == [] and len(got[1].sentence_ids) == 12_000 and time.time() - t < 20
+
+
 def test_licenses_at_any_wrap(spark):
     """Licence texts unwrapped, wrapped at any column, and decorated."""
     import textwrap

@@ -47,6 +47,19 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice,",
     "bsd-names": "Neither the name of the copyright holder nor the names of its",
     "rights-reserved": "All rights reserved.",
+    "gpl-terms": "under the terms of the GNU General Public License",
+    "lgpl-terms": "under the terms of the GNU Lesser General Public License",
+    "lgpl21-or-later": "either version 2.1 of the License, or",
+    "agpl-terms": "under the terms of the GNU Affero General Public License",
+    "mpl2-terms": "subject to the terms of the Mozilla Public License",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications",
+    "unlicense-notice": "This is free and unencumbered software released into the public domain.",
+    "cc0-title": "CC0 1.0 Universal",
+    "cc0-dedication": "copyright and related and neighboring rights to this software to the public domain worldwide",
+    "epl2-terms": "made available under the terms of the Eclipse Public License 2.0",
+    "bsl1-title": "Boost Software License - Version 1.0",
+    "bsl1-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software",
 }
 
 # Ordered rules: licence, identifiers in their order of appearance; the first match of a licence counts.
@@ -61,8 +74,20 @@ RULES = [
     ("MIT", ["mit-title-2", "mit-grant"]),
     ("MIT", ["mit-grant", "mit-keep", "mit-as-is"]),
     ("GPL-3.0", ["gpl3-notice"]),
-    ("GPL-3.0", ["gpl-free", "gpl3-or-later"]),
-    ("GPL-2.0", ["gpl-free", "gpl2-or-later"]),
+    ("GPL-3.0", ["gpl-free", "gpl-terms", "gpl3-or-later"]),
+    ("GPL-2.0", ["gpl-free", "gpl-terms", "gpl2-or-later"]),
+    ("LGPL-3.0", ["lgpl-terms", "gpl3-or-later"]),
+    ("LGPL-2.1", ["lgpl-terms", "lgpl21-or-later"]),
+    ("AGPL-3.0", ["agpl-terms", "gpl3-or-later"]),
+    ("MPL-2.0", ["mpl2-terms"]),
+    ("ISC", ["isc-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("Unlicense", ["unlicense-notice"]),
+    ("CC0-1.0", ["cc0-title"]),
+    ("CC0-1.0", ["cc0-dedication"]),
+    ("EPL-2.0", ["epl2-terms"]),
+    ("BSL-1.0", ["bsl1-title"]),
+    ("BSL-1.0", ["bsl1-grant"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4-notice"]),
     ("CC-BY-4.0", ["cc-by-4-notice"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4-notice"]),
@@ -73,7 +98,9 @@ RULES = [
 
 #: parts of long sentences, found inside them; all other entries are whole sentences
 PHRASES = {"apache2-notice-long", "apache2-compliance", "apache2-obtain", "apache2-as-is", "mit-grant", "mit-keep", "mit-as-is",
-           "gpl-free", "gpl3-or-later", "gpl2-or-later", "bsd-redistribute", "bsd-source", "bsd-binary", "bsd-names"}
+           "gpl-free", "gpl3-or-later", "gpl2-or-later", "bsd-redistribute", "bsd-source", "bsd-binary", "bsd-names",
+           "gpl-terms", "lgpl-terms", "lgpl21-or-later", "agpl-terms", "mpl2-terms", "isc-grant", "zlib-grant", "cc0-dedication",
+           "epl2-terms", "bsl1-grant"}
 
 #: a sentence's end inside a line becomes CUT; a line end stays
 CUT = "\x01"
@@ -115,9 +142,15 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES, ph
     head = F.substring("_t", F.lit(1), F.length(F.split("_t", found, 2)[0]) + 1)
     cuts = F.length(F.regexp_replace(head, f"[^\n{CUT}]+", "")) - 1
     d = d.select("doc_id", "sentence_ids", F.when(F.size("sentence_ids") > 0, cuts).alias("first_sentence"))
-    # ",a,b," contains the identifiers of a rule in order
-    line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
-    found = [F.when(line.rlike("," + ",(?:.*,)?".join(ids) + ","), F.lit(name)) for name, ids in rules]
+    # one place per rule moves on with every identifier that the rule waits for: linear in the identifiers
+    waits = F.array(*[F.array(*map(F.lit, own)) for _, own in rules])
+
+    def step(places, one):
+        return F.zip_with(places, waits, lambda p, own: p + F.coalesce((F.get(own, p) == one).cast("int"), F.lit(0)))
+
+    places = F.when(F.size("sentence_ids") > 0, F.aggregate("sentence_ids", F.array_repeat(F.lit(0), len(rules)), step))
+    d = d.select("*", places.alias("_p"))
+    found = [F.when(F.get("_p", F.lit(i)) == len(own), F.lit(name)) for i, (name, own) in enumerate(rules)]
     return d.select("doc_id", F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("licenses"),
                     "sentence_ids", F.col("first_sentence").cast("long").alias("first_sentence"))
 

@@ -446,6 +446,46 @@ def test_licenses(spark):
     assert {i for _, ids in RULES for i in ids} <= set(SENTENCES)
 
 
+def test_a_dense_cell_of_vectors_is_joined_in_bounded_memory():
+    """6,000 vectors of one direction: 18 million links counted without a list of pairs."""
+    import tracemalloc
+
+    from tracelake.llm.embeddup import _budgets, join_cell, rotation, split, unite
+    rng = np.random.default_rng(1)
+    n, width, threshold = 6000, 64, 0.95
+    x = np.ones((n, width)) + 0.01 * rng.normal(size=(n, width))
+    y = ((x / np.linalg.norm(x, axis=1)[:, None]) @ rotation(width)).astype(np.float32)
+    parts = split(width, 16)
+    budgets = _budgets(width, parts, threshold)
+    wide = 2 * float(np.sqrt(budgets[0]))
+    home = np.floor(y[:, :2].astype(np.float64) / wide).astype(np.int64)
+    cell = home.max(0)
+    count, label = np.zeros(n, np.int64), np.arange(n)
+    tracemalloc.start()
+    for i, j in join_cell(x, y, np.zeros(n, np.int64), False, 0, parts, budgets, threshold, cell, wide):
+        assert len(i) <= 50_000
+        np.add.at(count, i, 1)
+        np.add.at(count, j, 1)
+        label = unite(label, i, j)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    mine = (home == cell).all(1)  # pairs of points at home in smaller cells meet there
+    assert count[mine].min() == n - 1 and label[mine].max() == 0 and peak < 150 << 20
+
+
+def test_unite_keeps_the_smallest_root():
+    from tracelake.llm.embeddup import unite
+    rng = np.random.default_rng(2)
+    label, comp = np.arange(300), list(range(300))
+    for _ in range(8):
+        i, j = rng.integers(0, 300, 30), rng.integers(0, 300, 30)
+        label = unite(label, i, j)
+        for a, b in zip(i.tolist(), j.tolist()):
+            lo, hi = sorted((comp[a], comp[b]))
+            comp = [lo if c == hi else c for c in comp]
+        assert label.tolist() == comp
+
+
 def test_licence_rules_against_brute_force(spark):
     """Random identifier sequences: a rule holds if its identifiers occur in order."""
     from tracelake.llm.licenses import PHRASES, RULES, SENTENCES, scan

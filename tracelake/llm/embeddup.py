@@ -7,8 +7,8 @@ Each block is a range join: two coordinates of the block make a grid with cells
 as wide as the range, a vector also goes to the next cells it is in range of, and a
 pair meets in the cell of the larger indices.  In a cell block distances give candidates;
 cosines on the original vectors in double precision decide.  A link is counted only in the
-first block whose budget it keeps, so blocks need no common list of pairs: a task returns link
-counts and a spanning forest, never pairs.  Cells over ``block`` vectors are cut into
+first block whose budget it keeps, so blocks need no common list of pairs: a task adds 50,000 pairs at a
+time to link counts and a forest, drops them, and returns counts and forest.  Cells over ``block`` vectors are cut into
 blocks that meet pairwise.  Equal vectors are one class with a weight.
 
 Edge cases: null, zero and non-finite vectors and those of another length than the
@@ -45,9 +45,9 @@ def _budgets(width, parts, threshold):
     return [(2 - 2 * threshold) * (b - a) / width + SLACK for a, b in parts]
 
 
-def join_cell(x, y, side, across, k, parts, budgets, threshold, cell, wide, rows: int = 512):
-    """``i, j`` of the linked pairs of one cell whose home cell and first block this is;
-    ``across``: only pairs of different ``side``."""
+def join_cell(x, y, side, across, k, parts, budgets, threshold, cell, wide, rows: int = 128):
+    """Yield ``i, j`` of the linked pairs of one cell whose home cell and first block this is, at most 50,000 at
+    a time; ``across``: only pairs of different ``side``."""
     a, b = parts[k]
     own = y[:, a:b]
     sq = (own ** 2).sum(1)
@@ -56,7 +56,6 @@ def join_cell(x, y, side, across, k, parts, budgets, threshold, cell, wide, rows
     u, v = np.column_stack([own, sq, one]), np.column_stack([-2 * own, one, sq])
     norm = np.sqrt(row_dots(x, x))
     place = np.floor(y[:, a:min(a + 2, b)].astype(np.float64) / wide).astype(np.int64)
-    found_i, found_j = [], []
     for lo in range(0, len(x), rows):
         hi = min(lo + rows, len(x))
         near = u[lo:hi] @ v[lo:].T <= np.float32(budgets[k] + 1e-4)
@@ -76,10 +75,24 @@ def join_cell(x, y, side, across, k, parts, budgets, threshold, cell, wide, rows
             ok = d[:, a:b].sum(1) <= budgets[k]
             for e, (s0, s1) in enumerate(parts[:k]):
                 ok &= d[:, s0:s1].sum(1) > budgets[e]
-            found_i.append(p[ok])
-            found_j.append(q[ok])
-    cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
-    return cat(found_i), cat(found_j)
+            if ok.any():
+                yield p[ok], q[ok]
+
+
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` (each row's root, the smallest of its tree) after joining the trees of every pair."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, block_dims: int = 16, block: int = 12_000) -> DataFrame:
@@ -130,18 +143,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, block_dims:
         y = np.frombuffer(b"".join(t["y"].to_pylist()), np.float32).reshape(-1, width)
         c, side, w = t["c"].to_numpy(), t["side"].to_numpy(), t["weight"].to_numpy()
         cell = np.array([p, q][:min(2, parts[k][1] - parts[k][0])])
-        i, j = join_cell(x, y, side, key[3].as_py() != key[4].as_py(), k, parts, budgets, threshold, cell, wide[k])
-        count = np.zeros(len(c), np.int64)
-        np.add.at(count, i, w[j])
-        np.add.at(count, j, w[i])
-        label = np.arange(len(c))  # smallest row linked, by rounds of minima
-        while True:
-            before = label.copy()
-            np.minimum.at(label, i, label[j])
-            np.minimum.at(label, j, label[i])
-            label = label[label]
-            if (label == before).all():
-                break
+        count, label = np.zeros(len(c), np.int64), np.arange(len(c))
+        for i, j in join_cell(x, y, side, key[3].as_py() != key[4].as_py(), k, parts, budgets, threshold, cell, wide[k]):
+            np.add.at(count, i, w[j])
+            np.add.at(count, j, w[i])
+            label = unite(label, i, j)
         hit = np.flatnonzero(count)
         return pa.table({"c": pa.array(c[hit]), "links": pa.array(count[hit]), "root": pa.array(c[label[hit]])})
 

@@ -115,7 +115,8 @@ def fit(vectors: DataFrame, width: int, parts: int = 32, k: int = 20, max_sample
     """``(router, probes)`` from at most about ``max_sample`` rows, chosen by id hash."""
     n = vectors.count()
     share = min(1.0, max_sample / max(1, n))
-    sample = vectors if share == 1.0 else vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(21)), F.lit(1_000_000)) < int(1e6 * share))
+    below = -(1 << 63) + int(share * (1 << 64))  # of the whole 64-bit hash: no table is too large for a sample
+    sample = vectors if share == 1.0 else vectors.where(F.xxhash64("vec_id", F.lit(21)) < F.lit(below).cast("long"))
     # a hot vector may fill the sample: equal vectors count once
     got = sample.select("v").distinct().limit(2 * max_sample).toArrow()
     x = matrix(got["v"].combine_chunks(), width) if got.num_rows else np.zeros((0, width))

@@ -156,6 +156,8 @@ def test_pack_sequences_keeps_order_and_drops_remainder(spark):
     flat = [t for r in packed for t in r.input_ids]
     allt = [t for i in range(7) for t in range(i * 10, i * 10 + 5)]
     assert len(packed) == 35 // 4 and flat == allt[:len(flat)]
+    kept = T.pack_sequences(df, 4, n_buckets=1, drop_last=False).orderBy("window").collect()
+    assert [t for r in kept for t in r.input_ids] == allt and [len(r.input_ids) for r in kept] == [4] * 8 + [3]
 
 
 def test_encode_keeps_every_row_and_decodes_back(spark, sf):

@@ -85,8 +85,8 @@ def resolve_tool(calls: DataFrame, registry: DataFrame, name: str = "name") -> D
     the first match wins; none -> status ``error``, ``Tool 'x' not found.``.
 
     The registry is first reduced to one winner per name (``min_by`` on
-    (priority, seq), partial aggregation), then joined -- broadcast only if the
-    reduced registry passed the row check.
+    (priority, seq), partial aggregation), then joined without a hint: adaptive
+    execution decides on its run-time size.
     """
     winners = registry.groupBy(F.col("name").alias("_n")).agg(
         F.min_by("provider", F.struct("priority", "seq")).alias("provider"))
@@ -149,7 +149,7 @@ def validate_args(calls: DataFrame, params: DataFrame, keys=("out_id", "pos"), n
     ``keys, name, n_missing, n_unknown, n_type_errors, n_enum_errors, valid``.
 
     Row-local: each call gets its tool's declared-parameter array through one
-    equi join on the tool name (one row per tool: size-checked, then broadcast),
+    equi join on the tool name (one row per tool; no hint, adaptive execution picks the join),
     and the four checks are array functions over the declared array and the
     call's argument map -- no explode, no outer join, no shuffle of the calls.
     """
@@ -224,8 +224,8 @@ def preselect_tools(prompts: DataFrame, tools: DataFrame, k: int = 3, key: str =
     """Keep, per prompt, the tools sharing the most distinct lower-case words with it
     (``rank() <= k``: ties at the k-th stay; tools with no shared word never).
 
-    Tool words (name split on ``_`` + description) are the small side, checked
-    and broadcast; prompt words are de-duplicated per prompt before the join so a
+    Tool words (name split on ``_`` + description) are the small side, joined
+    without a hint; prompt words are de-duplicated per prompt before the join so a
     hot word costs one row per prompt.  Output ``key, name, overlap, rank``.
     """
     pw = prompts.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))

@@ -36,6 +36,27 @@ BFCL_ABSTAIN_PROMPTS = [
     "What are the primary colors in additive color theory?",
     "Summarize the key differences between TCP and UDP.",
 ]
+# prompts and argument values of the generated cases; %d is the case number, %s a value of the case
+MCP_READ_PROMPT = "Read the contents of 'src/config_%d.json'."
+MCP_READ_PATH = "src/config_%d.json"
+MCP_LIST_PROMPT = "List all files in the directory 'data/split_%d'."
+MCP_LIST_PATH = "data/split_%d"
+MCP_GIT_PROMPT = "Check current git repository status and branch."
+MCP_SQL_PROMPT = "Execute SQL query 'SELECT id, name FROM users WHERE role_id = %d'."
+MCP_SQL_QUERY = "SELECT id, name FROM users WHERE role_id = %d"
+MCP_FETCH_PROMPT = "Fetch the URL 'https://api.internal/metrics/%d'."
+MCP_FETCH_URL = "https://api.internal/metrics/%d"
+MCP_PARAMS_PROMPT = "Search files with pattern '*.py' in 'src/' with recursive=%s and max_depth=%d."
+MCP_PARALLEL_PROMPT = "Simultaneously check the git branch status and list files in 'checkpoints/run_%d'."
+MCP_PARALLEL_PATH = "checkpoints/run_%d"
+MCP_RECOVERY_PROMPT = ("Tool 'read_file' failed with 'FileNotFoundError: %s'. The file is actually located at '%s'. "
+                       "Recover and read the file.")
+MCP_RECOVERY_BAD_PATH = "/invalid/absolute/path_%d.txt"
+MCP_RECOVERY_PATH = "data/path_%d.txt"
+BFCL_SIMPLE_PROMPT = "Fetch weather conditions for San Francisco with unit celsius for day %d."
+BFCL_MULTIPLE_PROMPT = "Convert 500 USD to EUR at current market rates."
+BFCL_PARALLEL_PROMPT = "Check system memory and fetch current CPU temperature concurrently."
+BFCL_RECOVERY_PROMPT = "Fix query: execute_sql failed with Table users_%d does not exist. Available: users."
 # -----------------------------------------------------------------------------
 
 
@@ -61,19 +82,17 @@ def gen_mcp_cases(ids: DataFrame, i: str = "i") -> DataFrame:
     x = F.col(i)
     tool = F.element_at(F.array(*[F.lit(t) for t in MCP_TOOL_CYCLE]), (x % len(MCP_TOOL_CYCLE) + 1).cast("int"))
     empty = F.lit("{}")
-    single_prompt = (F.when(tool == "read_file", F.format_string("Read the contents of 'src/config_%d.json'.", x))
-                     .when(tool == "list_dir", F.format_string("List all files in the directory 'data/split_%d'.", x))
-                     .when(tool == "git_status", F.lit("Check current git repository status and branch."))
-                     .when(tool == "execute_sql", F.format_string(
-                         "Execute SQL query 'SELECT id, name FROM users WHERE role_id = %d'.", x))
-                     .otherwise(F.format_string("Fetch the URL 'https://api.internal/metrics/%d'.", x)))
+    single_prompt = (F.when(tool == "read_file", F.format_string(MCP_READ_PROMPT, x))
+                     .when(tool == "list_dir", F.format_string(MCP_LIST_PROMPT, x))
+                     .when(tool == "git_status", F.lit(MCP_GIT_PROMPT))
+                     .when(tool == "execute_sql", F.format_string(MCP_SQL_PROMPT, x))
+                     .otherwise(F.format_string(MCP_FETCH_PROMPT, x)))
     single_name = F.when(tool.isin("read_file", "list_dir", "git_status", "execute_sql"), tool).otherwise("http_fetch")
-    single_args = (F.when(tool == "read_file", _obj("path", F.format_string("src/config_%d.json", x)))
-                   .when(tool == "list_dir", _obj("path", F.format_string("data/split_%d", x)))
+    single_args = (F.when(tool == "read_file", _obj("path", F.format_string(MCP_READ_PATH, x)))
+                   .when(tool == "list_dir", _obj("path", F.format_string(MCP_LIST_PATH, x)))
                    .when(tool == "git_status", empty)
-                   .when(tool == "execute_sql", _obj("query", F.format_string(
-                       "SELECT id, name FROM users WHERE role_id = %d", x)))
-                   .otherwise(_obj("url", F.format_string("https://api.internal/metrics/%d", x))))
+                   .when(tool == "execute_sql", _obj("query", F.format_string(MCP_SQL_QUERY, x)))
+                   .otherwise(_obj("url", F.format_string(MCP_FETCH_URL, x))))
     single = ids.select(_case_id("single_tool_", x).alias("id"), F.lit(MCP_CATEGORIES[0]).alias("category"),
                         single_prompt.alias("prompt"),
                         F.concat(F.lit("["), _call_json(single_name, single_args), F.lit("]")).alias("expected"),
@@ -83,26 +102,23 @@ def gen_mcp_cases(ids: DataFrame, i: str = "i") -> DataFrame:
     rec_s = F.when(rec, "True").otherwise("False")
     params = ids.select(
         _case_id("param_adherence_", x).alias("id"), F.lit(MCP_CATEGORIES[1]).alias("category"),
-        F.format_string("Search files with pattern '*.py' in 'src/' with recursive=%s and max_depth=%d.",
-                        rec_s, limit).alias("prompt"),
+        F.format_string(MCP_PARAMS_PROMPT, rec_s, limit).alias("prompt"),
         F.concat(F.lit("["), _call_json(F.lit("search_files"), _obj("pattern", F.lit("*.py"), "path", F.lit("src/"),
                                                                     "recursive", rec, "max_depth", limit)),
                  F.lit("]")).alias("expected"),
         F.lit(None).cast("string").alias("error_input"))
     par = ids.select(
         _case_id("parallel_dispatch_", x).alias("id"), F.lit(MCP_CATEGORIES[2]).alias("category"),
-        F.format_string("Simultaneously check the git branch status and list files in 'checkpoints/run_%d'.",
-                        x).alias("prompt"),
+        F.format_string(MCP_PARALLEL_PROMPT, x).alias("prompt"),
         F.concat(F.lit("["), _call_json(F.lit("git_status"), empty), F.lit(","),
-                 _call_json(F.lit("list_dir"), _obj("path", F.format_string("checkpoints/run_%d", x))),
+                 _call_json(F.lit("list_dir"), _obj("path", F.format_string(MCP_PARALLEL_PATH, x))),
                  F.lit("]")).alias("expected"),
         F.lit(None).cast("string").alias("error_input"))
-    bad = F.format_string("/invalid/absolute/path_%d.txt", x)
-    fixed = F.format_string("data/path_%d.txt", x)
+    bad = F.format_string(MCP_RECOVERY_BAD_PATH, x)
+    fixed = F.format_string(MCP_RECOVERY_PATH, x)
     recv = ids.select(
         _case_id("error_recovery_", x).alias("id"), F.lit(MCP_CATEGORIES[3]).alias("category"),
-        F.format_string("Tool 'read_file' failed with 'FileNotFoundError: %s'. The file is actually located at '%s'. "
-                        "Recover and read the file.", bad, fixed).alias("prompt"),
+        F.format_string(MCP_RECOVERY_PROMPT, bad, fixed).alias("prompt"),
         F.concat(F.lit("["), _call_json(F.lit("read_file"), _obj("path", fixed)), F.lit("]")).alias("expected"),
         F.concat(F.lit("FileNotFoundError: "), bad).alias("error_input"))
     return single.unionByName(params).unionByName(par).unionByName(recv)
@@ -121,20 +137,20 @@ def gen_bfcl_cases(ids: DataFrame, i: str = "i") -> DataFrame:
     cols = ["id", "category", "query", "tools", "expected", "should_call"]
     simple = ids.select(
         _case_id("bfcl_simple_", x), F.lit(BFCL_CATEGORIES[0]),
-        F.format_string("Fetch weather conditions for San Francisco with unit celsius for day %d.", x % 7),
+        F.format_string(BFCL_SIMPLE_PROMPT, x % 7),
         _tools_json("get_weather", params='{"city":"str","unit":"str","day":"int"}'),
         F.concat(F.lit("["), _call_json(F.lit("get_weather"), _obj("city", F.lit("San Francisco"), "unit",
                                                                    F.lit("celsius"), "day", x % 7)), F.lit("]")),
         F.lit(True)).toDF(*cols)
     multiple = ids.select(
-        _case_id("bfcl_multiple_", x), F.lit(BFCL_CATEGORIES[1]), F.lit("Convert 500 USD to EUR at current market rates."),
+        _case_id("bfcl_multiple_", x), F.lit(BFCL_CATEGORIES[1]), F.lit(BFCL_MULTIPLE_PROMPT),
         _tools_json(*BFCL_TOOL_POOL),
         F.concat(F.lit("["), _call_json(F.lit("convert_currency"), _obj("amount", F.lit(500), "from", F.lit("USD"),
                                                                         "to", F.lit("EUR"))), F.lit("]")),
         F.lit(True)).toDF(*cols)
     parallel = ids.select(
         _case_id("bfcl_parallel_", x), F.lit(BFCL_CATEGORIES[2]),
-        F.lit("Check system memory and fetch current CPU temperature concurrently."),
+        F.lit(BFCL_PARALLEL_PROMPT),
         _tools_json("get_memory_usage", "get_cpu_temp"),
         F.lit('[{"name":"get_memory_usage","arguments":{}},{"name":"get_cpu_temp","arguments":{}}]'),
         F.lit(True)).toDF(*cols)
@@ -144,7 +160,7 @@ def gen_bfcl_cases(ids: DataFrame, i: str = "i") -> DataFrame:
         _tools_json("database_execute", "reboot_server"), F.lit(None).cast("string"), F.lit(False)).toDF(*cols)
     recovery = ids.select(
         _case_id("bfcl_error_recovery_", x), F.lit(BFCL_CATEGORIES[4]),
-        F.format_string("Fix query: execute_sql failed with Table users_%d does not exist. Available: users.", x),
+        F.format_string(BFCL_RECOVERY_PROMPT, x),
         _tools_json("execute_sql"),
         F.lit('[{"name":"execute_sql","arguments":{"query":"SELECT * FROM users"}}]'), F.lit(True)).toDF(*cols)
     return simple.unionByName(multiple).unionByName(parallel).unionByName(abstain).unionByName(recovery)

@@ -280,10 +280,10 @@ def shift_pairs(rows: DataFrame, ids: str = "input_ids", labels: str = "labels")
 
 
 def pack_sequences(rows: DataFrame, length: int, key: str = "idx", ids: str = "input_ids", n_buckets: int = 64,
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, drop_last: bool = True) -> DataFrame:
     """Concatenate token rows (per hash bucket, in key order) and cut into full windows
-    of ``length``; the remainder of each bucket is dropped.  ``bucket, window,
-    input_ids``.
+    of ``length``; the remainder of each bucket is dropped, or with ``drop_last=False`` kept as
+    a shorter last window.  ``bucket, window, input_ids``.
 
     Offsets come from the bucketed running sum of row lengths (skew-safe).  A
     row is cut into the few slices that fall into distinct windows (at most
@@ -305,4 +305,4 @@ def pack_sequences(rows: DataFrame, length: int, key: str = "idx", ids: str = "i
     p = s.select("bucket", "window", (lo - F.col("window") * length).alias("_start"), piece.alias("_piece"))
     w = p.groupBy("bucket", "window").agg(F.array_sort(F.collect_list(F.struct("_start", "_piece"))).alias("_w"))
     out = w.select("bucket", "window", F.flatten(F.transform("_w", lambda x: x["_piece"])).alias("input_ids"))
-    return out.where(F.size("input_ids") == length)
+    return out.where(F.size("input_ids") == length) if drop_last else out

@@ -213,3 +213,15 @@ def test_unicode_white_space_and_typed_rejection(spark):
     rows = [(1, '{"name":"a","n":5}'), (2, '{"name":"a","n":"xx"}'), (3, '{"name":null,"n":5}'), (4, '{"name":"a","n":null}'), (5, '{"n":5}')]
     df = spark.createDataFrame(rows, "out_id long, text string")
     assert {r.out_id: r.valid for r in parse_structured(df, schema, ["name"]).collect()} == {1: True, 2: False, 3: False, 4: True, 5: False}
+
+
+def test_request_bodies_follow_content_length(spark):
+    from tracelake.operators.rpc import json_dead_letter, request_bodies
+    post = "POST /v1/chat/completions HTTP/1.1\r\n"
+    rows = [(1, post + 'Content-Length: 8\r\n\r\n{"a": 1}GET / HTTP/1.1'), (2, post + 'X-Content-Length: 3\r\nCONTENT-LENGTH:\t2 \r\nHost: h\r\n\r\n{}'),
+            (3, post + "Host: h\r\n\r\n{}"), (4, post + 'Content-Length: 20\r\n\r\n{"a": 1'), (5, post + "Content-Length: x\r\n\r\n{}"),
+            (6, post + 'Content-Length: 4\r\n\r\n"é"'), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "id long, request string")
+    got = {r.id: (r.body, r.valid) for r in json_dead_letter(request_bodies(df)).collect()}
+    assert got[1] == ('{"a": 1}', True) and got[2] == ("{}", True) and got[3] == ("", False) and got[4] == ('{"a": 1', False)
+    assert got[5] == ("", False) and got[6] == ('"é"', True) and got[7][0] is None and got[8] == ("", False)

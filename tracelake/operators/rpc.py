@@ -56,6 +56,19 @@ def rpc_replies(lines: DataFrame, line: str = "line") -> DataFrame:
                                       F.to_json(F.try_variant_get("_v", "$.result", "variant")).alias("result"))
 
 
+def request_bodies(requests: DataFrame, request: str = "request", body: str = "body") -> DataFrame:
+    """Raw HTTP requests -> their bodies: as many bytes behind the blank line as ``Content-Length`` says (any case, none
+    or no number: 0), read as UTF-8; bytes that are none become U+FFFD.  What follows them belongs to no body.
+    ``request`` (string or binary) is replaced by ``body``; row-local, so the same in a stream."""
+    raw = F.col(request).cast("binary")
+    head = F.substring_index(F.decode(raw, "ISO-8859-1"), "\r\n\r\n", 1)  # one character for each byte
+    n = F.regexp_extract(head, "(?i)\r\ncontent-length:[ \t]*([0-9]{1,9})[ \t]*(?:\r\n|$)", 1)
+    size = F.coalesce(F.nullif(n, F.lit("")).cast("int"), F.lit(0))
+    own = F.substring(raw, F.length(head) + 5, size)
+    rest = [c for c in requests.columns if c != request]
+    return requests.select(*rest, F.make_valid_utf8(own.cast("string")).alias(body))
+
+
 def json_dead_letter(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Every body with ``valid``, ``status_code`` (200 / 400) and the rejection message.
 

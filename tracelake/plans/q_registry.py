@@ -260,7 +260,11 @@ def q_rpc_correlate(spark, sf):
        + """SELECT body_id, body, json_valid(body) AS valid, CASE WHEN json_valid(body) THEN 200 ELSE 400 END AS status_code,
   CASE WHEN NOT json_valid(body) THEN 'Invalid JSON body' END AS message FROM b""")
 def q_json_dead_letter(spark, sf):
-    return P.json_dead_letter(fx.bodies(spark, sf)).drop("ts")
+    """Bodies arrive in raw requests, some with bytes of the next one behind them."""
+    b = fx.bodies(spark, sf).select("body_id", F.expr(
+        "concat('POST /v1/chat/completions HTTP/1.1\\r\\nHost: h\\r\\ncontent-length: ', octet_length(body), '\\r\\n\\r\\n', body, "
+        "CASE WHEN body_id % 2 = 0 THEN 'GET / HTTP/1.1\\r\\n' ELSE '' END) AS request"))
+    return P.json_dead_letter(P.request_bodies(b))
 
 
 RESOLVE_SQL = ("'/' || array_to_string(list_reduce(string_split(CASE WHEN starts_with(path, '/') THEN path "

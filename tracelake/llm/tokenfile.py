@@ -60,7 +60,7 @@ def repair(ids: np.ndarray, bounds: np.ndarray, min_count: int = 4, min_gain: fl
             break
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         counts = np.diff(np.append(first, len(keys)))
-        floor = max(min_count, int(counts.max()) // 8)
+        floor = max(min_count, int(counts.max()) // 16)
         often = np.flatnonzero(counts >= floor)
         if not len(often):
             break

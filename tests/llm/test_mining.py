@@ -156,6 +156,20 @@ def test_patterns_of_seeds_find_unseen_identifiers(spark):
     assert got[14].n_card == 1 and got[14].n_added == 0
 
 
+def test_strings_of_no_kind_need_stronger_patterns(spark):
+    few = [(i, f"{i} text, my mail is user{i}@example.com thanks") for i in range(3)]
+    many = [(100 + i, f"{i} text, reach us under +1 (3{i:02d}) 555-0{i:03d} always") for i in range(20)]
+    texts = few + many + [(50, "x my mail is KD-48213 thanks"), (51, "x reach us under KD-48213 always"), (52, "y KD-99120 of stock"),
+                          (53, "z reach us under monday always")]
+    got = found(spark, texts)
+    t = dict(texts)
+    assert got[51].spans == f"phone:{t[51].index('KD')}:{t[51].index(' always')}"
+    assert got[50].n_added == 1  # the same value elsewhere
+    assert got[52].n_added == 0 and got[53].n_added == 0
+    alone = found(spark, few + [(50, "x my mail is KD-48213 thanks")])
+    assert alone[50].n_added == 0
+
+
 def test_pii_edge_cases(spark):
     long = "word " * 100_000 + "a@b.cd"
     df = spark.createDataFrame([(1, None), (2, ""), (None, "x a@b.cd"), (3, long), (3, long), (3, "1.2.3.4")], "doc_id long, text string")

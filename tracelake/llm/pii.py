@@ -11,7 +11,8 @@
    instances of the kind by the number of its different followers plus one; an instance scores one minus
    the product of its patterns' doubts.  Only patterns of ``min_conf`` and of ``min_seeds`` instances count; an
    instance of ``accept`` or more takes part in the next round and is found wherever its shape fits,
-   as is any seed value that the base forms passed over (say, two cards side by side).
+   as is any seed value that the base forms passed over (say, two cards side by side).  A string whose shape fits no
+   kind (a customer number in a place where others give their phone) needs one pattern of ``accept_loose``.
 
 Values and patterns count once however often they are copied.  Patterns and instances stay in Spark
 tables; nothing that grows with the corpus reaches the driver.
@@ -132,10 +133,18 @@ def _normal(kind: int, s: str) -> str:
     return s.lower() if kind == EMAIL else s if kind == IP else _NOT_DIGIT.sub("", s)
 
 
+#: the shape is that of no kind, but it may be an identifier
+LOOSE = 1 << 4
+
+
 def _mask(digits: int) -> int:
     return (1 << PHONE if 7 <= digits <= 15 else 0) | (1 << CARD if 13 <= digits <= 19 else 0)
 
 
+def _loose(core: str) -> int:
+    return LOOSE if len(core) <= 64 and sum(map(core.count, "0123456789")) >= 4 else 0
+
+
 def _others(text: str, base: list) -> list[tuple[int, int, int, str]]:
     """``(start, end, mask of allowed kinds, normal form)`` of identifier-like strings that touch no base span."""
     taken = sorted((s, e) for _, s, e in base)
@@ -155,7 +164,7 @@ def _others(text: str, base: list) -> list[tuple[int, int, int, str]]:
         if numbers and _mask(len(whole)):
             found.append((numbers[0][0], numbers[-1][1], _mask(len(whole)), whole))
         else:
-            found.extend((s, e, _mask(len(d)), d) for (s, e, _), d in zip(numbers, digits))
+            found.extend((s, e, _mask(len(d)) or _loose(d), d) for (s, e, _), d in zip(numbers, digits))
         numbers.clear()
 
     i = 0
@@ -193,7 +202,7 @@ def _others(text: str, base: list) -> list[tuple[int, int, int, str]]:
             if len(core) <= 64 and (_FOUR.fullmatch(core) or _COLONS.fullmatch(core.lower())):
                 mask = 1 << IP
             else:
-                mask = 1 << EMAIL if "@" in core[1:-1] and len(core) <= 254 else 0
+                mask = 1 << EMAIL if "@" in core[1:-1] and len(core) <= 254 else _loose(core)
             found.append((s, e, mask, core.lower()))
     flush()
     return found
@@ -284,7 +293,12 @@ def _followers(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     return found.join(contexts, "ctx", "left_semi")
 
 
-def instances(docs: DataFrame, scanned: DataFrame, min_seeds: int, min_conf: float, accept: float, rounds: int) -> DataFrame:
+def _fits():
+    return (F.expr("shiftright(mask, kind) & 1") == 1) | (F.col("mask") == LOOSE)
+
+
+def instances(docs: DataFrame, scanned: DataFrame, min_seeds: int, min_conf: float, accept: float, accept_loose: float,
+              rounds: int) -> DataFrame:
     """``inst, kind, score``: the seeds (score 1) and what the graph of patterns and instances accepts."""
     occ = scanned.where(F.size("seen") > 0).select(F.explode("seen").alias("x")).select("x.*")
     edges = occ.select(F.explode(F.array("c1", "c2")).alias("ctx"), "inst", "seed", "mask").distinct()
@@ -306,9 +320,10 @@ def instances(docs: DataFrame, scanned: DataFrame, min_seeds: int, min_conf: flo
         p = p.join(sizes, "ctx").select("ctx", "kind", "m", (F.col("f") / (F.col("n") + 1)).alias("conf"))
         p = p.where((F.col("conf") >= min_conf) & (F.col("m") >= min_seeds))
         doubt = F.sum(F.log(1 - F.col("conf")))
-        fits = F.expr("shiftright(mask, kind) & 1") == 1
-        new = open_.join(p, "ctx").where(fits).groupBy("inst", "kind").agg((1 - F.exp(doubt)).alias("score"))
-        new = materialise(new.where(F.col("score") >= accept).join(seeds, ["inst", "kind"], "left_anti"), "pii-scores")
+        new = open_.join(p, "ctx").where(_fits()).groupBy("inst", "kind").agg(
+            (1 - F.exp(doubt)).alias("score"), F.max("conf").alias("best"), F.min("mask").alias("mask"))
+        enough = F.when(F.col("mask") == LOOSE, F.col("best") >= accept_loose).otherwise(F.col("score") >= accept)
+        new = materialise(new.where(enough).join(seeds, ["inst", "kind"], "left_anti"), "pii-scores")
         scores = seeds.unionByName(new.select("inst", "kind", "score"))
         now = new.count()
         if now == known:
@@ -317,17 +332,17 @@ def instances(docs: DataFrame, scanned: DataFrame, min_seeds: int, min_conf: flo
     return scores
 
 
-def find(docs: DataFrame, min_seeds: int = 2, min_conf: float = 0.5, accept: float = 0.5, rounds: int = 4) -> DataFrame:
+def find(docs: DataFrame, min_seeds: int = 2, min_conf: float = 0.5, accept: float = 0.5, accept_loose: float = 0.75,
+         rounds: int = 4) -> DataFrame:
     """One row per document: ``doc_id, n_email, n_ip, n_card, n_phone`` and ``base_sha256`` of the base spans,
     ``spans`` with the added ones, ``n_added``.  A span is ``kind:start:end`` in code points."""
     small_batches(docs.sparkSession)
     scanned = materialise(_scan(docs), "pii-scan")
-    accepted = instances(docs, scanned, min_seeds, min_conf, accept, rounds)
+    accepted = instances(docs, scanned, min_seeds, min_conf, accept, accept_loose, rounds)
     loose = F.filter("seen", lambda x: (x["seed"] < 0) & (x["mask"] > 0))
     texts = scanned.where(F.col("text_key").isNotNull()).select("text_key", loose.alias("seen"))
     occ = texts.select("text_key", F.explode("seen").alias("x")).select("text_key", "x.s", "x.e", "x.inst", "x.mask").distinct()
-    fits = F.expr("shiftright(mask, kind) & 1") == 1
-    hits = occ.join(accepted, "inst").where(fits)
+    hits = occ.join(accepted, "inst").where(_fits())
     best = F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b")
     hits = hits.groupBy("text_key", "s", "e").agg(best).select("text_key", F.struct((-F.col("b.k")).alias("k"), "s", "e").alias("x"))
     added = materialise(hits.groupBy("text_key").agg(F.collect_list("x").alias("added")), "pii-added")

@@ -111,9 +111,16 @@ class Router:
         return cls(*p)
 
 
-def fit(vectors: DataFrame, width: int, parts: int = 32, k: int = 20, max_sample: int = 12_000, recall: float = 0.97):
-    """``(router, probes)`` from at most about ``max_sample`` rows, chosen by id hash."""
+def fit(vectors: DataFrame, width: int, parts: int | None = None, k: int = 20, max_sample: int = 12_000, recall: float = 0.97):
+    """``(router, probes)`` from at most about ``max_sample`` rows, chosen by id hash.
+
+    ``parts`` by default follows the table: 32 up to 131,072 rows, then twice as many whenever the
+    table doubles, as long as the sample has 64 rows for each."""
     n = vectors.count()
+    if parts is None:
+        parts = 32
+        while parts * 4096 < n and parts * 64 < max_sample:
+            parts *= 2
     share = min(1.0, max_sample / max(1, n))
     below = -(1 << 63) + int(share * (1 << 64))  # of the whole 64-bit hash: no table is too large for a sample
     sample = vectors if share == 1.0 else vectors.where(F.xxhash64("vec_id", F.lit(21)) < F.lit(below).cast("long"))
@@ -138,7 +145,7 @@ def fit(vectors: DataFrame, width: int, parts: int = 32, k: int = 20, max_sample
     return router, probes
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, parts: int = 32, max_sample: int = 12_000,
+def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, parts: int | None = None, max_sample: int = 12_000,
            recall: float = 0.97, block: int = 8192) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest of ``embeddings`` found for each row of ``queries``."""
     base = doubles(embeddings)

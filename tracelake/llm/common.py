@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from contextlib import contextmanager
@@ -14,7 +15,7 @@ from tracelake.session import checkpoint_dir
 
 
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -85,6 +86,20 @@ def worker_cache(owner: str) -> dict:
     return _WORKER[owner]
 
 
+def tidy(fn):
+    """An Arrow function that gives its freed memory back when its task ends: workers stay for later stages, and
+    what the C library keeps of large arrays would count against the executor."""
+
+    @functools.wraps(fn)
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def give_back() -> None:
     """Freed memory goes back to the system (where the C library offers it)."""
     import ctypes
@@ -172,7 +187,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b"))
-    e = materialise(e.mapInArrow(forest, "a long, b long").distinct(), "cc")
+    e = materialise(e.mapInArrow(tidy(forest), "a long, b long").distinct(), "cc")
     seen = state(e)
     for _ in range(max_rounds):
         if not seen[0]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.bytewords import mix, text_chunks, word_hashes
-from tracelake.llm.common import connected_components, materialise, worker_cache
+from tracelake.llm.common import connected_components, materialise, tidy, worker_cache
 
 SKETCH_BITS = 512
 _MUL = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -116,7 +116,7 @@ def common_shingles(docs: DataFrame, n: int, share: float, max_common: int, part
                     held, size, texts = [], 0, 0
         yield out()
 
-    top = (docs.select("text").mapInArrow(count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
+    top = (docs.select("text").mapInArrow(tidy(count), "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
            .orderBy(F.desc("c"), "s").limit(max_common).toArrow())  # at most max_common rows
     return top["s"].to_numpy().view(np.uint64)[::-1].copy()
 
@@ -152,7 +152,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray)
                  pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)), pa.array(x, pa.binary())],
                 names=["doc_id", "c", "n", "prefix", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(sign), schema)
 
 
 FINE = 512
@@ -244,7 +244,7 @@ def star_candidates(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> Da
                                bits_apart(_sketches(b.column(4)), _sketches(b.column(5))), num, den)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    return j.mapInArrow(keep, "a long, b long")
+    return j.mapInArrow(tidy(keep), "a long, b long")
 
 
 def region_candidates(regions: DataFrame, num: int, den: int, max_pairs: int = 100_000, leaf: int = 64) -> DataFrame:
@@ -316,7 +316,7 @@ def region_candidates(regions: DataFrame, num: int, den: int, max_pairs: int = 1
 
     cols = ["s", "i", "j", "side", "c", "comp", "n", "sketch"]
     return (regions.select(*cols).repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
-            .mapInArrow(join, "a long, b long").distinct())
+            .mapInArrow(tidy(join), "a long, b long").distinct())
 
 
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, bits: int = 22) -> DataFrame:
@@ -361,7 +361,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
 
     # one shuffle of the sets by class; what only passed the filter by chance goes there as well
     sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        classes, "c long, n int, f binary, set binary")
+        tidy(classes), "c long, n int, f binary, set binary")
     sets = sets.join(wanted.select("c"), "c", "left_semi").dropDuplicates(["c"])
     sets = materialise(sets, "sets")
 
@@ -377,7 +377,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
     # sketches travel with every pair, whole sets only with the pairs that they leave
     f, sets = sets.select("c", "n", "f"), sets.select("c", "set")
     pairs = (pairs.join(f.toDF("a", "na", "fa"), "a").join(f.toDF("b", "nb", "fb"), "b")
-             .select("a", "b", "na", "nb", "fa", "fb").mapInArrow(near, "a long, b long"))
+             .select("a", "b", "na", "nb", "fa", "fb").mapInArrow(tidy(near), "a long, b long"))
     j = (pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb"))
 
     def exact(batches):
@@ -391,7 +391,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return j.mapInArrow(exact, "a long, b long")
+    return j.mapInArrow(tidy(exact), "a long, b long")
 
 
 def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, common_share: float = 0.001,
@@ -438,7 +438,7 @@ def set_sizes(docs: DataFrame, n: int) -> DataFrame:
                 out[k] = len(s)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["doc_id", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(size, "doc_id long, n int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(size), "doc_id long, n int")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.bytewords import mix, span_hashes, words
-from tracelake.llm.common import materialise, small_side, worker_cache
+from tracelake.llm.common import materialise, small_side, tidy, worker_cache
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -89,7 +89,7 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
                                              names=["doc", "content", "leaf", "line", "n", "nameless"])
 
     return docs.select(*_doc(), F.col("text").cast("string")).mapInArrow(
-        parse, "doc long, content long, leaf long, line long, n int, nameless boolean")
+        tidy(parse), "doc long, content long, leaf long, line long, n int, nameless boolean")
 
 
 def _tokens(docs: DataFrame, leaves: DataFrame, depth: int, min_tokens: int, bits: int = 22) -> DataFrame:
@@ -125,7 +125,7 @@ def _tokens(docs: DataFrame, leaves: DataFrame, depth: int, min_tokens: int, bit
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()),
                                               pa.array(c[2], pa.list_(pa.int64()))], names=["leaf", "line", "tokens"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(parse, "leaf long, line long, tokens array<long>")
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(tidy(parse), "leaf long, line long, tokens array<long>")
     return rows.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
 
 
@@ -194,4 +194,4 @@ def drop_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: i
                                              names=[*kept, "n_lines", "dropped"])
 
     fields = ", ".join(f"`{c}` {'string' if c == 'text' else docs.schema[c].dataType.simpleString()}" for c in kept)
-    return j.mapInArrow(cut, f"{fields}, n_lines int, dropped array<int>")
+    return j.mapInArrow(tidy(cut), f"{fields}, n_lines int, dropped array<int>")

@@ -20,6 +20,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import tidy
 from tracelake.llm.wordids import default_path, encoder
 
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -74,7 +75,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, max_len
                     rows, held = [], 0
             yield batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(cut), schema)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

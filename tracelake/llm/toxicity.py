@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.bytewords import mix
-from tracelake.llm.common import materialise, worker_cache
+from tracelake.llm.common import materialise, tidy, worker_cache
 
 #: characters that stand between words, besides white space
 BREAKS = {ord(c): " " for c in "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~¡¿«»„“”…–—"}
@@ -73,7 +73,7 @@ def word_counts(train: DataFrame, flush: int = 300_000) -> DataFrame:
                     yield out()
         yield out()
 
-    parts = train.select("text", "toxic").mapInArrow(count, "word string, c0 long, c1 long")
+    parts = train.select("text", "toxic").mapInArrow(tidy(count), "word string, c0 long, c1 long")
     return parts.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
@@ -106,7 +106,7 @@ def ngram_counts(words: DataFrame, order: int, flush: int = 300_000) -> DataFram
                         yield out()
         yield out()
 
-    return (words.mapInArrow(count, "gram string, c0 long, c1 long").groupBy("gram")
+    return (words.mapInArrow(tidy(count), "gram string, c0 long, c1 long").groupBy("gram")
             .agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
 
 
@@ -134,7 +134,7 @@ def _hashed(rows: DataFrame, order: int) -> DataFrame:
                 h[sizes == n] = by[n - 1][ends[sizes == n]]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1)], names=["h", "v"])
 
-    return rows.mapInArrow(apply, "h long, v float")
+    return rows.mapInArrow(tidy(apply), "h long, v float")
 
 
 def _table(rows: DataFrame, order: int):
@@ -309,7 +309,7 @@ def train(docs: DataFrame, labels: DataFrame, order: int = 6, shared_order: int
 
     share = min(1.0, max_curve / max(1, min(n, max_labelled) // 5))
     curve = rows.where("curve").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1e6 * share))
-    got = curve.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").toArrow()  # <= max_curve rows
+    got = curve.select("text", "toxic").mapInArrow(tidy(measure), "x array<double>, toxic int").toArrow()  # <= max_curve rows
     shared.unpersist()
     y = got["toxic"].to_numpy().astype(float)
     if 0 < y.sum() < len(y):
@@ -334,7 +334,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                                              names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(
-        apply, "doc_id long, held_out boolean, score double, predicted int")
+        tidy(apply), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _loaded(shared) -> Model:
@@ -358,4 +358,4 @@ def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
         for b in batches:
             yield b.filter(pa.array([v < threshold for v in m.scores(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

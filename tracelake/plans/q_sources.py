@@ -51,14 +51,14 @@ def q_scan_jsonl_text(spark, sf):
 NEWLINES = "replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 
 
-@query("scan_files_text", f"""SELECT page_id // 256 AS bucket, CAST(sum(length({NEWLINES}) + 1) AS BIGINT) AS n_chars, CAST(sum(length({NEWLINES}) - length(replace({NEWLINES}, chr(10), '')) + 1) AS BIGINT)
+@query("scan_files_text", f"""SELECT page_id // 1024 AS bucket, CAST(sum(length({NEWLINES}) + 1) AS BIGINT) AS n_chars, CAST(sum(length({NEWLINES}) - length(replace({NEWLINES}, chr(10), '')) + 1) AS BIGINT)
   AS n_lines FROM pages GROUP BY 1""")
 def q_scan_files_text(spark, sf):
-    """Pages written as text files, as many as the table has partitions in each folder of 256 pages, and read back."""
+    """Pages written as one text file for each 1,024 of them, however many there are, and read back by byte ranges."""
     pages = table(spark, sf, "pages")
     out = scratch(spark, "files")
-    (pages.select(F.col("html").alias("value"), F.expr("page_id div 256").alias("bucket"))
-     .write.partitionBy("bucket").text(out))
+    (pages.select(F.col("html").alias("value"), F.expr("page_id div 1024").alias("bucket"))
+     .repartition("bucket").write.partitionBy("bucket").text(out))
     t = FS.scan_files_text(spark, out, glob="*.txt")
     own = F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long").alias("bucket")
     return t.groupBy(own).agg(F.sum(F.length("text")).cast("long").alias("n_chars"),

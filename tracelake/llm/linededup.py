@@ -37,15 +37,17 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 VOTE = 1 << 24
 
 
-def line_table(text: str, depth: int, min_tokens: int):
+def line_table(text: str, depth: int, min_tokens: int, with_tokens: bool = False, with_content: bool = False):
     """``line number, leaf, line hash, placed token hashes, tokens`` of the lines that can be dropped,
-    and a hash of the whole text's token sequence."""
+    and a hash of the whole text's token sequence (placed hashes and this one only if asked for)."""
     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
     bounds = np.concatenate([[0], np.flatnonzero(raw == 10) + 1, [len(raw)]])
     starts, ends, line = words(raw, bounds)
     h = span_hashes(raw, starts, ends)
-    at = np.arange(1, len(h) + 1, dtype=np.uint64)
-    content = mix(mix(h ^ at * _STEP).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
+    content = None
+    if with_content:
+        at = np.arange(1, len(h) + 1, dtype=np.uint64)
+        content = mix(mix(h ^ at * _STEP).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
     h = np.where(digits[ends] > digits[starts], VARIABLE, h)
     count = np.bincount(line, minlength=len(bounds) - 1)
@@ -57,7 +59,8 @@ def line_table(text: str, depth: int, min_tokens: int):
     a, n = first[pick], count[pick]
     leaf = mix(acc[a + np.minimum(n, depth)] - acc[a] + n.astype(np.uint64) * _STEP)
     whole = mix(acc[a + n] - acc[a] + n.astype(np.uint64))
-    return pick, leaf, whole, [placed[x:x + k] for x, k in zip(a.tolist(), n.tolist())], n, content
+    tokens = [placed[x:x + k] for x, k in zip(a.tolist(), n.tolist())] if with_tokens else None
+    return pick, leaf, whole, tokens, n, content
 
 
 def _doc():
@@ -77,7 +80,7 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
             for k, t in enumerate(b.column(2)):
                 t = t.as_py()
                 if t:
-                    _, leaf, whole, _, n, content = line_table(t, depth, min_tokens)
+                    _, leaf, whole, _, n, content = line_table(t, depth, min_tokens, with_content=True)
                     out[0].append(np.full(len(n), ids[k], np.int64))
                     out[1].append(np.repeat(content, len(n)).view(np.int64))
                     out[2].append(leaf.view(np.int64))
@@ -111,7 +114,7 @@ def _tokens(docs: DataFrame, leaves: DataFrame, depth: int, min_tokens: int, bit
                 t = t.as_py()
                 if not t:
                     continue
-                _, leaf, whole, tokens, *_ = line_table(t, depth, min_tokens)
+                _, leaf, whole, tokens, *_ = line_table(t, depth, min_tokens, with_tokens=True)
                 p = np.mod(leaf.view(np.int64), 1 << bits)
                 for k in np.flatnonzero((table[p // 64] >> (p % 64)) & 1):
                     w = int(whole[k])

@@ -122,6 +122,27 @@ def test_session_closes_on_its_end_chunk_counts_chunks_once_and_sends_late_ones_
     assert [tuple(r) for r in late_chunks(got).collect()] == [(1, 4, "late")]
 
 
+def test_sessions_of_one_group_keep_their_own_deadlines(spark):
+    """One Python call takes many sessions: each closes, stays known and is forgotten as if it were alone."""
+    t = "2024-01-01 00:0"
+    rows = [(i, 0, f"{t}0:0{i}", f"a{i}", None, 0) for i in range(1, 5)]
+    rows += [(1, 1, f"{t}0:05", "", "stop", 0), (3, 1, f"{t}0:30", "b3", None, 0),
+             (8, 0, f"{t}0:55", "x", None, 1),                                 # watermark 00:35: 2 and 4 fall silent
+             (3, 2, f"{t}0:56", "c3", None, 2), (2, 1, f"{t}0:57", "late", None, 2), (1, 2, f"{t}0:58", "late", None, 2),
+             (9, 0, f"{t}5:00", "", None, 3), (9, 1, f"{t}5:01", "", None, 4)]
+    df = _chunks(spark, rows)
+    got = {}
+    for groups in (1, 1000):
+        src, sink = scratch(spark, "group-src"), scratch(spark, "group-sink")
+        plan = lambda s: session_texts(s, watermark="20 seconds", groups=groups)
+        out = _stream(spark, df, src, sink, plan, [f"step = {i}" for i in range(5)])
+        got[groups] = sorted(map(tuple, out.drop("ts", "session_start").collect()))
+        assert {(r.id, r.text, r.n_chunks) for r in assembled(out).where("id < 8").collect()} == {
+            (1, "a1", 2), (2, "a2", 1), (3, "a3b3c3", 3), (4, "a4", 1)}
+        assert sorted(tuple(r) for r in late_chunks(out).collect()) == [(1, 2, "late"), (2, 1, "late")]
+    assert got[1] == got[1000]
+
+
 def test_any_chunking_gives_the_events_of_the_whole_text():
     rng = random.Random(4)
     bits = [*SPECIAL_TOKENS[4:12], "a", "<", "<|", "|>", "{}", "\n", "<|tool_call_", ""]

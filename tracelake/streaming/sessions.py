@@ -2,7 +2,10 @@
 
 Chunks are rows ``(id, chunk_seq, ts, content, finish_reason)``; ``finish_reason`` (may be absent) is set on the end
 chunk.  Per id the state holds the next place, chunks that came before their turn, and the segmentation of what is
-in order so far; it is one JSON string, bounded by the id's own text.
+in order so far, bounded by the id's own text; of a closed id only what tells late chunks.  Python is called once for each
+of ``groups`` hash groups of ids that a batch touches, since a call costs milliseconds and a session microseconds; a
+group's state is one JSON string with a deadline for each id.  ``groups`` must stay the same over restarts of a stream;
+it should be a small part of the ids open at a time and a multiple of the shuffle partitions.
 
 * A repeated chunk (same place) counts once.
 * The session closes when all chunks up to the end chunk are there, or, without one, when the watermark passes
@@ -20,6 +23,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,16 +109,18 @@ def advance(s: dict, chunks: list[tuple[int, str, int, bool]], close: bool = Fal
             s["early"].setdefault(str(place), content)
     if s["closed"]:
         return
+    ready = []  # feeding them at once gives the same events as one by one
     while str(s["next"]) in s["early"] and (s["end"] is None or s["next"] <= s["end"]):
-        yield from take(s, s["early"].pop(str(s["next"])))
+        ready.append(s["early"].pop(str(s["next"])))
         s["next"] += 1
-        s["n"] += 1
     done = s["end"] is not None and s["next"] > s["end"]
     if close and not done:
         for place in sorted(map(int, s["early"])):
-            yield from take(s, s["early"].pop(str(place)))
+            ready.append(s["early"].pop(str(place)))
             s["next"] = place + 1
-            s["n"] += 1
+    if ready:
+        s["n"] += len(ready)
+        yield from take(s, "".join(ready))
     if close or done:
         yield from take(s, "", final=True)
         for place in sorted(map(int, s["early"])):  # behind the end chunk
@@ -124,52 +131,77 @@ def advance(s: dict, chunks: list[tuple[int, str, int, bool]], close: bool = Fal
 _OUT = "id long, phase int, seq int, type string, content string, at long, n_chunks int, first long"
 
 
-def _run(chunks: DataFrame, key: str, idle: int, remember: int, watermark: str, take) -> DataFrame:
-    def step(k, frames, state):
+_KEPT = ("next", "n", "first", "last", "due")  # of a closed session
+
+
+def _run(chunks: DataFrame, key: str, idle: int, remember: int, watermark: str, take, groups: int) -> DataFrame:
+    def step(_, frames, state):
         import pandas as pd
 
-        s = json.loads(state.get[0]) if state.exists else new_session()
-        was_closed = s["closed"]
-        if state.hasTimedOut:
-            if was_closed:
-                state.remove()
-                return
-            rows = list(advance(s, [], close=True, take=take))
-        else:
-            arrived = []
+        opened, closed = json.loads(state.get[0]) if state.exists else ({}, {})
+        now = state.getCurrentWatermarkMs()
+        out = []
+
+        def move(k: str, chunks: list[tuple], close: bool = False) -> None:
+            was_closed = k in closed
+            s = {**dict(zip(_KEPT, closed[k])), "closed": True} if was_closed else opened.pop(k, None) or new_session()
+            rows = list(advance(s, chunks, close=close, take=take))
+            if s["closed"] and not was_closed and take is feed:
+                rows.append((3, s["n"], "closed", None))
+            s["due"] = max(s["last"] // 1000 + (remember if s["closed"] else idle) * 1000, now + 1)
+            if s["closed"]:
+                closed[k] = [s[x] for x in _KEPT]
+            else:
+                opened[k] = s
+            out.extend((int(k), *r, s["last"], s["n"], s["first"]) for r in rows)
+
+        over = [[k for k, s in opened.items() if s["due"] < now], [k for k, s in closed.items() if s[-1] < now]]
+        arrived = []
+        if not state.hasTimedOut:
             for f in frames:
-                arrived += zip(f["chunk_seq"].tolist(), f["content"].fillna("").tolist(), f["at"].tolist(), f["is_end"].tolist())
-            rows = list(advance(s, sorted(arrived), take=take))
-        if s["closed"] and not was_closed and take is feed:
-            rows.append((3, s["n"], "closed", None))
-        state.update((json.dumps(s),))
-        wait = remember if s["closed"] else idle
-        state.setTimeoutTimestamp(max(s["last"] // 1000 + wait * 1000, state.getCurrentWatermarkMs() + 1))
-        if rows:
-            yield pd.DataFrame([(int(k[0]), *r, s["last"], s["n"], s["first"]) for r in rows],
-                               columns=["id", "phase", "seq", "type", "content", "at", "n_chunks", "first"])
+                arrived += zip(f["id"].tolist(), f["chunk_seq"].tolist(), f["content"].fillna("").tolist(), f["at"].tolist(),
+                               f["is_end"].tolist())
+        arrived.sort()
+        here = set()
+        for k, own in groupby(arrived, itemgetter(0)):
+            here.add(str(k))
+            move(str(k), [c[1:] for c in own])
+        for k in over[0]:
+            if k not in here:
+                move(k, [], close=True)
+        for k in over[1]:
+            if k not in here:
+                del closed[k]
+        if opened or closed:
+            state.update((json.dumps([opened, closed], separators=(",", ":")),))
+            due = min([s["due"] for s in opened.values()] + [s[-1] for s in closed.values()])
+            state.setTimeoutTimestamp(max(due, now + 1))
+        else:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["id", "phase", "seq", "type", "content", "at", "n_chunks", "first"])
 
     is_end = F.col("finish_reason").isNotNull() if "finish_reason" in chunks.columns else F.lit(False)
     c = chunks.where(F.col("chunk_seq").isNotNull() & F.col("ts").isNotNull() & F.col(key).isNotNull())
     c = c.select(F.col(key).cast("long").alias("id"), F.col("chunk_seq").cast("int"), F.col("ts").cast("timestamp"),
                  F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "content", is_end.alias("is_end"))
-    g = c.withWatermark("ts", watermark).groupBy("id")
+    g = c.withWatermark("ts", watermark).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).groupBy("part")
     out = g.applyInPandasWithState(step, _OUT, "session string", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("id", "phase", "seq", "type", "content", F.timestamp_micros("at").alias("ts"), "n_chunks",
                       F.timestamp_micros("first").alias("session_start"))
 
 
 def session_events(chunks: DataFrame, key: str = "id", idle: int = 30, remember: int = 600,
-                   watermark: str = "1 minute") -> DataFrame:
+                   watermark: str = "1 minute", groups: int = 1024) -> DataFrame:
     """The stream of ``id, phase, seq, type, content, ...``: text and thought pieces, raw calls, late chunks and one
     ``closed`` row for each session (``seq``: its chunks)."""
-    return _run(chunks, key, idle, remember, watermark, feed)
+    return _run(chunks, key, idle, remember, watermark, feed, groups)
 
 
 def session_texts(chunks: DataFrame, key: str = "id", idle: int = 30, remember: int = 600,
-                  watermark: str = "1 minute") -> DataFrame:
+                  watermark: str = "1 minute", groups: int = 1024) -> DataFrame:
     """Like ``session_events`` with the assembled text in the ``closed`` row and no other events than late chunks."""
-    return _run(chunks, key, idle, remember, watermark, collect)
+    return _run(chunks, key, idle, remember, watermark, collect, groups)
 
 
 def assembled(texts: DataFrame, key: str = "id") -> DataFrame:

@@ -173,3 +173,26 @@ def test_encode_keeps_every_row_and_decodes_back(spark, sf):
     assert back == want
     ok = T.bpe_roundtrip(d, merges).collect()
     assert len(ok) == 45 and all(r.ok for r in ok)
+
+
+def test_pretokens_in_numpy_equal_the_pattern(spark):
+    """Words of every text as the JVM's regex finds them, whichever chunks and groups the texts fall into."""
+    import pyarrow as pa
+
+    from tracelake.operators.pretokens import char_classes, encoded_words
+
+    rng = random.Random(5)
+    bits = ["'", "'s", "'re", "s", "t", "r", "e", "ll", " ", "  ", "\n", "\t", " ", "　", "\x1c", "\x85", "a", "é", "日", "1",
+            "½", "!", "\U0001f600", "<|", "<|pad|>", "<|im_end|>", "|>", "́", "\U00010400", "​"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    want = Counter()
+    for r in T.text_pieces(df, "t", "i").withColumn("w", T.pretokens("piece")).collect():
+        want.update((r.i, w) for w in (r.w if r.special_id is None else [r.piece]))
+    for size in (1 << 18, 50):
+        got = Counter()
+        for words, at, row, _ in encoded_words(pa.array(texts, pa.string()), char_classes(spark, T.WS), size, 2 * size):
+            got.update((r, words[a].decode()) for a, r in zip(at.tolist(), row.tolist()))
+        assert got == want
+    counts = [sorted(map(tuple, T.bpe_word_counts(df, "t", arrow=arrow).collect())) for arrow in (False, True)]
+    assert counts[0] == counts[1] and counts[0]

@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.markers import ANY_MARKER, PY_WHITESPACE, SPECIAL_TOKENS, java_quote
 from tracelake.operators.bpe import merge_ranks, merge_word, train
+from tracelake.operators.pretokens import SPLIT, char_classes, encoded_words
 
 #: Unicode White_Space (Python ``isspace`` without the \\x1c-\\x1f separators)
 WS_CHARS = "".join(c for c in PY_WHITESPACE if not 0x1C <= ord(c) <= 0x1F)
 _WS_INNER = "".join(f"\\x{{{ord(c):X}}}" for c in WS_CHARS)
 WS = f"[{_WS_INNER}]"
 MARK = "\ue000"
-SPLIT = "\ue001"
 #: marks the last whitespace before a non-space
 MARK_PATTERN = f"({WS})([^{_WS_INNER}])"
 #: GPT-2 pre-token classes over marked text (the mark itself is never matched) -- RE2 form
@@ -79,12 +79,37 @@ def text_pieces(df: DataFrame, text: str, key: str) -> DataFrame:
     return p.withColumn("special_id", F.when(sid >= 0, sid.cast("int")))
 
 
-def bpe_word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+def bpe_word_counts(df: DataFrame, text: str = "text", arrow: bool = False) -> DataFrame:
     """``word, count`` over the corpus (control tokens excluded); one partial +
-    final hash aggregate, so a hot word costs one row per partition."""
-    p = text_pieces(df.select(F.monotonically_increasing_id().alias("_k"), text), text, "_k")
-    w = p.where(F.col("special_id").isNull()).select(F.explode(pretokens("piece")).alias("word"))
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    final hash aggregate, so a hot word costs one row per partition.  ``arrow``: the same rows, with the words of a
+    task found and counted in numpy (``operators.pretokens``) instead of one row a word."""
+    if not arrow:
+        p = text_pieces(df.select(F.monotonically_increasing_id().alias("_k"), text), text, "_k")
+        w = p.where(F.col("special_id").isNull()).select(F.explode(pretokens("piece")).alias("word"))
+        return w.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    shared = df.sparkSession.sparkContext.broadcast(char_classes(df.sparkSession, WS))
+
+    def count(batches):
+        import pyarrow as pa
+
+        def rows():
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()).cast(pa.string()),
+                                              pa.array(list(sums.values()), pa.int64())], names=["word", "c"])
+
+        classes, sums = shared.value, {}
+        for b in batches:
+            for words, at, _, special in encoded_words(b.column(0), classes):
+                at = at if special is None else at[~special]
+                for w, c in zip(words, np.bincount(at, minlength=len(words)).tolist()):
+                    if c:
+                        sums[w] = sums.get(w, 0) + c
+                if len(sums) > 200_000:
+                    yield from rows()
+                    sums.clear()
+        yield from rows()
+
+    words = df.select(F.col(text).cast("string")).mapInArrow(count, "word string, c long")
+    return words.groupBy("word").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("count"))
 
 
 # ---- training ------------------------------------------------------------------------
@@ -138,8 +163,9 @@ def _encoder(merge_list: list[tuple[str, str]]):
     numbered = [(ids[a], ids[b], 0) for a, b in merge_list]
     ranks, made = merge_ranks(numbered), [ids[a + b] for a, b in merge_list]
 
-    def encode_word(word: str) -> list[int]:
-        return merge_word([BYTE_BASE + b for b in word.encode("utf-8")], ranks, made)
+    def encode_word(word: str | bytes) -> list[int]:
+        raw = word.encode("utf-8") if isinstance(word, str) else word
+        return merge_word([BYTE_BASE + b for b in raw], ranks, made)
     return encode_word
 
 
@@ -150,57 +176,44 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.arange(total) + shift]
 
 
-def token_strings(df: DataFrame, text: str = "text") -> F.Column:
-    """Per text, its pre-tokens in order with control tokens kept as atomic strings
-    (a pre-token never equals a control token: ``<|`` always splits off)."""
-    t = F.col(text)
-    specials = F.array(*[F.lit(x) for x in SPECIAL_TOKENS])
-    pieces = F.filter(F.split(F.regexp_replace(t, F.lit(ANY_MARKER), F.lit(SPLIT + "$1" + SPLIT)),
-                              java_quote(SPLIT), -1), lambda x: x != "")
-    with_markers = F.flatten(F.transform(pieces, lambda x: F.when(F.array_contains(specials, x), F.array(x))
-                                         .otherwise(pretokens(x))))
-    return F.when(t.contains("<|"), with_markers).otherwise(pretokens(t))
-
-
 def bpe_encode(df: DataFrame, merges: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Text -> ids (``key, ids``), one row per input row; control tokens atomic; no BOS/EOS added.
 
-    Pre-tokens are computed on the JVM as one array per text.  A batch's words are dictionary-encoded by
-    Arrow: Python merges each new distinct word once (a bounded cache keeps them over batches), ids are
-    gathered by offsets; nothing is shuffled.  Null and empty texts have no ids.
+    The words of a chunk of texts are found in numpy and dictionary-encoded by Arrow (``operators.pretokens``):
+    Python merges each new distinct word once (a bounded table keeps them over batches), ids are gathered by
+    offsets; nothing is shuffled.  Null and empty texts have no ids.
     """
     m = [(x["left"], x["right"]) for x in merges.orderBy("rank").collect()]  # bounded by the vocabulary
-    bc = df.sparkSession.sparkContext.broadcast(m)
+    bc = df.sparkSession.sparkContext.broadcast((m, char_classes(df.sparkSession, WS)))
 
     def encode(batches):
         import pyarrow as pa
 
-        encode_word = _encoder(bc.value)
-        own = {t: np.array([i], np.int32) for i, t in enumerate(SPECIAL_TOKENS)}
-        cache = dict(own)
+        m, classes = bc.value
+        encode_word = _encoder(m)
+        own = {t.encode(): [i] for i, t in enumerate(SPECIAL_TOKENS)}
+        known, flat, lengths = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
         for b in batches:
-            column = b.column(1)
-            words = column.flatten().dictionary_encode()
-            if len(cache) > 300_000:
-                cache = dict(own)
-            parts = []
-            for w in words.dictionary.to_pylist():
-                v = cache.get(w)
-                if v is None:
-                    v = cache[w] = np.array(encode_word(w), np.int32)
-                parts.append(v)
-            lengths = np.array([len(v) for v in parts], np.int64)
-            starts = np.cumsum(lengths) - lengths
-            at = np.asarray(words.indices, dtype=np.int64)
-            flat = gather(np.concatenate(parts) if parts else np.zeros(0, np.int32), starts[at], lengths[at])
-            ends = np.concatenate([[0], np.cumsum(lengths[at])])
-            offsets = np.asarray(column.offsets, dtype=np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]].astype(np.int32)), pa.array(flat))
+            parts, count = [], np.zeros(b.num_rows, np.int64)
+            for words, at, row, _ in encoded_words(b.column(1), classes):
+                if len(known) > 600_000:
+                    known, flat, lengths = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
+                new = [w for w in words if w not in known]
+                if new:
+                    ids = [own.get(w) or encode_word(w) for w in new]
+                    known.update(zip(new, range(len(known), len(known) + len(new))))
+                    flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), np.int32)])
+                    lengths = np.concatenate([lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
+                    starts = np.cumsum(lengths) - lengths
+                number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[at]
+                parts.append(gather(flat, starts[number], lengths[number]))
+                count += np.bincount(row, lengths[number], b.num_rows).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[key, "ids"])
 
     key_type = df.schema[key].dataType.simpleString()
-    toks = F.coalesce(token_strings(df, text), F.array().cast("array<string>"))
-    return df.select(key, toks.alias("_toks")).mapInArrow(encode, f"{key} {key_type}, ids array<int>")
+    return df.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(encode, f"{key} {key_type}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, voc: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:

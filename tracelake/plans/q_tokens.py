@@ -29,7 +29,7 @@ def trained_merges(spark, sf, n_merges: int = N_MERGES):
     long as the files are the same, so the token queries train once."""
     k = (sf, n_merges, *_file_state(spark, f"{sf}/documents.parquet"))
     if k not in _MERGES:
-        m = T.bpe_train(T.bpe_word_counts(_documents(spark, sf)), n_merges)
+        m = T.bpe_train(T.bpe_word_counts(_documents(spark, sf), arrow=True), n_merges)
         _MERGES[k] = [tuple(r) for r in m.orderBy("rank").collect()]
     return spark.createDataFrame(_MERGES[k], "rank int, left string, right string, count long")
 

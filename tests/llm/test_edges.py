@@ -118,3 +118,31 @@ def test_line_dedup_rows_without_an_id(spark):
     got = sorted(str(r.text) for r in drop_lines(frame(spark, rows, "doc_id long, text string")).collect())
     assert sum(same in t for t in got) == 0 and len(got) == len(rows)
     assert "nothing shared in this one at all" in got
+
+
+def test_lines_of_many_documents_at_once_equal_those_of_each():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tracelake.llm.bytewords import text_chunks
+    from tracelake.llm.linededup import chunk_lines, line_table
+
+    rng = random.Random(1)
+    texts = [None, "", "\n", "a b c", "a b c\n", "\na b 1c d", " x\n\n", None]
+    texts += ["".join(rng.choice("ab1 \n\t") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    want = []
+    for k, t in enumerate(texts):
+        _, leaf, whole, _, n = line_table(t or "", 3, 3)
+        want += [(k, *x) for x in zip(leaf.tolist(), whole.tolist(), n.tolist())]
+    for size in (500_000, 90):
+        got, content = [], {}
+        for lo, data, bounds in text_chunks(pa.array(texts, pa.string()), size):
+            doc, leaf, whole, n, c = chunk_lines(data, bounds, 3, 3)
+            got += zip((lo + doc).tolist(), leaf.tolist(), whole.tolist(), n.tolist())
+            content |= dict(zip((lo + doc).tolist(), c.tolist()))
+        assert got == want and want
+        words = {k: tuple(texts[k].split()) for k in content}
+        assert len(set(content.values())) == len(set(words.values()))
+    assert not len(chunk_lines(np.zeros(0, np.uint8), np.zeros(3, np.int64), 3, 3)[0])

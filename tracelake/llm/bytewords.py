@@ -81,7 +81,7 @@ def words(data: np.ndarray, bounds: np.ndarray):
     stop[:-1] = cut[1:]
     stop[first[first > 0] - 1] = True
     ends = np.flatnonzero(stop & ~cut) + 1
-    row = np.searchsorted(bounds, starts, "right") - 1
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(starts, bounds)))
     return starts, ends, row
 
 

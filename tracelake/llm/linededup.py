@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.bytewords import mix, span_hashes, words
+from tracelake.llm.bytewords import mix, span_hashes, text_chunks, words
 from tracelake.llm.common import materialise, small_side, tidy, worker_cache
 
 _DIGIT = np.zeros(256, bool)
@@ -37,19 +37,16 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 VOTE = 1 << 24
 
 
-def line_table(text: str, depth: int, min_tokens: int, with_tokens: bool = False, with_content: bool = False):
-    """``line number, leaf, line hash, placed token hashes, tokens`` of the lines that can be dropped,
-    and a hash of the whole text's token sequence (placed hashes and this one only if asked for)."""
+def line_table(text: str, depth: int, min_tokens: int, with_tokens: bool = False):
+    """``line number, leaf, line hash, placed token hashes, tokens`` of the lines that can be dropped
+    (placed hashes only if asked for)."""
     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
     bounds = np.concatenate([[0], np.flatnonzero(raw == 10) + 1, [len(raw)]])
     starts, ends, line = words(raw, bounds)
     h = span_hashes(raw, starts, ends)
-    content = None
-    if with_content:
-        at = np.arange(1, len(h) + 1, dtype=np.uint64)
-        content = mix(mix(h ^ at * _STEP).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
-    h = np.where(digits[ends] > digits[starts], VARIABLE, h)
+    at = np.flatnonzero(_DIGIT[raw])
+    if len(at):
+        h[np.searchsorted(starts, at, "right") - 1] = VARIABLE  # a digit lies in a token
     count = np.bincount(line, minlength=len(bounds) - 1)
     first = np.cumsum(count) - count
     place = (np.arange(len(h)) - first[line]).astype(np.uint64)
@@ -60,7 +57,33 @@ def line_table(text: str, depth: int, min_tokens: int, with_tokens: bool = False
     leaf = mix(acc[a + np.minimum(n, depth)] - acc[a] + n.astype(np.uint64) * _STEP)
     whole = mix(acc[a + n] - acc[a] + n.astype(np.uint64))
     tokens = [placed[x:x + k] for x, k in zip(a.tolist(), n.tolist())] if with_tokens else None
-    return pick, leaf, whole, tokens, n, content
+    return pick, leaf, whole, tokens, n
+
+
+def chunk_lines(data: np.ndarray, bounds: np.ndarray, depth: int, min_tokens: int):
+    """``document, leaf, line hash, tokens, content`` of the lines that can be dropped, like ``line_table`` of each
+    document ``data[bounds[k]:bounds[k + 1]]``, for all of them at once."""
+    cuts = np.sort(np.concatenate([bounds, np.flatnonzero(data == 10) + 1]))
+    starts, ends, line = words(data, cuts)
+    h = span_hashes(data, starts, ends)
+    token = np.searchsorted(starts, bounds)
+    size = np.diff(token)
+    at = (np.arange(1, len(h) + 1) - np.repeat(token[:-1], size)).astype(np.uint64)
+    acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ at * _STEP))])
+    content = mix(acc[token[1:]] - acc[token[:-1]] + size.astype(np.uint64))
+    digits = np.flatnonzero(_DIGIT[data])
+    if len(digits):
+        h[np.searchsorted(starts, digits, "right") - 1] = VARIABLE
+    count = np.bincount(line, minlength=len(cuts) - 1)
+    first = np.cumsum(count) - count
+    place = (np.arange(len(h)) - np.repeat(first, count)).astype(np.uint64)
+    acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ (place + np.uint64(1)) * _STEP))])
+    pick = np.flatnonzero(count >= min_tokens)
+    a, n = first[pick], count[pick]
+    leaf = mix(acc[a + np.minimum(n, depth)] - acc[a] + n.astype(np.uint64) * _STEP)
+    whole = mix(acc[a + n] - acc[a] + n.astype(np.uint64))
+    doc = np.searchsorted(bounds, cuts[pick], "right") - 1
+    return doc, leaf, whole, n, content[doc]
 
 
 def _doc():
@@ -76,17 +99,15 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
 
         worker_cache("linededup")
         for b in batches:
-            ids, nameless, out = b.column(0).to_pylist(), b.column(1).to_pylist(), [[], [], [], [], [], []]
-            for k, t in enumerate(b.column(2)):
-                t = t.as_py()
-                if t:
-                    _, leaf, whole, _, n, content = line_table(t, depth, min_tokens, with_content=True)
-                    out[0].append(np.full(len(n), ids[k], np.int64))
-                    out[1].append(np.repeat(content, len(n)).view(np.int64))
-                    out[2].append(leaf.view(np.int64))
-                    out[3].append(whole.view(np.int64))
-                    out[4].append(n.astype(np.int32))
-                    out[5].append(np.full(len(n), nameless[k]))
+            ids, nameless, out = np.asarray(b.column(0)), b.column(1).to_numpy(zero_copy_only=False), [[], [], [], [], [], []]
+            for lo, data, bounds in text_chunks(b.column(2)):
+                doc, leaf, whole, n, content = chunk_lines(data, bounds, depth, min_tokens)
+                out[0].append(ids[lo + doc])
+                out[1].append(content.view(np.int64))
+                out[2].append(leaf.view(np.int64))
+                out[3].append(whole.view(np.int64))
+                out[4].append(n.astype(np.int32))
+                out[5].append(nameless[lo + doc])
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, kinds)],
                                              names=["doc", "content", "leaf", "line", "n", "nameless"])

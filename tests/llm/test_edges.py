@@ -146,3 +146,32 @@ def test_lines_of_many_documents_at_once_equal_those_of_each():
         words = {k: tuple(texts[k].split()) for k in content}
         assert len(set(content.values())) == len(set(words.values()))
     assert not len(chunk_lines(np.zeros(0, np.uint8), np.zeros(3, np.int64), 3, 3)[0])
+
+
+def python_steps(plan):
+    """Python steps that one task of a physical plan's last stage runs at once, and the most that any of its stages runs."""
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        plan = plan.initialPlan()
+    below = [python_steps(plan.children().apply(i)) for i in range(plan.children().size())]
+    here = [now for now, _ in below]
+    now = 0 if "Exchange" in plan.nodeName() else max(here, default=0) if plan.nodeName() == "Union" else sum(here)
+    now += plan.nodeName() == "MapInArrow"
+    return now, max([now, *(most for _, most in below)])
+
+
+def test_no_task_of_the_pipeline_holds_two_python_workers(spark, docs, tmp_path, monkeypatch):  # noqa: F811
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    import corpus_pipeline as P
+    frame(spark, [(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    steps, write = {}, DataFrameWriter.parquet
+
+    def noted(self, path, *args, **options):
+        steps[path.rsplit("/", 1)[-1]] = python_steps(self._df._jdf.queryExecution().executedPlan())[1]
+        return write(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    P.run(spark, str(tmp_path))
+    assert {name: n for name, n in steps.items() if n > 1} == {}
+    assert sum(steps.values()) > len(P.STAGES)  # the plans were read

@@ -378,6 +378,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
     f, sets = sets.select("c", "n", "f"), sets.select("c", "set")
     pairs = (pairs.join(f.toDF("a", "na", "fa"), "a").join(f.toDF("b", "nb", "fb"), "b")
              .select("a", "b", "na", "nb", "fa", "fb").mapInArrow(tidy(near), "a long, b long"))
+    pairs = materialise(pairs, "near")  # small joins leave no shuffle here: a task would hold two Python workers
     j = (pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb"))
 
     def exact(batches):
@@ -421,7 +422,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, co
     rest = region_candidates(open_, num, den, leaf=leaf)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(verify(rest, reps, docs, n, num, den))
+    links = links.unionByName(materialise(verify(rest, reps, docs, n, num, den), "links"))  # components follow in Python
     documents = sigs.select("doc_id", "c", "n").join(reps.select("c", "rep"), "c")
     return documents, links, reps
 

@@ -175,3 +175,39 @@ def test_no_task_of_the_pipeline_holds_two_python_workers(spark, docs, tmp_path,
     P.run(spark, str(tmp_path))
     assert {name: n for name, n in steps.items() if n > 1} == {}
     assert sum(steps.values()) > len(P.STAGES)  # the plans were read
+
+
+def test_shuffle_files_go_with_the_query_that_wrote_them(spark):
+    import os
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tracelake.llm.common import materialise
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    conf, before = spark.conf.get(key), files()
+    df = spark.range(5000).repartition(3, "id").withColumn("k", F.col("id") % 7).groupBy("k").count()
+    out = materialise(df.join(df.toDF("k", "n"), "k"), "sums")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert files() - before == set() and spark.conf.get(key) == conf
+    assert sorted(tuple(r) for r in out.collect()) == [(k, n, n) for k, n in enumerate([715, 715, 714, 714, 714, 714, 714])]
+    assert df.count() == 7 and df.collect() and df.collect()  # outside of it shuffles stay
+
+
+def test_near_duplicates_deletes_tables_that_nothing_reads_again(spark, docs):  # noqa: F811
+    from tracelake.llm.common import drop_tables, scratch
+    from tracelake.llm.jaccard import jaccard_links
+    paths: list[str] = []
+    with scratch(paths):
+        documents, links, classes = jaccard_links(docs, 3, 80, 100)
+    left = {p.rsplit("/", 1)[-1].split("-")[0] for p in paths}
+    assert left & {"signatures", "wanted", "sets", "near"} == set() and {"members", "classes", "links"} <= left
+    assert documents.count() and classes.count() and links.count()
+    drop_tables(spark, paths)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.bytewords import mix, text_chunks, word_hashes
-from tracelake.llm.common import connected_components, materialise, tidy, worker_cache
+from tracelake.llm.common import connected_components, drop_tables, materialise, scratch, tidy, worker_cache
 
 SKETCH_BITS = 512
 _MUL = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -398,18 +398,31 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int,
 def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, common_share: float = 0.001,
                   max_common: int = 200_000, block: int = 2048, leaf: int = 64):
     """``(documents, links, classes)``: ``doc_id, c, n, rep`` of every document with a shingle, links
-    ``a, b`` between classes (all that join different components) and the classes."""
+    ``a, b`` between classes (all that join different components) and the classes.  Tables of whole prefixes and
+    sets are deleted as soon as nothing reads them."""
+    spark, used = docs.sparkSession, []
+
+    def verified(pairs):
+        with scratch(used):
+            out = verify(pairs, reps, docs, n, num, den)
+        out = materialise(out, "links")
+        drop_tables(spark, used)
+        return out
+
     common = common_shingles(docs, n, common_share, max_common)
-    sigs = materialise(signatures(docs, n, num, den, common), "signatures")
+    with scratch(used):
+        sigs = materialise(signatures(docs, n, num, den, common), "signatures")
     reps = materialise(sigs.groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
                                              F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "classes")
+    documents = materialise(sigs.select("doc_id", "c", "n").join(reps.select("c", "rep"), "c"), "members")
+    drop_tables(spark, used)
     rows = reps.select("c", F.explode("prefix").alias("s"))
     pivots = rows.groupBy("s").agg(F.min("c").alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
     regions = materialise(rows.join(pivots, "s"), "regions")
     # the pivot of each region against its points
     stars = regions.where("c != p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
     stars = materialise(star_candidates(stars, reps, num, den), "stars")
-    links = materialise(verify(stars, reps, docs, n, num, den), "links")
+    links = verified(stars)
     # points of different components inside one region
     comp = connected_components(links).withColumnRenamed("id", "c")
     named = regions.join(comp, "c", "left").withColumn("comp", F.coalesce("component_id", "c")).select("s", "c", "comp", "k")
@@ -422,9 +435,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, co
     rest = region_candidates(open_, num, den, leaf=leaf)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(materialise(verify(rest, reps, docs, n, num, den), "links"))  # components follow in Python
-    documents = sigs.select("doc_id", "c", "n").join(reps.select("c", "rep"), "c")
-    return documents, links, reps
+    return documents, links.unionByName(verified(rest)), reps
 
 
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
@@ -445,7 +456,6 @@ def set_sizes(docs: DataFrame, n: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id`` (smallest doc id reachable by links)."""
     documents, links, reps = jaccard_links(docs, n, num, den, **options)
-    documents = materialise(documents, "members")
     name = reps.select("c", "rep")
     edges = (links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
              .unionByName(documents.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))

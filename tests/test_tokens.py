@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tracelake.operators import tokens as T
-from tracelake.operators.bpe import merge_ranks, merge_word, run_phase
+from tracelake.operators.bpe import Merger, merge_ranks, merge_word, run_phase
 from tracelake.sources.tables import table
 
 VALIDATION = ("<|im_start|>user\nCan you inspect config.yaml?<|im_end|>\n"
@@ -116,6 +117,49 @@ def test_merge_word_equals_one_merge_at_a_time():
         assert [names[i] for i in got] == want
 
 
+@pytest.mark.parametrize("replay", [False, True])
+def test_words_merged_together_equal_one_by_one(replay):
+    """Random merges, with pairs and symbols made several times and runs of one symbol."""
+    rng = random.Random(4)
+    for _ in range(150):
+        names = list("abc")
+        pairs = []
+        for _ in range(12):
+            pairs.append((rng.choice(names), rng.choice(names)))
+            if "".join(pairs[-1]) not in names:
+                names.append("".join(pairs[-1]))
+        ids = {s: i for i, s in enumerate(names)}
+        merges, made = [(ids[a], ids[b], 0) for a, b in pairs], [ids[a + b] for a, b in pairs]
+        words = [[rng.randrange(3) for _ in range(rng.randint(0, 15))] for _ in range(30)]
+        flat, lengths = Merger(merges, made, replay).merge(np.array([x for w in words for x in w]), np.array([len(w) for w in words]))
+        want = [merge_word(w, merge_ranks(merges), made, replay) for w in words]
+        assert flat.tolist() == [x for w in want for x in w] and lengths.tolist() == [len(w) for w in want]
+
+
+@pytest.mark.parametrize("reach", [1.1, 2.0, 1e9])
+def test_run_phase_lists_places_in_levels(reach):
+    rng = random.Random(8)
+    counts = {"".join(rng.choice("aab") for _ in range(rng.randint(2, 14))): rng.randint(1, 900) for _ in range(120)}
+    names = [f"{b:02X}" for b in range(256)]
+    got = run_phase([(list(w.encode()), c) for w, c in counts.items()], set(), 0, names, {s: i for i, s in enumerate(names)}, 10_000, reach)
+    assert [(names[a], names[b], c) for a, b, c in got] == brute_force_bpe(counts, 10_000)
+
+
+def test_words_of_random_syllables_train_in_few_phases(spark, monkeypatch):
+    """More fragments than fit at half the highest count: a phase takes fewer pairs, not one merge at a time."""
+    from tracelake.operators import bpe
+
+    rng = random.Random(11)
+    syllables = ["".join(rng.choice("abcdefgh") for _ in range(2)) for _ in range(24)]
+    counts = {"".join(rng.choice(syllables) for _ in range(rng.randint(3, 6))): rng.randint(1, 9) for _ in range(3000)}
+    phases = []
+    apply = bpe.apply_merges
+    monkeypatch.setattr(bpe, "apply_merges", lambda words, batch, made: phases.append(len(batch)) or apply(words, batch, made))
+    wc = spark.createDataFrame(list(counts.items()), "word string, count long")
+    assert learned(wc, 40, max_fragments=300) == brute_force_bpe(counts, 40)
+    assert len(phases) <= 8, phases
+
+
 def test_long_words_merge_in_short_time(spark):
     merges = learned(spark.createDataFrame([("ab" * 50 + "c", 3)], "word string, count long"), 100)
     enc = T._encoder([(a, b) for a, b, _ in merges])

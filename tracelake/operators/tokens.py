@@ -114,7 +114,7 @@ def bpe_word_counts(df: DataFrame, text: str = "text", arrow: bool = False) -> D
 
 # ---- training ------------------------------------------------------------------------
 
-def bpe_train(word_counts: DataFrame, n_merges: int, top_pairs: int = 50_000, max_fragments: int = 100_000,
+def bpe_train(word_counts: DataFrame, n_merges: int, top_pairs: int = 50_000, max_fragments: int = 2_500_000,
               reach: float = 32.0) -> DataFrame:
     """Learn up to ``n_merges`` merges: ``rank, left, right, count`` (symbols in hex), fewer if no pair is left.
 

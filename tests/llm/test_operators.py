@@ -329,9 +329,27 @@ def test_embedding_dedup(spark):
             comp[a] = comp[b] = min(comp[a], comp[b])
     want = sorted((rows[i][0], sum(a == i for a, _ in links), comp[i], comp[i] == rows[i][0]) for i in range(len(rows)))
     assert got == want and len(links) > 20
+    in_rounds = near_duplicates(df, 0.95, block_dims=4, block=7, share=4.0, least_bytes=1)
+    assert sorted((q.vec_id, q.n_links, q.component_id, q.kept) for q in in_rounds.collect()) == want
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_writes_vectors_once(spark):
+    """What stays on disk does not grow with the cells a vector goes to; a round's shuffle has a bound."""
+    import os
+
+    from tracelake.llm.common import scratch
+    from tracelake.llm.embeddup import near_duplicates, rounds_of
+    x = np.random.RandomState(1).standard_normal((2000, 64)).astype(np.float32)
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    with scratch(written := []):
+        assert near_duplicates(df).where("n_links = 0 and kept").count() == 2000
+    size = sum(os.path.getsize(os.path.join(d, f)) for t in written for d, _, names in os.walk(t.removeprefix("file:")) for f in names)
+    assert x.nbytes < size < 4 * x.nbytes
+    cells = frame(spark, [(0, 30_000, 3), (1, 5, 1)], "p long, n long, m int")
+    assert rounds_of(cells, 100, 1 << 30) == 1 and rounds_of(cells, 100, 900_000) == 11
+
+
 def test_learned_ann(spark, sf):
     from tracelake.llm.learnedann import search
     e = spark.read.parquet(f"{sf}/embeddings.parquet")

@@ -183,6 +183,16 @@ def test_roundtrip_with_control_tokens(spark, sf):
     assert enc[-1][0] == 4 and 5 in enc[-1] and 8 in enc[-1]  # control tokens stay atomic ids
 
 
+def test_words_of_a_batch_are_encoded_together():
+    """``bpe_encode`` merges the new words of a batch by one call, with the ids that each has alone."""
+    rng = random.Random(9)
+    words = {"".join(rng.choice("abcd é") for _ in range(rng.randint(1, 12))).encode() for _ in range(400)}
+    merges = [(a, b) for a, b, _ in brute_force_bpe({w.decode(): rng.randint(1, 50) for w in words}, 150)]
+    alone, flat = T._encoder(merges), np.frombuffer(b"".join(words), np.uint8).astype(np.int32) + T.BYTE_BASE
+    ids, lengths = T._merger(merges).merge(flat, np.array([len(w) for w in words]))
+    assert ids.tolist() == [i for w in words for i in alone(w)] and lengths.tolist() == [len(alone(w)) for w in words]
+
+
 def test_token_rows_invariants(spark):
     df = spark.createDataFrame([(1, [5, 6, 7]), (2, list(range(20, 40))), (3, [9, 0, 9])], "idx long, input_ids array<int>")
     rows = {r.idx: r for r in T.build_token_rows(df, max_length=8).collect()}

@@ -509,7 +509,7 @@ def _first_tied(words: DataFrame, count: int, names: list[str]) -> tuple[int, in
     return x["l"], x["r"], count
 
 
-def train(words: DataFrame, n_merges: int, top_pairs: int = 50_000, max_fragments: int = 2_500_000,
+def train(words: DataFrame, n_merges: int, top_pairs: int = 50_000, max_fragments: int = 1_000_000,
           reach: float = 32.0) -> list[tuple[str, str, int]]:
     """Up to ``n_merges`` merges ``(left, right, count)``, symbols in hex.  ``words``: ``syms array<int>`` (bytes), ``cnt``.
 

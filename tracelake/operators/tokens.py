@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.markers import ANY_MARKER, PY_WHITESPACE, SPECIAL_TOKENS, java_quote
-from tracelake.operators.bpe import merge_ranks, merge_word, train
+from tracelake.operators.bpe import Merger, merge_ranks, merge_word, train
 from tracelake.operators.pretokens import SPLIT, char_classes, encoded_words
 
 #: Unicode White_Space (Python ``isspace`` without the \\x1c-\\x1f separators)
@@ -114,7 +114,7 @@ def bpe_word_counts(df: DataFrame, text: str = "text", arrow: bool = False) -> D
 
 # ---- training ------------------------------------------------------------------------
 
-def bpe_train(word_counts: DataFrame, n_merges: int, top_pairs: int = 50_000, max_fragments: int = 2_500_000,
+def bpe_train(word_counts: DataFrame, n_merges: int, top_pairs: int = 50_000, max_fragments: int = 1_000_000,
               reach: float = 32.0) -> DataFrame:
     """Learn up to ``n_merges`` merges: ``rank, left, right, count`` (symbols in hex), fewer if no pair is left.
 
@@ -169,6 +169,12 @@ def _encoder(merge_list: list[tuple[str, str]]):
     return encode_word
 
 
+def _merger(merge_list: list[tuple[str, str]]) -> Merger:
+    """``_encoder`` for many words at once."""
+    ids = {h: i for i, h, s in vocab_rows(merge_list) if s is None}
+    return Merger([(ids[a], ids[b], 0) for a, b in merge_list], [ids[a + b] for a, b in merge_list])
+
+
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The slices ``values[start:start + length]`` one after another."""
     total = int(lengths.sum())
@@ -180,18 +186,17 @@ def bpe_encode(df: DataFrame, merges: DataFrame, text: str = "text", key: str =
     """Text -> ids (``key, ids``), one row per input row; control tokens atomic; no BOS/EOS added.
 
     The words of a chunk of texts are found in numpy and dictionary-encoded by Arrow (``operators.pretokens``):
-    Python merges each new distinct word once (a bounded table keeps them over batches), ids are gathered by
+    new distinct words are merged together, each once (a bounded table keeps them over batches), ids are gathered by
     offsets; nothing is shuffled.  Null and empty texts have no ids.
     """
     m = [(x["left"], x["right"]) for x in merges.orderBy("rank").collect()]  # bounded by the vocabulary
-    bc = df.sparkSession.sparkContext.broadcast((m, char_classes(df.sparkSession, WS)))
+    bc = df.sparkSession.sparkContext.broadcast((_merger(m), char_classes(df.sparkSession, WS)))
 
     def encode(batches):
         import pyarrow as pa
 
-        m, classes = bc.value
-        encode_word = _encoder(m)
-        own = {t.encode(): [i] for i, t in enumerate(SPECIAL_TOKENS)}
+        merger, classes = bc.value
+        own = {t.encode(): i for i, t in enumerate(SPECIAL_TOKENS)}
         known, flat, lengths = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
         for b in batches:
             parts, count = [], np.zeros(b.num_rows, np.int64)
@@ -200,10 +205,14 @@ def bpe_encode(df: DataFrame, merges: DataFrame, text: str = "text", key: str =
                     known, flat, lengths = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
                 new = [w for w in words if w not in known]
                 if new:
-                    ids = [own.get(w) or encode_word(w) for w in new]
+                    plain = [b"" if w in own else w for w in new]
+                    ids, size = merger.merge(np.frombuffer(b"".join(plain), np.uint8).astype(np.int32) + BYTE_BASE,
+                                             np.fromiter(map(len, plain), np.int64, len(plain)))
+                    atomic = np.array([k for k, w in enumerate(new) if w in own], np.int64)
+                    ids = np.insert(ids, (np.cumsum(size) - size)[atomic], [own[new[k]] for k in atomic])
+                    size[atomic] = 1
                     known.update(zip(new, range(len(known), len(known) + len(new))))
-                    flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), np.int32)])
-                    lengths = np.concatenate([lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
+                    flat, lengths = np.concatenate([flat, ids]), np.concatenate([lengths, size])
                     starts = np.cumsum(lengths) - lengths
                 number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[at]
                 parts.append(gather(flat, starts[number], lengths[number]))

@@ -55,6 +55,8 @@ PRETOKEN_LOOKAHEAD = ("'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^" + _WS_I
 N_SPECIAL = len(SPECIAL_TOKENS)
 BYTE_BASE = N_SPECIAL
 MERGE_BASE = N_SPECIAL + 256
+BATCH_BYTES = 4 << 20
+KNOWN_WORDS = 200_000
 
 
 def pretokens(text, lookahead: bool = True) -> F.Column:
@@ -87,6 +89,7 @@ def bpe_word_counts(df: DataFrame, text: str = "text", arrow: bool = False) -> D
         p = text_pieces(df.select(F.monotonically_increasing_id().alias("_k"), text), text, "_k")
         w = p.where(F.col("special_id").isNull()).select(F.explode(pretokens("piece")).alias("word"))
         return w.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(char_classes(df.sparkSession, WS))
 
     def count(batches):
@@ -178,8 +181,17 @@ def _merger(merge_list: list[tuple[str, str]]) -> Merger:
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The slices ``values[start:start + length]`` one after another."""
     total = int(lengths.sum())
-    shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    return values[np.arange(total) + shift]
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return values[at]
+
+
+def text_batches(spark) -> None:
+    """Texts go to Python about 4 MB at a time at most: numpy needs many times a batch's bytes, and their width has no bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def bpe_encode(df: DataFrame, merges: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -189,6 +201,7 @@ def bpe_encode(df: DataFrame, merges: DataFrame, text: str = "text", key: str =
     new distinct words are merged together, each once (a bounded table keeps them over batches), ids are gathered by
     offsets; nothing is shuffled.  Null and empty texts have no ids.
     """
+    text_batches(df.sparkSession)
     m = [(x["left"], x["right"]) for x in merges.orderBy("rank").collect()]  # bounded by the vocabulary
     bc = df.sparkSession.sparkContext.broadcast((_merger(m), char_classes(df.sparkSession, WS)))
 
@@ -201,7 +214,7 @@ def bpe_encode(df: DataFrame, merges: DataFrame, text: str = "text", key: str =
         for b in batches:
             parts, count = [], np.zeros(b.num_rows, np.int64)
             for words, at, row, _ in encoded_words(b.column(1), classes):
-                if len(known) > 600_000:
+                if len(known) > KNOWN_WORDS:
                     known, flat, lengths = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
                 new = [w for w in words if w not in known]
                 if new:
@@ -229,6 +242,7 @@ def bpe_decode(encoded: DataFrame, voc: DataFrame, key: str = "doc_id", ids: str
     """Ids -> text (``key, text``), row by row: control tokens come back as their text, a row
     without ids as ``''``.  The tokens' bytes are one array with offsets, bounded by the vocabulary; a
     batch's bytes are gathered from it at once.  Bytes that are no UTF-8 become U+FFFD."""
+    text_batches(encoded.sparkSession)
     table = {r["id"]: bytes.fromhex(r["token_hex"]) for r in voc.select("id", "token_hex").collect()}
     parts = [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
     lengths = np.array([len(x) for x in parts], np.int64)
